@@ -6,14 +6,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import byte_bpe, license_scan, packing, sharding, simhash
-from skerry.llm.common import read
+from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pu_quality, sharding, simhash, toxicity
+from skerry.llm.common import crc_of_id, read
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.content_rules(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest_neighbours(read(spark, sf_dir, "embeddings"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.lattice_scores(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read(spark, sf_dir, "documents"))
 
@@ -27,9 +43,18 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(read(spark, sf_dir, "documents"))
 
 
+def op9_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out rows (crc32 of the id mod 3 is 1) lend neither labels nor text to the fit."""
+    learnt = crc_of_id("doc_id") % 3 != 1
+    trusted = read(spark, sf_dir, "labels").where(learnt & (F.col("quality") == 1))
+    scored = pu_quality.pu_quality(read(spark, sf_dir, "documents"), trusted, learnt)
+    return scored.select("doc_id", (~learnt).alias("held_out"), "score", "predicted")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op6_simhash, op7_sharding, op8_license_scan, op10_byte_bpe)}
+OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe)
+QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}

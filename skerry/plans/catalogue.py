@@ -1,12 +1,20 @@
-"""Named queries over the driver's tables, each with its SQL."""
+"""Named queries over the driver's tables, each with its SQL.
+
+Customers stand for companies, their orders of a year for annual accounts,
+suppliers for subunits, events for feeds and requests, pages for web sites and
+documents for published texts.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skerry.functions import canonical, html, names, urls
+from skerry.operators import claims, feeds, filings, identity, refresh, registry, reports, sampling, screens, signals
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -28,6 +36,49 @@ def query(sql: str | None = None):
     return add
 
 
+COMPANIES = """companies AS (SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, c_name AS name, c_mktsegment AS legal_form,
+    translate(upper(n_name), '0123456789_', 'ABCDEFGHIJ ') AS municipality, CASE WHEN c_acctbal >= 0 THEN CAST(floor(c_acctbal / 100) AS INTEGER) END AS employees
+    FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+FILINGS = """filings AS (SELECT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, CAST(year(o_orderdate) AS VARCHAR) || '-12-31' AS period_end,
+    CASE WHEN o_orderstatus = 'P' THEN 'KONSERN' ELSE 'SELSKAP' END AS account_type, round(sum(o_totalprice), 2) AS revenue,
+    round(sum(CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_totalprice ELSE -o_totalprice END), 2) AS annual_result
+    FROM orders GROUP BY ALL)"""
+#: The company's own accounts if it has any, else the group's, newest first.
+SCOPED = """scoped AS (SELECT *, row_number() OVER (PARTITION BY organisation_number ORDER BY period_end DESC) AS k FROM (
+    SELECT *, bool_or(account_type <> 'KONSERN') OVER (PARTITION BY organisation_number) AS own FROM filings) WHERE NOT own OR account_type <> 'KONSERN')"""
+LISTED = """listed AS (SELECT * FROM filings QUALIFY row_number() OVER (PARTITION BY organisation_number
+    ORDER BY period_end DESC, CASE WHEN account_type = 'KONSERN' THEN 1 ELSE 0 END) = 1)"""
+
+
+def _org(column: str):
+    return (F.lit(900000000) + F.col(column)).cast("string").alias("organisation_number")
+
+
+def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _read(spark, sf_dir, "nation").select("n_nationkey", F.translate(F.upper("n_name"), "0123456789_", "ABCDEFGHIJ ").alias("municipality"))
+    employees = F.when(F.col("c_acctbal") >= 0, F.floor(F.col("c_acctbal") / 100).cast("int")).alias("employees")
+    return _read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(_org("c_custkey"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("legal_form"), "municipality", employees)
+
+
+def annual_filings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urgent = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    scope = F.when(F.col("o_orderstatus") == "P", filings.GROUP).otherwise("SELSKAP").alias("account_type")
+    end = F.concat(F.year("o_orderdate").cast("string"), F.lit("-12-31")).alias("period_end")
+    made = _read(spark, sf_dir, "orders").groupBy(_org("o_custkey"), end, scope).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"), F.round(F.sum(urgent), 2).alias("annual_result"))
+    return made.withColumn("record_id", F.concat_ws(":", "account_type", "period_end"))
+
+
+def screened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies with the figures of the filing that the register lists first."""
+    first = filings.listed_first(annual_filings(spark, sf_dir)).select("organisation_number", "revenue", "annual_result", F.lit(True).alias("financials"))
+    return companies(spark, sf_dir).join(first, "organisation_number", "left")
+
+
+SCREENED = f"WITH {COMPANIES}, {FILINGS}, {LISTED}, screened AS (SELECT c.*, revenue, annual_result FROM companies c LEFT JOIN listed USING (organisation_number)) "
+SCREEN_COLUMNS = ("organisation_number", "name", "municipality", "employees", "revenue", "annual_result")
+SELECT_SCREEN = "SELECT organisation_number, name, municipality, employees, revenue, annual_result FROM screened "
+
+
 @query(
     """
     SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, c_name AS name, round(sum(o_totalprice), 2) AS revenue
@@ -35,11 +86,494 @@ def query(sql: str | None = None):
     GROUP BY ALL ORDER BY revenue DESC NULLS LAST, organisation_number LIMIT 10
     """
 )
-def screen_top_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer, orders = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
-    return (
-        customer.join(orders.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")), F.col("c_custkey") == F.col("o_custkey"))
-        .select((F.lit(900000000) + F.col("c_custkey")).cast("string").alias("organisation_number"), F.col("c_name").alias("name"), F.round("total", 2).alias("revenue"))
-        .orderBy(F.col("revenue").desc_nulls_last(), "organisation_number")
-        .limit(10)
+def screen_top_revenue(spark, sf_dir):
+    revenue = _read(spark, sf_dir, "orders").groupBy(_org("o_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    rows = companies(spark, sf_dir).join(revenue, "organisation_number")
+    return screens.screen(rows, "top 10 by revenue").select("organisation_number", "name", "revenue")
+
+
+@query(SCREENED + SELECT_SCREEN + "WHERE employees > 40")
+def screen_employees(spark, sf_dir):
+    return screens.screen(screened(spark, sf_dir), "companies with more than 40 employees").select(*SCREEN_COLUMNS)
+
+
+@query(SCREENED + SELECT_SCREEN + "WHERE municipality = 'NATION D' AND annual_result > 0")
+def screen_municipality_profit(spark, sf_dir):
+    return screens.screen(screened(spark, sf_dir), "profitable companies in nation d").select(*SCREEN_COLUMNS)
+
+
+@query(SCREENED + SELECT_SCREEN + "WHERE revenue >= 1000000 ORDER BY employees DESC NULLS LAST, organisation_number LIMIT 25")
+def screen_revenue_top_employees(spark, sf_dir):
+    return screens.screen(screened(spark, sf_dir), "revenue at least 1 million top 25 by employees").select(*SCREEN_COLUMNS)
+
+
+@query(SCREENED + SELECT_SCREEN + "WHERE annual_result < 0")
+def screen_loss_making(spark, sf_dir):
+    return screens.screen(screened(spark, sf_dir), "loss-making companies").select(*SCREEN_COLUMNS)
+
+
+@query(SCREENED + SELECT_SCREEN + "WHERE false")
+def screen_abstains(spark, sf_dir):
+    """What no source holds is asked for: the screen abstains."""
+    return screens.screen(screened(spark, sf_dir), "companies with good glassdoor reviews top 5 by revenue").select(*SCREEN_COLUMNS)
+
+
+@query("SELECT p_partkey, p_name, p_type FROM part WHERE contains(lower(p_type), 'small') ORDER BY p_partkey")
+def screen_industry_contains(spark, sf_dir):
+    part = _read(spark, sf_dir, "part").withColumn("industry", F.col("p_type"))
+    return screens.screen(part, "industry contains 'SMALL'", "p_partkey").select("p_partkey", "p_name", "p_type")
+
+
+@query(f"WITH {FILINGS}, {LISTED} SELECT organisation_number, period_end, account_type, revenue FROM listed")
+def listed_filing(spark, sf_dir):
+    return filings.listed_first(annual_filings(spark, sf_dir)).select("organisation_number", "period_end", "account_type", "revenue")
+
+
+@query(f"WITH {FILINGS}, {SCOPED} SELECT organisation_number, period_end, account_type, revenue FROM scoped WHERE k = 1")
+def latest_filing_by_scope(spark, sf_dir):
+    return filings.latest_in_scope(annual_filings(spark, sf_dir)).select("organisation_number", "latest.period_end", "latest.account_type", "latest.revenue")
+
+
+@query(f"WITH {FILINGS}, {SCOPED} SELECT a.organisation_number, a.period_end, b.period_end AS previous_end, b.revenue AS previous_revenue FROM scoped a LEFT JOIN scoped b ON b.organisation_number = a.organisation_number AND b.k = 2 WHERE a.k = 1")
+def previous_filing(spark, sf_dir):
+    rows = filings.latest_in_scope(annual_filings(spark, sf_dir))
+    return rows.select("organisation_number", "latest.period_end", F.col("previous.period_end").alias("previous_end"), F.col("previous.revenue").alias("previous_revenue"))
+
+
+_KIND = """CASE WHEN x IS NULL OR y IS NULL OR (x = 0 AND y = 0) THEN NULL {ratio}
+    WHEN x = y THEN 'unchanged' WHEN (x < 0) <> (y < 0) THEN CASE WHEN x < 0 THEN 'turned to profit' ELSE 'turned to loss' END
+    WHEN x < 0 AND y < 0 THEN CASE WHEN y > x THEN 'loss narrowed' ELSE 'loss widened' END ELSE CASE WHEN y > x THEN 'up' ELSE 'down' END END"""
+_RATIO = "WHEN x > 0 AND y >= 0 THEN CASE WHEN abs((y - x) / x) < 0.005 THEN 'flat' WHEN y > x THEN 'up' ELSE 'down' END"
+
+
+@query(
+    f"WITH {FILINGS}, {SCOPED}, pairs AS (SELECT a.organisation_number, a.revenue AS r1, b.revenue AS r0, a.annual_result AS n1, b.annual_result AS n0 FROM scoped a JOIN scoped b ON b.organisation_number = a.organisation_number AND b.k = 2 WHERE a.k = 1) "
+    f"SELECT organisation_number, {_KIND.format(ratio=_RATIO).replace('x', 'r0').replace('y', 'r1').replace('r0ar', 'xar')} AS revenue_change, {_KIND.format(ratio='').replace('x', 'n0').replace('y', 'n1')} AS result_change FROM pairs"
+)
+def year_on_year_change(spark, sf_dir):
+    rows = filings.latest_in_scope(annual_filings(spark, sf_dir)).where("previous IS NOT NULL")
+    kind = lambda c, signed: filings.change_kind(F.col(f"previous.{c}"), F.col(f"latest.{c}"), signed)
+    return rows.select("organisation_number", kind("revenue", False).alias("revenue_change"), kind("annual_result", True).alias("result_change"))
+
+
+@query(
+    f"WITH {FILINGS}, {SCOPED} SELECT organisation_number, round(CASE WHEN revenue > 0 THEN annual_result / revenue END, 4) AS margin, "
+    "CASE WHEN revenue > 0 AND annual_result < 0 THEN 'operating loss' ELSE '' END AS flags FROM scoped WHERE k = 1"
+)
+def financial_health_flags(spark, sf_dir):
+    rows = filings.latest_in_scope(annual_filings(spark, sf_dir))
+    none = F.lit(None).cast("double")
+    h = filings.health(F.col("latest.revenue"), F.col("latest.annual_result"), none, none)
+    return rows.select("organisation_number", F.round(h["operating_margin"], 4).alias("margin"), F.array_join(h["flags"], ",").alias("flags"))
+
+
+@query(
+    f"WITH {COMPANIES}, c AS (SELECT organisation_number, name, legal_form, CAST(employees AS VARCHAR) AS employees FROM companies) "
+    "SELECT organisation_number, field, value, CASE WHEN value IS NULL THEN 'not_available' ELSE 'available' END AS availability, 'ev-' || substr(sha256("
+    """'{"claim_span": "' || field || ': ' || coalesce(value, '(empty)') || '", "content_sha256": null, "retrieved_at": "2026-01-01T00:00:00Z", "source_class": "official_registry", "source_url": "https://example.com/' || organisation_number || '"}'), 1, 16) AS evidence_id """
+    "FROM (SELECT organisation_number, 'legal_name' AS field, name AS value FROM c UNION ALL SELECT organisation_number, 'legal_form', legal_form FROM c UNION ALL SELECT organisation_number, 'registered_employees', employees FROM c)"
+)
+def registry_claims(spark, sf_dir):
+    """Claims with content-addressed citations."""
+    rows = companies(spark, sf_dir).withColumns(
+        {"source_url": F.concat(F.lit("https://example.com/"), "organisation_number"), "source_class": F.lit("official_registry"), "retrieved_at": F.lit("2026-01-01T00:00:00Z"), "content_sha256": F.lit(None).cast("string")}
     )
+    return claims.registry_claims(rows, {"legal_name": F.col("name"), "legal_form": F.col("legal_form"), "registered_employees": F.col("employees")})
+
+
+_SITUATION = "CASE WHEN event_type = 'error' THEN 'source_error' WHEN event_type = 'signup' THEN 'not_found' WHEN event_type = 'click' THEN 'blocked' ELSE 'available' END"
+
+
+def _module_records(spark, sf_dir) -> DataFrame:
+    kind = F.col("event_type")
+    status = F.when(kind == "error", "source_error").when(kind == "signup", "not_found").when(kind == "click", "blocked").otherwise("available")
+    module = F.concat(F.lit("module_"), (F.col("user_id") % 5).cast("string"))
+    return _read(spark, sf_dir, "events").select(_org("user_id"), module.alias("module"), status.alias("status"), F.concat(F.lit("reason "), (F.col("event_id") % 7).cast("string")).alias("note"), "event_id")
+
+
+@query(
+    f"SELECT 'module_' || (user_id % 5) AS module, count(*) FILTER (s = 'available') AS available, count(*) FILTER (s = 'not_found') AS not_available, count(*) FILTER (s = 'blocked') AS blocked, "
+    f"CAST(0 AS BIGINT) AS not_applicable, CAST(0 AS BIGINT) AS ambiguous, count(*) FILTER (s = 'source_error') AS failed FROM (SELECT *, {_SITUATION} AS s FROM events) GROUP BY 1"
+)
+def module_state_matrix(spark, sf_dir):
+    return claims.module_matrix(_module_records(spark, sf_dir))
+
+
+@query(
+    "WITH f AS (SELECT 'module_' || (user_id % 5) AS module, 'reason ' || (event_id % 7) AS reason, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL) "
+    "SELECT module, reason, n, round(sum(n) OVER (PARTITION BY module) / (SELECT count(*) FROM events), 4) AS rate, CAST(row_number() OVER (PARTITION BY module ORDER BY n DESC, reason) AS INTEGER) AS rank FROM f QUALIFY rank <= 3"
+)
+def failure_rates_top_reason(spark, sf_dir):
+    records = _module_records(spark, sf_dir)
+    return claims.failure_reasons(records, records.count()).select("module", "reason", "n", "rate", "rank")
+
+
+@query(
+    f"WITH {FILINGS}, c AS (SELECT organisation_number, 'financials.revenue' AS field, CASE WHEN revenue > 100000 THEN revenue END AS value, CASE WHEN revenue > 60000 THEN 'available' ELSE 'not_available' END AS availability FROM filings) "
+    "SELECT organisation_number, field || ': available claim without a value' AS problem FROM c WHERE availability = 'available' AND value IS NULL"
+)
+def envelope_validation(spark, sf_dir):
+    revenue = F.when(F.col("revenue") > 100000, F.col("revenue").cast("string"))
+    made = annual_filings(spark, sf_dir).select("organisation_number", F.lit("financials.revenue").alias("field"), revenue.alias("value"), F.when(F.col("revenue") > 60000, "available").otherwise("not_available").alias("availability"), F.col("record_id").alias("evidence_id"), "period_end")
+    cited = annual_filings(spark, sf_dir).select("organisation_number", F.col("record_id").alias("evidence_id"), F.lit("https://example.com").alias("source_url"), F.lit("2026-01-01").alias("retrieved_at"))
+    return claims.claim_problems(made, cited)
+
+
+@query(
+    "SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, round(sum(o_totalprice), 2) AS revenue, CASE WHEN count(o_orderkey) = 0 THEN 'not_available' ELSE 'available' END AS state FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL"
+)
+def missing_is_not_zero(spark, sf_dir):
+    revenue = _read(spark, sf_dir, "orders").groupBy(_org("o_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("revenue"))
+    joined = companies(spark, sf_dir).join(revenue, "organisation_number", "left")
+    return joined.select("organisation_number", "revenue", registry.availability(F.when(F.col("revenue").isNull(), "not_found").otherwise("available")).alias("state"))
+
+
+@query(
+    f"WITH {COMPANIES} SELECT i AS input_ordinal, CAST(900000000 + i * 3 AS VARCHAR) AS organisation_number, name, CASE WHEN name IS NULL THEN 'not_found' ELSE 'available' END AS status FROM range(1000) t(i) LEFT JOIN companies c ON c.organisation_number = CAST(900000000 + i * 3 AS VARCHAR)"
+)
+def requested_absent(spark, sf_dir):
+    """One row per requested company in input order; an absent one is not found."""
+    asked = spark.range(1000).select(F.col("id").alias("input_ordinal"), (F.lit(900000000) + F.col("id") * 3).cast("string").alias("organisation_number"))
+    return registry.requested(asked, companies(spark, sf_dir).select("organisation_number", "name")).select("input_ordinal", "organisation_number", "name", "status")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
+def semi_join_universe(spark, sf_dir):
+    opened = _read(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return _read(spark, sf_dir, "customer").join(opened, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
+def anti_join_excluded(spark, sf_dir):
+    grouped = _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return _read(spark, sf_dir, "customer").join(grouped, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+_HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '')"
+
+
+@query(f"SELECT {_HOST} AS host, count(*) AS entities, count(*) >= 5 AS shared FROM pages GROUP BY 1")
+def share_counts_domain(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("entities"), (F.count("*") >= identity.SHARED_FROM).alias("shared"))
+
+
+@query(
+    "SELECT phone, count(*) AS entities FROM (SELECT unnest(list_distinct([CAST(20000000 + l_partkey % 9000 AS VARCHAR), CAST(20000000 + l_suppkey % 9000 AS VARCHAR)])) AS phone FROM lineitem) GROUP BY 1"
+)
+def share_counts_distinct_per_row(spark, sf_dir):
+    number = lambda c: F.concat(F.lit("+47 "), (F.lit(20000000) + F.col(c) % 9000).cast("string"))
+    rows = _read(spark, sf_dir, "lineitem").select(number("l_partkey").alias("phone_a"), F.regexp_replace(number("l_suppkey"), r"\+", "00").alias("phone_b"))
+    return registry.phone_counts(rows, "phone_a", "phone_b")
+
+
+@query(
+    "SELECT key, count(*) AS entities FROM (SELECT array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_name), '[^a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains("
+    + repr([*names.LEGAL_FORMS, *names.FILLERS])
+    + ", w)))), ' ') AS key FROM part) WHERE key <> '' GROUP BY 1"
+)
+def name_key_collisions(spark, sf_dir):
+    return registry.name_counts(_read(spark, sf_dir, "part"), "p_name")
+
+
+@query(
+    f"WITH {COMPANIES} SELECT 'OTHER|' || CASE WHEN employees IS NULL THEN 'missing' WHEN employees = 0 THEN '0' WHEN employees < 5 THEN '1-4' WHEN employees < 20 THEN '5-19' WHEN employees < 100 THEN '20-99' ELSE '100+' END || '|active|' || CASE WHEN CAST(right(organisation_number, 1) AS INTEGER) < 5 THEN 'web' ELSE 'no-web' END AS stratum, count(*) AS n FROM companies GROUP BY 1"
+)
+def stratum_counts(spark, sf_dir):
+    site = F.when(F.substring("organisation_number", -1, 1).cast("int") < 5, "x")
+    return companies(spark, sf_dir).groupBy(registry.stratum(F.col("legal_form"), F.col("employees"), F.lit(False), site).alias("stratum")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {COMPANIES} SELECT organisation_number, name FROM companies ORDER BY sha256('7:' || organisation_number), organisation_number LIMIT 50")
+def hash_rank_sample(spark, sf_dir):
+    return sampling.hash_sample(companies(spark, sf_dir), "organisation_number", 50, 7).select("organisation_number", "name")
+
+
+@query(
+    f"WITH {COMPANIES}, t AS (SELECT *, employees > 90 AS kept FROM (SELECT organisation_number, coalesce(employees, 0) AS employees FROM companies) ORDER BY kept DESC, CASE WHEN kept THEN sha256('7:preserved:' || organisation_number) ELSE sha256('7:' || organisation_number) END, organisation_number LIMIT 100) "
+    "SELECT organisation_number, CASE WHEN kept THEN 'preserved_eligible' ELSE 'financial_filer_population' END AS sample_slice, CASE WHEN k <= 60 THEN 'development' WHEN k <= 80 THEN 'validation' ELSE 'held_out' END AS evaluation_split FROM (SELECT *, row_number() OVER (ORDER BY sha256('7:order:' || organisation_number), organisation_number) AS k FROM t)"
+)
+def preserved_sample_split(spark, sf_dir):
+    rows = companies(spark, sf_dir)
+    return sampling.preserved_sample(rows.select("organisation_number"), "organisation_number", rows.where("employees > 90"), 100, 7)
+
+
+@query(f"SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY {_HOST} ORDER BY sha256('7:' || page_id), page_id) AS k FROM pages) WHERE k = 1 ORDER BY sha256('7:' || page_id), page_id LIMIT 40")
+def unique_host_sample(spark, sf_dir):
+    return sampling.unique_host_sample(_read(spark, sf_dir, "pages"), "page_id", urls.host(F.col("url")), 40, 7).select("page_id", "url")
+
+
+@query(f"SELECT page_id, {_HOST} AS host, {_HOST} || regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS site FROM pages")
+def same_site_key(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.site_key(F.col("url")).alias("site"))
+
+
+@query("SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\\s+', ' ', 'g')) AS title FROM pages")
+def page_titles(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query()
+def page_checks(spark, sf_dir):
+    """Page states that decide whether a site can be published at all."""
+    page = F.col("html")
+    return _read(spark, sf_dir, "pages").select("page_id", html.is_parked(page).alias("parked"), html.is_challenge(page).alias("challenge"), html.needs_scripts(page).alias("needs_scripts"), html.norwegian_tie(page).alias("norwegian"), F.length(html.visible_text(page)).alias("visible_chars"))
+
+
+@query()
+def anchor_ranking(spark, sf_dir):
+    """Links of each page by their depth and address, the first ten."""
+    links = _read(spark, sf_dir, "pages").select("page_id", F.explode(html.anchors(F.col("html"))).alias("a")).select("page_id", "a.*").distinct()
+    depth = F.size(F.filter(F.split(urls.path(F.col("href")), "/"), lambda x: x != ""))
+    return signals.top_n(links.withColumn("depth", depth), ["page_id"], ["depth", "href", "text"], 10)
+
+
+@query(
+    f"WITH c AS (SELECT host, 0 AS priority, page_id FROM (SELECT {_HOST} AS host, page_id FROM pages WHERE page_id % 2 = 0) UNION ALL SELECT host, 1, page_id FROM (SELECT {_HOST} AS host, page_id FROM pages WHERE page_id % 3 = 0)) "
+    "SELECT host, priority, page_id FROM c QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, page_id) = 1"
+)
+def candidate_union_first_wins(spark, sf_dir):
+    pages = _read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "page_id")
+    both = pages.where("page_id % 2 = 0").withColumn("priority", F.lit(0)).unionByName(pages.where("page_id % 3 = 0").withColumn("priority", F.lit(1)))
+    return both.withColumn("_k", F.row_number().over(Window.partitionBy("host").orderBy("priority", "page_id"))).where("_k = 1").select("host", "priority", "page_id")
+
+
+@query(
+    """WITH c AS (SELECT user_id, event_id, event_type <> 'view' AS fetched, event_type = 'error' AS challenge, CASE WHEN event_type = 'purchase' THEN 'exact' WHEN event_type = 'signup' THEN 'weak' ELSE 'unverified' END AS status FROM events),
+    s AS (SELECT *, sum(CAST(fetched AS INTEGER)) OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM c), r AS (SELECT *, CASE WHEN status = 'exact' THEN 1 WHEN status = 'weak' THEN 2 WHEN challenge THEN 3 ELSE 4 END AS rank FROM s WHERE fetched AND n <= 4),
+    b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY rank, event_id) = 1)
+    SELECT u.user_id, CASE WHEN rank = 1 THEN 'available' WHEN rank = 2 THEN 'ambiguous' WHEN rank = 3 THEN 'failed' ELSE 'not_available' END AS state, CASE WHEN rank = 1 THEN CAST(event_id AS VARCHAR) END AS official_domain FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN b USING (user_id)"""
+)
+def first_publishable_candidate(spark, sf_dir):
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "exact").when(kind == "signup", "weak").otherwise("unverified")
+    checked = _read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("priority"), F.col("event_id").cast("string").alias("domain"), (kind != "view").alias("fetched"), (kind == "error").alias("challenge"), status.alias("status"))
+    return identity.chosen_sites(checked, "user_id")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_state_per_key(spark, sf_dir):
+    return feeds.latest_state(_read(spark, sf_dir, "events"), "user_id", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'")
+def active_after_latest(spark, sf_dir):
+    return feeds.latest_state(_read(spark, sf_dir, "events"), "user_id", "event_id").where("event_type <> 'error'").select("user_id", "event_id")
+
+
+@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = s_suppkey % 10")
+def name_block_match(spark, sf_dir):
+    """A join on a block with the exact rule behind it."""
+    block = F.col("c_nationkey") == F.col("s_nationkey")
+    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "supplier"), block & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10)).select("c_custkey", "s_suppkey")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= 3")
+def top_n_per_company(spark, sf_dir):
+    rows = _read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return signals.top_n(rows, ["o_custkey"], [F.col("o_totalprice").desc(), "o_orderkey"], 3)
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY source, lower(text)) AS n FROM documents) WHERE n = 1")
+def repeated_title_suppression(spark, sf_dir):
+    return feeds.unrepeated_titles(_read(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "text").select("doc_id", "source")
+
+
+@query("SELECT max(doc_id) AS doc_id, source FROM documents GROUP BY source, text")
+def dedup_last_wins(spark, sf_dir):
+    return feeds.latest_state(_read(spark, sf_dir, "documents").withColumn("key", F.sha2(F.concat_ws("|", "source", "text"), 256)), "key", "doc_id").select("doc_id", "source")
+
+
+_YEARS = f"WITH {FILINGS}, y AS (SELECT organisation_number, period_end, max(revenue) AS revenue, max(annual_result) AS annual_result FROM filings GROUP BY ALL), a AS (SELECT * FROM y WHERE period_end = '1995-12-31'), b AS (SELECT * FROM y WHERE period_end = '1996-12-31') "
+
+
+def _year(spark, sf_dir, year: int) -> DataFrame:
+    rows = annual_filings(spark, sf_dir).where(F.col("period_end") == f"{year}-12-31")
+    return rows.groupBy("organisation_number").agg(*[F.max(F.floor(F.col(c) / 1000)).alias(c) for c in ("revenue", "annual_result")])
+
+
+@query(
+    _YEARS + ", j AS (SELECT organisation_number, CAST(floor(a.revenue / 1000) AS VARCHAR) AS r0, CAST(floor(b.revenue / 1000) AS VARCHAR) AS r1, CAST(floor(a.annual_result / 1000) AS VARCHAR) AS n0, CAST(floor(b.annual_result / 1000) AS VARCHAR) AS n1 FROM a JOIN b USING (organisation_number)) "
+    "SELECT organisation_number, field, CAST(CAST(CAST(old_value AS DOUBLE) AS BIGINT) AS VARCHAR) AS old_value, CAST(CAST(CAST(new_value AS DOUBLE) AS BIGINT) AS VARCHAR) AS new_value FROM (SELECT organisation_number, 'revenue' AS field, r0 AS old_value, r1 AS new_value FROM j UNION ALL SELECT organisation_number, 'annual_result', n0, n1 FROM j) WHERE old_value IS DISTINCT FROM new_value"
+)
+def change_feed(spark, sf_dir):
+    return refresh.changes(_year(spark, sf_dir, 1995), _year(spark, sf_dir, 1996), ["revenue", "annual_result"])
+
+
+@query("SELECT CAST(NULL AS VARCHAR) AS organisation_number, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value WHERE false")
+def idempotent_diff(spark, sf_dir):
+    """A snapshot against itself: nothing has changed."""
+    return refresh.changes(_year(spark, sf_dir, 1996), _year(spark, sf_dir, 1996), ["revenue", "annual_result"])
+
+
+@query(_YEARS + "SELECT organisation_number, 'previous' AS side FROM a WHERE organisation_number NOT IN (SELECT organisation_number FROM b) UNION ALL SELECT organisation_number, 'current' FROM b WHERE organisation_number NOT IN (SELECT organisation_number FROM a)")
+def membership_drift(spark, sf_dir):
+    return refresh.membership_drift(_year(spark, sf_dir, 1995).select("organisation_number"), _year(spark, sf_dir, 1996).select("organisation_number"))
+
+
+@query(
+    "WITH f AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O'), e AS (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000) "
+    "SELECT count(f.o_custkey) AS detected, count(e.o_custkey) AS expected, count(*) FILTER (f.o_custkey IS NOT NULL AND e.o_custkey IS NOT NULL) AS hits, round(hits / detected, 6) AS precision, round(hits / expected, 6) AS recall FROM f FULL JOIN e USING (o_custkey)"
+)
+def refresh_precision_recall(spark, sf_dir):
+    orders = _read(spark, sf_dir, "orders")
+    made = refresh.precision_recall(orders.where("o_orderstatus = 'O'"), orders.where("o_totalprice > 200000"), ["o_custkey"])
+    return made.select("detected", "expected", "hits", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
+@query(
+    """WITH h AS (SELECT user_id, ts, event_id, event_type, event_id % 2 AS half FROM events), p AS (SELECT * FROM h WHERE half = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1),
+    c AS (SELECT * FROM h WHERE half = 1 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1)
+    SELECT c.user_id, coalesce(c.event_type = 'error' AND p.event_type <> 'error', false) AS carried, CASE WHEN c.event_type = 'error' AND p.event_type <> 'error' THEN 'https://example.com/' || p.event_id ELSE 'https://example.com/' || c.event_id END AS site_url
+    FROM c LEFT JOIN p USING (user_id)"""
+)
+def carry_forward_conclusive(spark, sf_dir):
+    rows = _read(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "error", "failed").otherwise("available").alias("site_status"), F.concat(F.lit("https://example.com/"), F.col("event_id").cast("string")).alias("site_url"))
+    half = lambda k: feeds.latest_state(rows.where(F.col("event_id") % 2 == k), "user_id", "event_id").drop("event_id")
+    return refresh.carried(half(0), half(1), "user_id").select("user_id", "carried", "site_url")
+
+
+def _observations(spark, sf_dir) -> DataFrame:
+    """Documents with labels as observations; sources stand for companies."""
+    docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id", "left")
+    n = F.col("doc_id")
+    return docs.select(
+        n.cast("string").alias("id"), F.concat(F.lit("9000000"), F.lpad(F.regexp_replace("source", r"\D", ""), 2, "0")).alias("organisation_number"),
+        F.when(n % 11 == 0, "myspace").otherwise("news").alias("platform"), F.when(n % 3 == 0, "public_mention").when(n % 3 == 1, "job_posting").otherwise("review").alias("signal_type"),
+        F.concat(F.lit("https://www.host"), (n % 4).cast("string"), F.lit(".example.com/"), n.cast("string")).alias("source_url"),
+        F.when(n % 13 != 0, F.concat(F.lit("2026-01-"), F.lpad((n % 28 + 1).cast("string"), 2, "0"), F.lit("T00:00:00Z"))).alias("retrieved_at"), F.sha2("text", 256).alias("content_sha256"),
+        (n % 17 != 0).alias("exact_entity"), F.array(F.lit("organisation_number")).alias("identity_proof"), F.lit("official_api").alias("acquisition_mode"), F.lit("approved").alias("rights_status"),
+        F.when(n % 5 != 0, "span").alias("evidence_span"), F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative").alias("sentiment_label"),
+        F.when(n % 2 == 0, "public_news").otherwise("company_owned").alias("source_class"), F.lit("v1").alias("sentiment_model_version"), F.lit(None).cast("string").alias("reviewer_id"),
+        F.create_map(F.lit("likes"), (n % 7).cast("string")).alias("metrics"),
+    )
+
+
+_REASONS = """r AS (SELECT d.doc_id, '9000000' || lpad(regexp_replace(source, '\\D', '', 'g'), 2, '0') AS organisation_number, quality, list_filter([CASE WHEN d.doc_id % 11 = 0 THEN 'unsupported platform' END, CASE WHEN d.doc_id % 13 = 0 THEN 'missing retrieval time' END,
+    CASE WHEN d.doc_id % 17 = 0 THEN 'exact legal entity is not verified' END, CASE WHEN d.doc_id % 3 <> 1 AND d.doc_id % 5 = 0 THEN 'missing evidence span' END,
+    CASE WHEN quality IS NOT NULL AND d.doc_id % 2 = 1 THEN 'sentiment source is not independent' END], lambda x: x IS NOT NULL) AS why FROM documents d LEFT JOIN labels USING (doc_id))"""
+
+
+@query(f"WITH {_REASONS} SELECT CAST(doc_id AS VARCHAR) AS id, array_to_string(why, '; ') AS reasons FROM r")
+def observation_rejections(spark, sf_dir):
+    return _observations(spark, sf_dir).select("id", F.array_join(signals.rejection_reasons(), "; ").alias("reasons"))
+
+
+@query(
+    f"""WITH {_REASONS}, o AS (SELECT *, len(why) = 0 AS ok, quality IS NOT NULL AS felt FROM r)
+    SELECT organisation_number, count(*) FILTER (ok) AS accepted, count(*) FILTER (NOT ok) AS rejected, count(*) FILTER (ok AND date_diff('day', make_date(2026, 1, CAST(doc_id % 28 + 1 AS INTEGER)), DATE '2026-01-31') BETWEEN 0 AND 20) AS fresh,
+    count(*) FILTER (ok AND doc_id % 3 = 2) AS reviews, count(*) FILTER (ok AND doc_id % 3 = 1) AS jobs, count(*) FILTER (ok AND doc_id % 3 = 0) AS public_items, CAST(coalesce(sum(doc_id % 7) FILTER (ok AND doc_id % 3 = 0), 0) AS BIGINT) AS engagement,
+    count(*) FILTER (ok AND felt) AS sentiment_items, CASE WHEN count(*) FILTER (ok AND felt) >= 10 AND count(DISTINCT doc_id % 4) FILTER (ok AND felt) >= 2 THEN 'available' ELSE 'abstain' END AS sentiment_status FROM o GROUP BY 1"""
+)
+def footprint_rollup(spark, sf_dir):
+    made = signals.footprint(_observations(spark, sf_dir), F.to_timestamp(F.lit("2026-01-31 00:00:00")), 20)
+    return made.select("organisation_number", "accepted", "rejected", "fresh", "reviews", "jobs", "public_items", "engagement", "sentiment_items", "sentiment_status")
+
+
+@query(
+    f"""WITH {_REASONS}, o AS (SELECT *, len(why) = 0 AS ok FROM r) SELECT organisation_number, CAST(CASE WHEN count(*) FILTER (ok) > 0 THEN 5 ELSE 0 END + CASE WHEN count(*) FILTER (ok AND doc_id % 3 = 2) > 0 THEN 10 ELSE 0 END
+    + CASE WHEN count(*) FILTER (ok AND doc_id % 3 = 1) > 0 THEN 10 ELSE 0 END + CASE WHEN count(*) FILTER (ok AND doc_id % 3 = 0) > 0 THEN 10 ELSE 0 END AS DOUBLE) AS score FROM o GROUP BY 1"""
+)
+def development_score(spark, sf_dir):
+    return signals.development_score(_observations(spark, sf_dir), F.lit(False), F.lit(False)).select("organisation_number", "score")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS actual, CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 = 0 THEN 'neutral' WHEN toxic = 1 THEN 'negative' ELSE 'positive' END AS said FROM labels),
+    n AS (SELECT label, count(*) FILTER (actual = label AND said IS NOT DISTINCT FROM label) AS tp, count(*) FILTER (actual <> label AND said IS NOT DISTINCT FROM label) AS fp, count(*) FILTER (actual = label AND said IS DISTINCT FROM label) AS fn
+    FROM p, (VALUES ('positive'), ('neutral'), ('negative'), ('mixed')) l(label) GROUP BY 1), m AS (SELECT label, tp + fn AS support, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM n)
+    SELECT label, support, round(p, 6) AS precision, round(r, 6) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 6) AS f1 FROM m"""
+)
+def sentiment_eval(spark, sf_dir):
+    labels = _read(spark, sf_dir, "labels").withColumn("id", F.col("doc_id").cast("string"))
+    gold = labels.select("id", F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("label"))
+    said = F.when(F.col("doc_id") % 7 == 0, "neutral").when(F.col("toxic") == 1, "negative").otherwise("positive")
+    made = signals.label_scores(gold, labels.where("doc_id % 9 <> 0").select("id", said.alias("label")))
+    return made.select("label", "support", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(
+    """WITH g AS (SELECT d.source AS organisation_number, CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS label, doc_id % 3 <> 0 AS good, doc_id % 4 AS host FROM documents d JOIN labels USING (doc_id)),
+    a AS (SELECT organisation_number, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS rejected, count(DISTINCT host) FILTER (good) AS sources, list_sort(list(DISTINCT label) FILTER (good AND label <> 'neutral')) AS felt FROM g GROUP BY 1)
+    SELECT organisation_number, CASE WHEN sources >= 2 THEN 'available' ELSE 'abstain' END AS status, CASE WHEN sources >= 2 THEN CASE WHEN coalesce(len(felt), 0) = 0 THEN 'neutral' WHEN len(felt) = 1 THEN felt[1] ELSE 'mixed' END END AS label, accepted, rejected, sources FROM a"""
+)
+def company_sentiment_rollup(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents").join(_read(spark, sf_dir, "labels"), "doc_id")
+    n = F.col("doc_id")
+    items = docs.select(
+        F.col("source").alias("organisation_number"), F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral").alias("label"), (n % 3 != 0).alias("exact_entity"), F.lit("public_news").alias("source_class"),
+        F.concat(F.lit("https://host"), (n % 4).cast("string"), F.lit(".example.com/a")).alias("source_url"), F.lit(None).cast("string").alias("source_id"), F.lit("2026-01-01").alias("retrieved_at"), F.lit("s").alias("evidence_span"), F.lit("h").alias("content_sha256"),
+    )
+    return signals.company_sentiment(items)
+
+
+@query(
+    """WITH h AS (SELECT event_type AS strategy, count(*) AS runs, avg(value) AS mean FROM events GROUP BY 1), t AS (SELECT count(*) AS total FROM events)
+    SELECT strategy, runs, round(mean + 0.35 * sqrt(ln(total + 1) / (runs + 1)), 4) AS priority FROM h, t"""
+)
+def ucb_strategy_order(spark, sf_dir):
+    history = _read(spark, sf_dir, "events").select(F.col("event_type").alias("strategy"), F.col("value").alias("gain"))
+    ordered = signals.strategy_order(history.select("strategy").distinct().withColumn("position", F.lit(0)), history)
+    return ordered.select("strategy", "runs", F.round("priority", 4).alias("priority"))
+
+
+@query("SELECT l_returnflag, count(*) AS n, quantile_disc(l_quantity, 0.5) AS p50, quantile_disc(l_quantity, 0.95) AS p95, max(l_quantity) AS max FROM lineitem GROUP BY 1")
+def nearest_rank_latency(spark, sf_dir):
+    return reports.nearest_rank(_read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", {"p50": 0.5, "p95": 0.95})
+
+
+@query(
+    "WITH r AS (SELECT o_orderpriority, o_totalprice, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS k, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) "
+    "SELECT o_orderpriority, max(n) AS n, max(o_totalprice) FILTER (k = n // 2) AS p50, max(o_totalprice) FILTER (k = least(n - 1, n * 95 // 100)) AS p95 FROM r GROUP BY 1"
+)
+def index_percentile(spark, sf_dir):
+    return reports.indexed_percentiles(_read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice")
+
+
+_TOPIC = {t: " OR ".join(f"contains(lower(text), '{w}')" for w in ws) for t, ws in sorted(screens.TOPICS.items())}
+
+
+@query(
+    "SELECT conv_id, turn, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{t}' END" for t, c in _TOPIC.items()) + "], lambda x: x IS NOT NULL), ',') AS topics FROM conversations WHERE role = 'user'"
+)
+def qa_topic_routing(spark, sf_dir):
+    asked = _read(spark, sf_dir, "conversations").where("role = 'user'")
+    return asked.select("conv_id", "turn", F.array_join(screens.topics(F.col("text")), ",").alias("topics"))
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits, length(digits) = 8 OR (length(digits) = 10 AND digits LIKE '47%') AS is_phone FROM (SELECT doc_id, substr(text, 1, 200) AS text FROM documents)")
+def phone_normalise(spark, sf_dir):
+    """Phones in the lead of a text, which is what the rule reads."""
+    lead = F.substring("text", 1, 200)
+    return _read(spark, sf_dir, "documents").select("doc_id", names.digits(lead).alias("digits"), (names.phone(lead) != "").alias("is_phone"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
+def activity_windows(spark, sf_dir):
+    """An extension beside the reference: events by day."""
+    made = _read(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 day")["start"].alias("window_start")).agg(F.count("*").alias("n"))
+    return made.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query()
+def site_candidates(spark, sf_dir):
+    """Ordered website candidates of every company."""
+    empty = F.array().cast("array<string>")
+    rows = companies(spark, sf_dir).select(
+        "organisation_number", "name", F.lit("").alias("website"), F.concat(F.lit("post@"), names.slug(F.col("name")), F.lit(".no")).alias("email"), F.lit(0).alias("email_entities"),
+        *[empty.alias(c) for c in ("subunit_websites", "search_domains", "directory_domains", "employer_homepages", "subunit_names")],
+    )
+    return identity.candidates(rows)
+
+
+@query()
+def headline_mentions(spark, sf_dir):
+    """Benchmark passages as headlines, and whether they name the company whose name is their first words."""
+    rows = _read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("name"), "text")
+    return rows.select("item_id", feeds.names_company(F.col("name"), F.col("text")).alias("named"))
+
+
+@query("SELECT doc_id, 'ev-' || substr(sha256('{\"doc_id\": ' || doc_id || ', \"lang\": \"' || lang || '\"}'), 1, 16) AS id FROM documents")
+def content_ids(spark, sf_dir):
+    """Content addresses from canonical JSON."""
+    made = F.concat(F.lit("ev-"), F.substring(F.sha2(canonical.canonical_json({"doc_id": F.col("doc_id"), "lang": F.col("lang")}), 256), 1, 16))
+    return _read(spark, sf_dir, "documents").select("doc_id", made.alias("id"))

@@ -30,9 +30,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
-    groups = simhash.near_duplicate_groups(docs)
-    return docs.join(groups.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi")
+    """One document, that of the smallest id, of each group of near copies.
+
+    Rows of one id are one document and stay or go together; rows without an id are not judged."""
+    others = simhash.near_duplicate_groups(docs).where("doc_id <> component_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def digits_pattern(number: Column, country: bool = False) -> Column:
 
 def span_of(text: Column, pattern: Column, around: int = 60) -> Column:
     """The match with the text around it, without tags; null where there is none."""
-    found = F.regexp_extract(text, F.concat(F.lit(rf"(?s)(.{{0,{around}}}"), pattern, F.lit(rf".{{0,{around}}})")), 1)
+    found = F.try_element_at(F.regexp_extract_all(text, F.concat(F.lit(rf"(?s)(.{{0,{around}}}"), pattern, F.lit(rf".{{0,{around}}})")), 1), F.lit(1))
     return F.nullif(F.substring(html.collapsed(F.regexp_replace(found, "<[^>]*>?", " ")), 1, 240), F.lit(""))
 
 

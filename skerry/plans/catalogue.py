@@ -540,11 +540,10 @@ def qa_topic_routing(spark, sf_dir):
     return asked.select("conv_id", "turn", F.array_join(screens.topics(F.col("text")), ",").alias("topics"))
 
 
-@query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits, length(digits) = 8 OR (length(digits) = 10 AND digits LIKE '47%') AS is_phone FROM (SELECT doc_id, substr(text, 1, 200) AS text FROM documents)")
+@query("SELECT doc_id, regexp_replace(text, '[^0-9]', '', 'g') AS digits, length(digits) = 8 OR (length(digits) = 10 AND digits LIKE '47%') AS is_phone FROM documents")
 def phone_normalise(spark, sf_dir):
-    """Phones in the lead of a text, which is what the rule reads."""
-    lead = F.substring("text", 1, 200)
-    return _read(spark, sf_dir, "documents").select("doc_id", names.digits(lead).alias("digits"), (names.phone(lead) != "").alias("is_phone"))
+    """Texts whose digits are one phone."""
+    return _read(spark, sf_dir, "documents").select("doc_id", names.digits(F.col("text")).alias("digits"), (names.phone(F.col("text")) != "").alias("is_phone"))
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")

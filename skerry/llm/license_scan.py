@@ -98,7 +98,7 @@ def rules() -> list[tuple[int, int, str, str, str, float]]:
             licence, needed = "(?: licen[cs]e)?", "" if alone else " licen[cs]e"
             for version in versions:
                 tag = f"{label}-{version.split()[0]}-clause" if "clause" in version else f"{label}-{version.replace(' ', '.')}"
-                made.append((1, tag, keyword, f" {name}{needed or licence}(?: version| v)? {version}", 0.9))
+                made.append((1, tag, keyword, f" {name}{needed or licence}(?: version)?(?: v ?| ){version}", 0.9))
             made += [(2, label, keyword, f"{lead} {name}{(needed if must else '') or licence}", 1.0) for lead, must in LEAD_INS]
             made.append((3, label, keyword, f" {name}{needed}", 0.7))
     made += [(4, label, f" {keyword} ", pattern, score) for label, keyword, pattern, score in NOTICES]

@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from skerry.llm.common import slices, stored
 from skerry.llm.linear import fit_logistic, labelled_sample, sigmoid
 
-SAMPLE_ROWS, FEATURES, FOLDS, LEAST_TEXTS = 12_000, 256, 4, 3
+SAMPLE_ROWS, FEATURES, FOLDS, LEAST_TEXTS = 12_000, 256, 3, 3
+#: Shrinkage and gradient steps of each linear model.
+L2, ROUNDS = 1e-5, 400
 BEGINNINGS, THRESHOLD = (3, 4, 5, 6), 0.5
 #: Terms that tell apart the categories among texts labelled as toxic (fixed values).
 INSULTS = ("clown", "fool", "idiot", "jerk", "loser", "moron", "stupid")
@@ -64,7 +66,8 @@ def _counted(frames: Iterator[pd.DataFrame], categories: tuple[str, ...]) -> Ite
                     table.update(found)
             if len(tables[0]) > TABLE_LIMIT:
                 yield out()
-    yield out()
+    if tables[0]:  # an empty partition gives nothing, not an untyped frame
+        yield out()
 
 
 class Presence:
@@ -104,10 +107,10 @@ def train_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> list[np.nda
     fold, models, earlier = np.arange(len(x)) % folds, [], np.zeros((len(x), 0), np.float32)
     for k in range(y.shape[1]):
         seen = np.hstack([x, earlier]).astype(np.float32)
-        models.append(fit_logistic(seen, y[:, k]))
+        models.append(fit_logistic(seen, y[:, k], L2, ROUNDS))
         outside = np.zeros(len(x), np.float32)
         for f in range(folds if k + 1 < y.shape[1] else 0):
-            w = fit_logistic(seen[fold != f], y[fold != f, k])
+            w = fit_logistic(seen[fold != f], y[fold != f, k], L2, ROUNDS)
             outside[fold == f] = sigmoid(seen[fold == f] @ w[:-1] + w[-1])
         earlier = np.hstack([earlier, outside[:, None]])
     return models

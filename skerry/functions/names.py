@@ -83,7 +83,11 @@ def digits(value: Column) -> Column:
 
 def phone(value: Column) -> Column:
     """Eight national digits, or empty."""
-    d = digits(value)
+    return national(digits(value))
+
+
+def national(d: Column) -> Column:
+    """Eight digits of a number without its country code, or empty."""
     d = F.when(d.startswith("0047"), F.substring(d, 5, 30)).when(d.startswith("47") & (F.length(d) == 10), F.substring(d, 3, 30)).otherwise(d)
     return F.when(F.length(d) == 8, d).otherwise("")
 

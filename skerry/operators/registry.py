@@ -87,8 +87,9 @@ def domain_counts(rows: DataFrame, email: str = "email") -> DataFrame:
 
 def phone_counts(rows: DataFrame, *columns: str) -> DataFrame:
     """``phone, entities``; a row with one phone twice counts once."""
-    phones = F.array_distinct(F.array(*[names.phone(F.col(c)) for c in columns]))
-    return rows.select(F.explode(phones).alias("phone")).where("phone <> ''").groupBy("phone").agg(F.count("*").alias("entities"))
+    bare = rows.select(*[names.digits(F.col(c)).alias(c) for c in columns])  # once, as the rule reads them often
+    phones = F.array_distinct(F.array(*[names.national(F.col(c)) for c in columns]))
+    return bare.select(F.explode(phones).alias("phone")).where("phone <> ''").groupBy("phone").agg(F.count("*").alias("entities"))
 
 
 def name_counts(rows: DataFrame, name: str = "name") -> DataFrame:

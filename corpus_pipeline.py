@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import packing, pu_quality, simhash, toxicity
+from skerry.llm import near_copies, packing, pu_quality, toxicity
 from skerry.llm.common import read, stored
 
 #: No SQL states a trained classifier; the stages are tested against brute force instead.
@@ -30,10 +30,11 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies.
+    """One document, that of the smallest id, of each group of near copies: texts whose five-word shingles have a
+    Jaccard similarity of 0.8 or more, and what such links join.
 
     Rows of one id are one document and stay or go together; rows without an id are not judged."""
-    others = simhash.near_duplicate_groups(docs).where("doc_id <> component_id").select("doc_id")
+    others = near_copies.near_copy_groups(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(others, "doc_id", "left_anti")
 
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+import math
 import uuid
 import zlib
 from collections import defaultdict
@@ -137,27 +138,53 @@ def marginals(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     return out
 
 
-def _long(word: str, pieces: Pieces, logp: np.ndarray) -> float:
-    """The same forward recursion for one long word, character by character."""
-    text = MARK + word.replace(MARK, "\U0010ffff")
+def _long_arcs(text: str, b: int, pieces: Pieces, logp: np.ndarray) -> list[tuple[int, list[int], float]]:
+    """Of one long word with its mark: start, pieces and log probability of each arc that ends at ``b``."""
+    found = [(a, [k], float(logp[k])) for a in range(max(0, b - LONGEST_PIECE), b) if (k := pieces.by_name.get(text[a:b])) is not None]
+    c = text[b - 1]
+    if c not in pieces.single:
+        spelled = pieces.byte_numbers(0x110000 if b > 1 and c == "\U0010ffff" else ord(c))
+        found.append((b - 1, spelled, float(logp[spelled].sum())))
+    return found
+
+
+def _long_forward(text: str, pieces: Pieces, logp: np.ndarray) -> list[float]:
     fwd = [0.0]
     for b in range(1, len(text) + 1):
-        terms = [fwd[a] + logp[k] for a in range(max(0, b - LONGEST_PIECE), b) if (k := pieces.by_name.get(text[a:b])) is not None]
-        c = text[b - 1]
-        if c not in pieces.single:
-            terms.append(fwd[b - 1] + logp[pieces.byte_numbers(0x110000 if b > 1 and c == "\U0010ffff" else ord(c))].sum())
+        terms = [fwd[a] + lp for a, _, lp in _long_arcs(text, b, pieces, logp)]
         top = max(terms)
         fwd.append(top + float(np.log(np.exp(np.array(terms) - top).sum())))
-    return fwd[-1]
+    return fwd
+
+
+def _long(word: str, pieces: Pieces, logp: np.ndarray) -> float:
+    """The same forward recursion for one long word, character by character."""
+    return _long_forward(MARK + word.replace(MARK, "\U0010ffff"), pieces, logp)[-1]
+
+
+def _long_counts(word: str, times: float, pieces: Pieces, logp: np.ndarray, total: np.ndarray) -> None:
+    """Adds one long word's expected uses to ``total``; arcs are found again for the way back, not kept."""
+    text = MARK + word.replace(MARK, "\U0010ffff")
+    fwd = _long_forward(text, pieces, logp)
+    bwd = [-np.inf] * len(text) + [0.0]
+    for b in range(len(text), 0, -1):
+        for a, used, lp in _long_arcs(text, b, pieces, logp):
+            after = lp + bwd[b]
+            low, high = min(bwd[a], after), max(bwd[a], after)
+            bwd[a] = high + math.log1p(math.exp(low - high))
+            share = times * math.exp(fwd[a] + after - fwd[-1])
+            for k in used:
+                total[k] += share
 
 
 def expected_counts(words: list[str], times: np.ndarray, pieces: Pieces, logp: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece over the words' segmentations, by forward-backward; very long words
-    are left to the prior."""
+    """Expected uses of each piece over the words' segmentations, by forward-backward."""
     total = np.zeros(len(logp))
     for rows in _by_length(words) if words else ():
         batch, n = [words[k] for k in rows], len(words[rows[0]]) + 1
         if n - 1 > LONGEST_ROW:
+            for k in rows:
+                _long_counts(words[k], float(times[k]), pieces, logp, total)
             continue
         arcs = [(a, b, r, k, logp[k] if k is not None else _spelled(pieces, logp, codes), codes) for a, b, r, k, codes in pieces.arcs(batch)]
         fwd, bwd = np.full((len(batch), n + 1), -np.inf), np.full((len(batch), n + 1), -np.inf)

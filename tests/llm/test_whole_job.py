@@ -51,3 +51,22 @@ def test_near_copies_of_a_large_group_and_of_its_edge(spark):
     rows += [(1000 + k, " ".join(f"x{j}" for j in rng.integers(0, 5000, 120))) for k in range(5)]
     got = near_copies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == [(d, 0) for d in range(60)] + [(1000 + k, 1000 + k) for k in range(5)]
+
+
+def test_long_words_are_learnt_from(spark, monkeypatch):
+    import public_tokenizers
+
+    from skerry.llm import lattice
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    pieces = lattice.load_pieces(path)
+    words = ["thequickbrownfox" * 5, "日本語の文" * 12, "▁x" * 30, "short"]
+    times, logp = np.array([3.0, 2.0, 1.0, 4.0]), np.log(pieces.prior)
+    got = lattice.expected_counts(words, times, pieces, logp)
+    monkeypatch.setattr(lattice, "LONGEST_ROW", 10**6)
+    assert np.allclose(got, lattice.expected_counts(words, times, pieces, logp))
+    monkeypatch.undo()
+    word = "thequickbrownfox" * 5
+    learnt = lattice.piece_probabilities(spark.createDataFrame([(word, 100_000)], "word string, c long"), 0, path)
+    k = max((n for n in pieces.names if n in word), key=len)
+    assert learnt[pieces.by_name[k]] > logp[pieces.by_name[k]] + 1

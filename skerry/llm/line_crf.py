@@ -7,8 +7,8 @@ Viterbi; the share of words in content lines decides whether a text stays.
 No table marks lines, so training lines get their marks from text labels: all
 lines of a good text are content; a line of a bad text is boilerplate where a
 linear model of lines of bad against good texts holds it for one.  At most
-``sample_rows`` labelled texts are used, a parameter, and of the longest of
-them the first ``TRAIN_LINES`` lines; decoding takes whole texts.
+``sample_rows`` labelled texts are used, a parameter, each of them whole: the
+chain is fitted on consecutive chunks of ``CHUNK_LINES`` lines of it.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from skerry.llm.common import id_and_text, slices, with_id
 from skerry.llm.linear import fit_logistic, labelled_sample, sigmoid
 
-SAMPLE_ROWS, TRAIN_LINES, LEAST_CONTENT = 4_000, 60, 0.6
+SAMPLE_ROWS, CHUNK_LINES, LEAST_CONTENT = 4_000, 60, 0.6
 SYMBOLS = "#*$%&|<>"
 MARKS, UPPER, DIGITS, LOWER = b"#*$%&|<>", bytes(range(65, 91)), b"0123456789", bytes(range(97, 123))
 #: Upper edges of the bins of each line feature.
@@ -128,8 +128,11 @@ class LineCrf:
             path.append(state)
         return path[::-1]
 
-    def fit(self, texts: list[np.ndarray], marks: list[np.ndarray], rounds: int = 120, l2: float = 1e-3, rate: float = 0.1) -> None:
-        """Maximum likelihood by Adam; texts are padded to one matrix and summed over by forward-backward."""
+    def fit(self, texts: list[np.ndarray], marks: list[np.ndarray], begins: np.ndarray, rounds: int = 120, l2: float = 1e-3, rate: float = 0.1) -> None:
+        """Maximum likelihood by Adam; texts are padded to one matrix and summed over by forward-backward.
+
+        ``begins`` is 1 for a text or its first chunk; a later chunk's first line is none of the text."""
+        begin = np.asarray(begins, float)[:, None]
         longest = max(map(len, texts))
         lines = np.zeros((len(texts), longest, len(EDGES)), np.int64)
         gold = np.zeros((len(texts), longest), np.int64)
@@ -146,7 +149,7 @@ class LineCrf:
         for turn in range(1, rounds + 1):
             e = self.emit[lines].sum(2) * there[:, :, None]
             fwd = np.zeros_like(e)
-            fwd[:, 0] = self.first + e[:, 0]
+            fwd[:, 0] = begin * self.first + e[:, 0]
             for t in range(1, longest):
                 new = np.logaddexp(fwd[:, t - 1, :1] + self.step[0], fwd[:, t - 1, 1:] + self.step[1]) + e[:, t]
                 fwd[:, t] = np.where(there[:, t, None] > 0, new, fwd[:, t - 1])
@@ -160,7 +163,7 @@ class LineCrf:
             pair = np.exp(fwd[:, :-1, :, None] + self.step + (e + bwd)[:, 1:, None, :] - total[:, None, None, None]) * both[:, :, None, None]
             miss = (p - hot * there[:, :, None]).reshape(-1, 2)[real]
             g_emit = np.stack([np.bincount(flat.ravel(), np.repeat(miss[:, s], len(EDGES)), WIDTH) for s in (0, 1)], 1)
-            grads = (g_emit / size + l2 * self.emit, (pair.sum((0, 1)) - gold_step) / size + l2 * self.step, (p[:, 0] - hot[:, 0]).sum(0) / size + l2 * self.first)
+            grads = (g_emit / size + l2 * self.emit, (pair.sum((0, 1)) - gold_step) / size + l2 * self.step, (begin * (p[:, 0] - hot[:, 0])).sum(0) / size + l2 * self.first)
             for k, (par, g) in enumerate(zip((self.emit, self.step, self.first), grads)):
                 m, v = state[2 * k], state[2 * k + 1]
                 m += 0.1 * (g - m)
@@ -171,7 +174,7 @@ class LineCrf:
 def train(texts: list[np.ndarray], good: np.ndarray) -> LineCrf:
     """Chain from the line features of labelled texts and their labels."""
     model = LineCrf()
-    texts, good = [t[:TRAIN_LINES] for t in texts], np.asarray(good)
+    good = np.asarray(good)
     used = [k for k, t in enumerate(texts) if len(t)]
     texts, good = [texts[k] for k in used], good[used]
     if not len(texts) or good.min() == good.max():
@@ -188,13 +191,15 @@ def train(texts: list[np.ndarray], good: np.ndarray) -> LineCrf:
     w = fit_logistic(x[rows], owner[rows].astype(float), rounds=150)
     clean = sigmoid(x @ w[:-1] + w[-1]) >= 0.5
     marks = np.where(owner == 1, 1, clean)
-    model.fit(texts, np.split(marks, np.cumsum([len(t) for t in texts])[:-1]))
+    chunked = lambda xs: [x[a : a + CHUNK_LINES] for x in xs for a in range(0, len(x), CHUNK_LINES)]
+    begins = np.array([a == 0 for t in texts for a in range(0, len(t), CHUNK_LINES)])
+    model.fit(chunked(texts), chunked(np.split(marks, np.cumsum([len(t) for t in texts])[:-1])), begins)
     return model
 
 
 def _sampled(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in slices(frames):
-        found = [bins(line_measures(t)[0][:TRAIN_LINES]).ravel().tolist() for t in frame["text"]]
+        found = [bins(line_measures(t)[0]).ravel().tolist() for t in frame["text"]]
         yield pd.DataFrame({"id": frame["id"].to_numpy(), "good": frame["y_quality"].to_numpy(), "lines": found})
 
 

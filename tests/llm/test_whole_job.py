@@ -70,3 +70,15 @@ def test_long_words_are_learnt_from(spark, monkeypatch):
     learnt = lattice.piece_probabilities(spark.createDataFrame([(word, 100_000)], "word string, c long"), 0, path)
     k = max((n for n in pieces.names if n in word), key=len)
     assert learnt[pieces.by_name[k]] > logp[pieces.by_name[k]] + 1
+
+
+def test_lines_after_the_sixtieth_are_learnt_from(spark):
+    from skerry.llm import line_crf
+
+    prose = [f"The council of ward {k} met again and heard what was said about the road." for k in range(100)]
+    links = [f"#{k} | $ * & | SHOP NOW ! | % {k}" for k in range(40)]
+    rows = [(k, "\n".join(prose if k % 2 else prose[:60] + links)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    out = {r["doc_id"]: r["n_content_lines"] for r in line_crf.content_rules(df, labels).collect()}
+    assert out[1] == 100 and out[0] == 60

@@ -36,8 +36,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-4, rounds: int = 2
     return w
 
 
+def one_text_each(rows: DataFrame) -> DataFrame:
+    """One row for each ``id``: of its several texts the one of the smallest hash.  Further columns depend on the id alone."""
+    others = [c for c in rows.columns if c != "text"]
+    return rows.groupBy(*others).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def labelled_sample(df: DataFrame, labels: DataFrame, columns: list[str], rows: int, id_col: str, text_col: str) -> DataFrame:
-    """``id`` (text), ``text`` and the label columns of at most ``rows`` labelled ids, chosen by a hash of the id.
+    """``id`` (text), ``text`` and the label columns of at most ``rows`` labelled ids, chosen by a hash of the id,
+    with one row each however many rows bear the id.
 
     Labels that are null or of null ids take no part; of an id's several labels the largest counts.  The
     label side is broadcast: it has ``rows`` rows at most."""
@@ -49,4 +56,4 @@ def labelled_sample(df: DataFrame, labels: DataFrame, columns: list[str], rows:
         .limit(rows)
     )
     text = df.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
-    return text.join(F.broadcast(chosen), "id")
+    return one_text_each(text.join(F.broadcast(chosen), "id"))

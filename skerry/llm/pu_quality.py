@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skerry.llm.common import id_and_text, slices
-from skerry.llm.linear import fit_logistic, labelled_sample, sigmoid
+from skerry.llm.linear import fit_logistic, labelled_sample, one_text_each, sigmoid
 
 SAMPLE_ROWS, BINS = 12_000, 10
 #: Positives that a threshold must keep for its ratio to count in the prior.
@@ -164,8 +164,8 @@ def quality_column(
 
     ``positives`` holds ids of trusted texts; rows of ``df`` where ``unlabelled`` is true are the web text."""
     trusted = labelled_sample(df, positives.select(id_col, F.lit(1).alias("good")), ["good"], sample_rows, id_col, text_col)
-    few = df.where(unlabelled).select(F.col(f"`{id_col}`").cast("string").alias("id")).orderBy(F.xxhash64("id"), "id").limit(sample_rows).distinct()
-    web = id_and_text(df, id_col, text_col).join(F.broadcast(few), "id")  # sample_rows ids at most
+    few = df.where(unlabelled).select(F.col(f"`{id_col}`").cast("string").alias("id")).dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(sample_rows)
+    web = one_text_each(id_and_text(df.where(unlabelled), id_col, text_col).join(F.broadcast(few), "id"))  # sample_rows rows at most
     both = trusted.select("id", "text", F.lit(1).alias("trusted")).unionByName(web.select("id", "text", F.lit(0).alias("trusted")))
     seen = both.mapInPandas(functools.partial(_featured, keep=("id", "trusted")), "id string, trusted int, x array<double>").collect()
     seen.sort(key=lambda r: (r["id"], r["x"]))

@@ -82,3 +82,18 @@ def test_lines_after_the_sixtieth_are_learnt_from(spark):
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
     out = {r["doc_id"]: r["n_content_lines"] for r in line_crf.content_rules(df, labels).collect()}
     assert out[1] == 100 and out[0] == 60
+
+
+def test_a_frequent_id_brings_one_row_to_the_fits(spark, monkeypatch):
+    from skerry.llm import linear, pu_quality
+
+    rows = [(7, f"The town hall opened on day {k} of the year. It was full.") for k in range(300)] + [(k, f"Text number {k} is here. It is short.") for k in range(100, 130)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(7, 1)] + [(k, k % 2) for k in range(100, 110)], "doc_id long, quality int")
+    sample = linear.labelled_sample(df, labels, ["quality"], 100, "doc_id", "text").collect()
+    assert sorted((int(r["id"]), r["y_quality"]) for r in sample) == [(7, 1)] + [(k, k % 2) for k in range(100, 110)]
+    seen = []
+    fit = pu_quality.fit_quality
+    monkeypatch.setattr(pu_quality, "fit_quality", lambda p, u: seen.append((len(p), len(u))) or fit(p, u))
+    pu_quality.pu_quality(df, labels.where("quality = 1"), F.lit(True), sample_rows=20).count()
+    assert seen == [(6, 20)]

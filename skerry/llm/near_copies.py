@@ -63,7 +63,7 @@ def _signed(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame
     for frame in slices(frames):
         found = [shingles(t, width) for t in frame["text"]]
         nodes = np.array([_HASH(h.tobytes()) if len(h) else 0 for h in found], np.uint64).view(np.int64)
-        yield pd.DataFrame({"id": frame["id"].to_numpy(), "node": nodes, "text": frame["text"].to_numpy(), "keys": [band_keys(h) for h in found]})
+        yield pd.DataFrame({"id": frame["id"].to_numpy(), "node": nodes, "text": frame["text"].to_numpy(), "n": [len(h) for h in found], "keys": [band_keys(h) for h in found]})
 
 
 def _alike(frames: Iterator[pd.DataFrame], width: int, least: float) -> Iterator[pd.DataFrame]:
@@ -87,25 +87,27 @@ def near_copy_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     other columns are ignored.
     """
     signed = stored(
-        with_id(id_and_text(df, id_col, text_col).mapInPandas(functools.partial(_signed, width=width), "id string, node long, text string, keys array<long>"), df, id_col), "near-signed"
+        with_id(id_and_text(df, id_col, text_col).mapInPandas(functools.partial(_signed, width=width), "id string, node long, text string, n long, keys array<long>"), df, id_col), "near-signed"
     )
-    points = stored(signed.groupBy("node").agg(F.min(id_col).alias("own"), F.min("text").alias("text"), F.first("keys").alias("keys")), "near-points")
+    points = stored(signed.groupBy("node").agg(F.min(id_col).alias("own"), F.min("text").alias("text"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-points")
     texts = points.select("node", "text")
-    placed = points.select("node", F.explode("keys").alias("key"))
+    placed = points.select("node", "n", F.explode("keys").alias("key"))
 
     def alike(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long")
 
-    shared = placed.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    tried = stored(placed.join(shared, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "near-tried")
+    # texts of too different sizes cannot be that similar
+    fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("texts")).where("texts > 1").selectExpr("key", "m.node AS a", "m.n AS n_a")
+    tried = stored(placed.join(shared, "key").where((F.col("node") != F.col("a")) & fit("n", "n_a")).select("a", F.col("node").alias("b")).distinct(), "near-tried")
     links = stored(alike(tried), "near-links")
     roots = connected_components(links)
-    met = placed.join(shared.select("key"), "key").join(roots, "node", "left").select("key", "node", F.coalesce("component", "node").alias("root"))
+    met = placed.join(shared.select("key"), "key").join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
     open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = stored(met.join(open_, "key"), "near-apart")
-    other = apart.select("key", F.col("node").alias("node_b"), F.col("root").alias("root_b"))
-    rest = apart.join(other, "key").where("root < root_b").select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
+    other = apart.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
+    rest = apart.join(other, "key").where((F.col("root") < F.col("root_b")) & fit("n", "n_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
     roots = connected_components(links.unionByName(stored(alike(rest), "near-links")))
     named = points.select("node", "own").join(roots, "node", "left").select("node", "own", F.coalesce("component", "node").alias("root"))

@@ -1,158 +1,110 @@
 """Licence scan by ordered signature rules, in DataFrame functions only.
 
-A text's words, lower-cased, are written with one space before each and one at
-the end, and rules are regular expressions over units of a space and a word;
-so spaces before a match count words.  A document whose text holds none of
-the gate's stems goes no further.  Elsewhere each rule whose keyword the words
-hold is matched at all places.  Matches are sorted by place and resolved in
-one sweep: of two that overlap, the one of better priority stays, then the
-one that contains the other, then the earlier rule.
+A text's words, lower-cased, are written with one space between and around
+them, and rules are regular expressions over words.  A document whose text
+holds none of the gate's stems goes no further.  Elsewhere each rule whose
+keyword the words hold is matched at all places: its matches are marked in the
+text, and one cut at spaces tells their places, so the work grows with the
+text and not with the matches.
+
+Detections are resolved by priority, one after the other: a match stays if it
+overlaps none of those of better priority that stay, and among matches of one
+priority the leftmost stays, then the longest (which contains the others),
+then the earlier rule.  A match that is thrown out suppresses nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skerry.llm.license_rules import GATE_STEMS, RULES
+
 #: The base phrases and their labels (fixed values).
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-
-#: Licence names, as words, with the versions that rules look for and the identifier they give.
-FAMILIES = (
-    ("mit", ("mit",), ()),
-    ("apache", ("apache", "apache software"), ("1 0", "1 1", "2 0")),
-    ("gpl", ("gnu general public", "general public", "gnu gpl", "gpl"), ("1", "2", "3")),
-    ("lgpl", ("gnu lesser general public", "gnu library general public", "lesser general public", "lgpl"), ("2", "2 1", "3")),
-    ("agpl", ("gnu affero general public", "affero general public", "agpl"), ("1", "3")),
-    ("bsd", ("bsd", "berkeley software distribution"), ("2 clause", "3 clause", "4 clause")),
-    ("mpl", ("mozilla public", "mpl"), ("1 0", "1 1", "2 0")),
-    ("epl", ("eclipse public", "epl"), ("1 0", "2 0")),
-    ("cddl", ("common development and distribution", "cddl"), ("1 0", "1 1")),
-    ("cpl", ("common public",), ("1 0",)),
-    ("eupl", ("european union public", "eupl"), ("1 1", "1 2")),
-    ("artistic", ("artistic", "perl artistic"), ("1 0", "2 0")),
-    ("isc", ("isc",), ()),
-    ("zlib", ("zlib", "zlib libpng"), ()),
-    ("boost", ("boost software", "bsl"), ("1 0",)),
-    ("unlicense", ("the unlicense", "unlicense"), ()),
-    ("wtfpl", ("do what the fuck you want to public", "wtfpl"), ("2",)),
-    ("osl", ("open software", "osl"), ("1 0", "2 0", "3 0")),
-    ("afl", ("academic free", "afl"), ("2 1", "3 0")),
-    ("ms-pl", ("microsoft public",), ()),
-    ("ofl", ("sil open font", "open font"), ("1 0", "1 1")),
-    ("odbl", ("open database", "odbl"), ("1 0",)),
-    ("python", ("python software foundation", "psf"), ("2",)),
-    ("ruby", ("ruby",), ()),
-    ("php", ("php",), ("3 0", "3 01")),
-    ("postgresql", ("postgresql",), ()),
-    ("cc-by", ("cc by", "creative commons attribution"), ("2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", ("cc by sa", "creative commons attribution sharealike", "creative commons attribution share alike"), ("2 0", "3 0", "4 0")),
-    ("cc-by-nd", ("cc by nd", "creative commons attribution noderivatives"), ("3 0", "4 0")),
-    ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial"), ("3 0", "4 0")),
-    ("cc-by-nc-sa", ("cc by nc sa", "creative commons attribution noncommercial sharealike"), ("3 0", "4 0")),
-    ("cc-by-nc-nd", ("cc by nc nd", "creative commons attribution noncommercial noderivatives"), ("3 0", "4 0")),
-    ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
-)
-#: How a text puts itself under a licence; the first kind needs no word "license" after the name.
-LEAD_INS = (
-    (" licen[cs]ed (?:under|by)(?: the)?(?: terms of(?: the)?)?", False),
-    (" spdx license identifier", False),
-    (" (?:released|available|distributed|published|provided|shared) under(?: the)?(?: terms of(?: the)?)?", True),
-    (" subject to(?: the)?(?: terms of(?: the)?)?", True),
-    (" you may (?:use|copy|redistribute) (?:it|this file|this work|this software) under(?: the)?(?: terms of(?: the)?)?", True),
-)
-#: Sentences that name no licence but mark rights: label, keyword, pattern, relevance.
-NOTICES = (
-    ("all-rights-reserved", "reserved", " all rights reserved", 0.6),
-    ("copyright", "copyright", " copyright(?: c)? (?:19|20)[0-9][0-9]", 0.5),
-    ("public-domain", "domain", " (?:dedicated to|placed in|released into) the public domain", 0.9),
-    ("public-domain", "domain", " public domain", 0.5),
-    ("mit", "permission", " permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("isc", "permission", " permission to use copy modify and or distribute this software for any purpose", 1.0),
-    ("bsd", "redistribution", " redistribution and use in source and binary forms with or without modification", 1.0),
-    ("disclaimer", "warranty", " without warranty of any kind", 0.6),
-    ("disclaimer", "warranties", " without warranties or conditions of any kind", 0.6),
-    ("proprietary", "proprietary", " proprietary and confidential", 0.8),
-    ("proprietary", "reproduced", " may not be reproduced(?: in any form)? without(?: prior)? written permission", 0.8),
-)
-#: A text without any of these stems holds no rule's match and no base phrase.
-GATE = r"(?i)licen[cs]|copyright|reserved|warrant|public[^0-9a-z]+domain|creative[^0-9a-z]+commons|proprietary|reproduced|redistribution|permission|spdx|gpl|cc0|cc[^0-9a-z]+by"
-#: Names that the gate knows by themselves; others count only with the word "license".
-KNOWN = ("gpl", "creative commons", "cc by", "cc0", "unlicense")
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words before and after lower-casing A-Z are the same ones.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-MATCH = "struct<n:int,p:int,label:string,score:double,s:int,e:int>"
-
-
-def rules() -> list[tuple[int, int, str, str, str, float]]:
-    """(number, priority, label, keyword, pattern, relevance) of all rules; a smaller priority is better.
-
-    Built from the families: a licence with its version, a lead-in with the name, and the bare name, in
-    this order of priority."""
-    made: list[tuple[int, str, str, str, float]] = []
-    for label, names, versions in FAMILIES:
-        for name in names:
-            alone = any(k in name for k in KNOWN)
-            keyword = f" {max(name.split(), key=len)} "
-            licence, needed = "(?: licen[cs]e)?", "" if alone else " licen[cs]e"
-            for version in versions:
-                tag = f"{label}-{version.split()[0]}-clause" if "clause" in version else f"{label}-{version.replace(' ', '.')}"
-                made.append((1, tag, keyword, f" {name}{needed or licence}(?: version)?(?: v ?| ){version}", 0.9))
-            made += [(2, label, keyword, f"{lead} {name}{(needed if must else '') or licence}", 1.0) for lead, must in LEAD_INS]
-            made.append((3, label, keyword, f" {name}{needed}", 0.7))
-    made += [(4, label, f" {keyword} ", pattern, score) for label, keyword, pattern, score in NOTICES]
-    return [(n, *x) for n, x in enumerate(made)]
-
-
-def _literal(table: list[tuple]) -> str:
-    rows = ", ".join(f"struct({n} AS n, {p} AS p, '{label}' AS label, '{keyword}' AS keyword, '{pattern}(?= )' AS rx, {score}D AS score)" for n, p, label, keyword, pattern, score in table)
-    return f"array({rows})"
-
-
-def _matches(table: list[tuple]) -> str:
-    """SQL: all matches of the rules whose keyword the words ``t`` hold, with first word and end, in order of place."""
-    count = "(length({0}) - length(replace({0}, ' ', '')))"
-    walk = f"""aggregate(regexp_extract_all(t, r.rx, 0),
-        struct(0 AS k, 0 AS at, cast(array() AS array<{MATCH}>) AS found),
-        (acc, m) -> struct(
-            acc.k + 1 AS k,
-            acc.at + {count.format('element_at(split(t, r.rx, -1), acc.k + 1)')} + {count.format('m')} AS at,
-            array_append(acc.found, struct(r.n, r.p, r.label, r.score,
-                acc.at + {count.format('element_at(split(t, r.rx, -1), acc.k + 1)')} AS s,
-                acc.at + {count.format('element_at(split(t, r.rx, -1), acc.k + 1)')} + {count.format('m')} AS e)) AS found),
-        acc -> acc.found)"""
-    return f"flatten(transform(filter({_literal(table)}, r -> contains(t, r.keyword)), r -> {walk}))"
-
-
-RESOLVED = f"""aggregate(
-    array_sort(hits, (x, y) -> CASE WHEN x.s <> y.s THEN x.s - y.s WHEN x.e <> y.e THEN y.e - x.e WHEN x.p <> y.p THEN x.p - y.p ELSE x.n - y.n END),
-    cast(array() AS array<{MATCH}>),
-    (kept, m) -> CASE
-        WHEN size(kept) = 0 OR element_at(kept, -1).e <= m.s THEN array_append(kept, m)
-        WHEN m.p < element_at(kept, -1).p THEN array_append(slice(kept, 1, size(kept) - 1), m)
-        ELSE kept END)"""
+#: First word, negative length, rule, priority, label, relevance, end: natural order is leftmost, longest, earliest.
+MATCH = "struct<s:int,l:int,n:int,p:int,label:string,score:double,e:int>"
+NOTHING = f"cast(array() AS array<{MATCH}>)"
+#: Matches that one step of the sweep takes; its array of kept ones is copied for each of them.
+CHUNK = 128
+
+
+def _by_keyword(rules: list[tuple]) -> str:
+    """SQL: an array of (keyword, rules), so that each keyword is looked for once."""
+    groups: dict[str, list[str]] = {}
+    for n, (p, label, keyword, pattern, score) in enumerate(rules):
+        groups.setdefault(keyword, []).append(f"struct({n} AS n, {p} AS p, '{label}' AS label, ' ({pattern})(?= )' AS rx, {score}D AS score)")
+    return "array(" + ", ".join(f"struct(' {k} ' AS keyword, array({', '.join(r)}) AS rules)" for k, r in groups.items()) + ")"
+
+
+def _matches(rules: list[tuple]) -> str:
+    """SQL: all matches of the rules whose keyword the words ``t`` hold.
+
+    Begin and end of each match are marked by two characters that no word holds; of the words with a
+    mark, the k-th begin and the k-th end belong together."""
+    places = "filter(transform(w, (x, i) -> IF(contains(x, '{0}'), i, -1)), i -> i >= 0)"
+    spans = f"arrays_zip({places.format(chr(1))} AS b, {places.format(chr(2))} AS f)"
+    made = "struct(z.b - 1 AS s, z.b - z.f - 1 AS l, r.n AS n, r.p AS p, r.label AS label, r.score AS score, z.f AS e)"
+    one = f"""flatten(transform(
+        transform(filter(array(regexp_replace(t, r.rx, ' {chr(1)}$1{chr(2)}')), m -> contains(m, '{chr(1)}')), m -> split(m, ' ')),
+        w -> transform({spans.replace(' AS b', '').replace(' AS f', '')}, z -> {made.replace('z.b', "z['0']").replace('z.f', "z['1']")})))"""
+    return f"flatten(transform(flatten(filter({_by_keyword(rules)}, g -> contains(t, g.keyword)).rules), r -> {one}))"
+
+
+def _chunks(hits: str) -> str:
+    return f"transform(sequence(0, cast((size({hits}) - 1) / {CHUNK} AS int)), c -> slice({hits}, c * {CHUNK} + 1, {CHUNK}))"
+
+
+def _swept(hits: str) -> str:
+    """SQL: of sorted matches, those that begin where the last one that stays has ended."""
+    inner = """aggregate(chunk, struct(acc.last AS last, {nothing} AS got),
+        (a, m) -> IF(m.s >= a.last, struct(m.e AS last, array_append(a.got, m) AS got), a),
+        a -> struct(a.last AS last, array_append(acc.parts, a.got) AS parts))"""
+    step = inner.format(nothing=NOTHING)
+    return f"aggregate({_chunks(hits)}, struct(0 AS last, cast(array() AS array<array<{MATCH}>>) AS parts), (acc, chunk) -> {step}, acc -> flatten(acc.parts))"
+
+
+def resolved(hits: str, priorities: tuple[int, ...]) -> str:
+    """SQL: the matches of an array of MATCH that stay, in order of place."""
+    # a word taken by a match that stays is true in ``taken``, which ends with the last of them
+    taken = """flatten(transform(kept, (m, i) -> concat(
+        array_repeat(false, m.s - IF(i = 0, 0, get(kept, i - 1).e)), array_repeat(true, m.e - m.s))))"""
+    free = "NOT exists(sequence(m.s, m.e - 1), k -> coalesce(get(taken, k), false))"
+    level = f"filter(hits, m -> m.p = p AND {free})"
+    merged = f"""transform(array({taken}), taken -> transform(array({level}), open ->
+        IF(size(open) = 0, kept, array_sort(concat(kept, {_swept('open')})))))[0][0]"""
+    return f"""transform(array(array_sort({hits})), hits -> aggregate(
+        filter(array({', '.join(map(str, priorities))}), p -> exists(hits, m -> m.p = p)), {NOTHING}, (kept, p) -> {merged}))[0]"""
+
+
+def _gate(low: Column, raw: Column) -> Column:
+    held = raw.rlike(r"(?i)cc[^0-9a-z]+by")
+    for stem in GATE_STEMS[::-1]:
+        held = low.contains(stem) | held
+    return held
 
 
 def license_detections(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, n_words, base, kept``: words of the whole text, all places of base phrases, and the
-    detections that stay, as arrays of (rule, priority, label, relevance, first word, end).
+    detections that stay, as arrays of MATCH.
 
-    One output row per input row.  A null text counts as empty; other columns are ignored; equal places
-    are settled by priority, then rule order.  A narrow projection without shuffle or Python."""
-    base = [(n, 0, label, f" {phrase.split()[0]} ", f" {phrase}", 1.0) for n, (phrase, label) in enumerate(BASE)]
+    One output row per input row.  A null text counts as empty; other columns are ignored; repeated rows
+    stay; an empty table gives an empty result.  A narrow projection without shuffle or Python."""
+    base = [(0, label, phrase.split()[0], phrase, 1.0) for phrase, label in BASE]
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    nothing = f"cast(array() AS array<{MATCH}>)"
     text = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    text = text.select("id", "text", F.lower("text").alias("low"))
     words = text.select(
         "id",
         F.regexp_count("text", F.lit(WORD)).cast("long").alias("n_words"),
-        F.when(F.col("text").rlike(GATE), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, lower), SEPARATORS, " ")), F.lit(" "))).alias("t"),
-    )
-    found = words.selectExpr(
-        "id", "n_words", f"CASE WHEN t IS NULL THEN {nothing} ELSE {_matches(base)} END AS base", f"CASE WHEN t IS NULL THEN {nothing} ELSE {_matches(rules())} END AS hits"
+        F.when(_gate(F.col("low"), F.col("text")), F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("text", upper, lower), SEPARATORS, " ")), F.lit(" "))).alias("t"),
     )
-    return found.selectExpr(f"id AS `{id_col}`", "n_words", "base", f"{RESOLVED} AS kept")
+    found = words.selectExpr("id", "n_words", f"CASE WHEN t IS NULL THEN {NOTHING} ELSE {_matches(base)} END AS base", f"CASE WHEN t IS NULL THEN {NOTHING} ELSE {_matches(list(RULES))} END AS hits")
+    kept = resolved("hits", tuple(sorted({r[0] for r in RULES})))
+    return found.selectExpr(f"id AS `{id_col}`", "n_words", "base", f"CASE WHEN size(hits) = 0 THEN {NOTHING} ELSE {kept} END AS kept")
 
 
 def license_scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,11 +2,11 @@
 
 Every document goes to the smallest tier (context size) that holds it; longer
 ones give off full windows of the largest tier and their rest goes to a tier.
-Tiers are packed from the longest down: a piece opens a window of its tier,
-and the gap is filled with the longest fitting pieces of shorter tiers, the
-last one cut to fit, its tail routed again.  What is left of a partition at
-its end, less than one window of each tier, is cut into windows of powers of
-two.  So every window is full: its length is the largest tier or a power of
+Tiers are packed from the longest down: the longest waiting piece of a tier
+opens a window of it, and the gap is filled with two pieces that fit exactly
+or with the longest that fit, of any tier; only where none fits one is cut,
+its tail routed again.  What is left of a partition at its end, less than one
+window, goes to windows of powers of two.  So every window is full: its length is the largest tier or a power of
 two, and nothing is padded.
 
 Windows of one tier are dealt to step groups of equal token count, in
@@ -14,7 +14,7 @@ serpentine order of their attention cost, so that the steps of a run take
 about equally long.
 
 Documents are packed where their input partition lies: no shuffle, and a task
-holds one slice of texts and less than a few windows of waiting pieces.
+holds one slice of texts and POOL_TOKENS of waiting pieces.
 """
 
 from __future__ import annotations
@@ -35,6 +35,8 @@ from skerry.llm.common import id_and_text, slices, with_id
 TIERS = (128, 256, 512, 1024)
 #: Tokens of a step group, and groups that are balanced against each other.
 GROUP_TOKENS, GROUPS_DEALT = 8192, 8
+#: Tokens that wait in a task for windows that they fit, the more the fewer documents are cut.
+POOL_TOKENS = 64 * 1024
 
 
 class Piece:
@@ -49,12 +51,46 @@ class Piece:
         return Piece(self.doc, self.start, self.ids[:length], self.total), Piece(self.doc, self.start + length, self.ids[length:], self.total)
 
 
+class Pool:
+    """Waiting pieces by length; bit n of ``mask`` is set if one of n ids waits."""
+
+    def __init__(self) -> None:
+        self.queues: dict[int, deque[Piece]] = {}
+        self.mask = 0
+
+    def add(self, piece: Piece) -> None:
+        n = len(piece.ids)
+        self.queues.setdefault(n, deque()).append(piece)
+        self.mask |= 1 << n
+
+    def take(self, n: int) -> Piece:
+        queue = self.queues[n]
+        piece = queue.popleft()
+        if not queue:
+            self.mask ^= 1 << n
+        return piece
+
+    def longest(self, most: int) -> int:
+        """The greatest waiting length up to ``most``, or 0."""
+        return max(0, (self.mask & ((2 << most) - 1)).bit_length() - 1)
+
+    def pair(self, gap: int) -> int:
+        """The longer of two waiting lengths that fill ``gap`` together, or 0."""
+        n = self.longest(gap - 1)
+        while 2 * n >= gap:
+            if self.mask >> (gap - n) & 1 and (2 * n > gap or len(self.queues[n]) > 1):
+                return n
+            n = self.longest(n - 1)
+        return 0
+
+
 class TierPacker:
     """Packs the pieces of one partition; ``rows`` holds what is ready to go out."""
 
     def __init__(self, partition: int, tiers: tuple[int, ...] = TIERS):
         self.tiers = tuple(sorted(tiers))
-        self.pools: dict[int, deque[Piece]] = {t: deque() for t in self.tiers}
+        self.whole, self.parts = Pool(), Pool()  # documents in one piece, and rests of others
+        self.held = 0
         self.waiting: dict[int, list[list[Piece]]] = {}
         self.base, self.sequences, self.groups = partition << 32, 0, 0
         self.rows: list[tuple] = []
@@ -68,51 +104,48 @@ class TierPacker:
         self._route(piece)
 
     def _route(self, piece: Piece) -> None:
-        self.pools[next(t for t in self.tiers if len(piece.ids) <= t)].append(piece)
-
-    def _filler(self, gap: int) -> Piece | None:
-        """The longest waiting piece that surely fits, or else one cut from the shortest that does not."""
-        for t in reversed(self.tiers):
-            if t <= gap and self.pools[t]:
-                return self.pools[t].popleft()
-        for t in self.tiers:
-            if t > gap and self.pools[t]:
-                piece = self.pools[t].popleft()
-                if len(piece.ids) > gap:
-                    piece, tail = piece.cut(gap)
-                    self._route(tail)
-                return piece
-        return None
+        (self.parts if piece.start else self.whole).add(piece)
+        self.held += len(piece.ids)
+
+    def _take(self, pool: Pool, n: int) -> Piece:
+        self.held -= n
+        return pool.take(n)
+
+    def _fill(self, gap: int) -> Iterator[Piece]:
+        """Pieces that fill a gap: one or two of just its length, else the longest that fits and on; a piece is cut
+        only where none fits, and then the shortest rest of a document that is cut already, if there is one."""
+        while gap:
+            n = max(self.whole.longest(gap), self.parts.longest(gap))
+            pool = self.parts if self.parts.mask >> n & 1 else self.whole
+            if n and n < gap and (first := self.whole.pair(gap)):
+                yield self._take(self.whole, first)
+                yield self._take(self.whole, gap - first)
+                return
+            if n:
+                yield self._take(pool, n)
+                gap -= n
+                continue
+            pool = self.parts if self.parts.mask else self.whole
+            piece = self._take(pool, (pool.mask & -pool.mask).bit_length() - 1)
+            piece, tail = piece.cut(gap)
+            self._route(tail)
+            yield piece
+            return
 
     def pack(self, last: bool = False) -> None:
-        """Closes windows as long as enough is waiting to fill them; at last, all."""
-        held = sum(len(p.ids) for pool in self.pools.values() for p in pool)
-        for t in reversed(self.tiers):
-            while self.pools[t] and (held >= 2 * self.tiers[-1] or last and held >= t):
-                window, gap = [self.pools[t].popleft()], t
-                gap -= len(window[0].ids)
-                while gap:
-                    piece = self._filler(gap)
-                    window.append(piece)
-                    gap -= len(piece.ids)
-                self._window(t, window)
-                held -= t
+        """Closes windows, those of the longest tier first, as long as enough is waiting to choose from; at last, all."""
+        least = 0 if last else POOL_TOKENS
+        for t, shorter in zip(reversed(self.tiers), [*reversed(self.tiers[:-1]), 0]):
+            while self.held >= max(t, least):
+                n, m = self.whole.longest(t), self.parts.longest(t)
+                if max(n, m) <= shorter:
+                    break
+                first = self._take(self.parts, m) if m >= n else self._take(self.whole, n)
+                self._window(t, [first, *self._fill(t - len(first.ids))])
+        while last and self.held:
+            size = 1 << (self.held.bit_length() - 1)
+            self._window(size, list(self._fill(size)))
         if last:
-            rest = [p for t in reversed(self.tiers) for p in self.pools[t]]
-            for t in self.tiers:
-                self.pools[t].clear()
-            while held:
-                size = 1 << (held.bit_length() - 1)
-                window, gap = [], size
-                while gap:
-                    piece = rest.pop(0)
-                    if len(piece.ids) > gap:
-                        piece, tail = piece.cut(gap)
-                        rest.insert(0, tail)
-                    window.append(piece)
-                    gap -= len(piece.ids)
-                self._window(size, window)
-                held -= size
             for size in list(self.waiting):
                 self._deal(size)
 
@@ -145,14 +178,12 @@ def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives one core to a task
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path)
 
 
 @functools.lru_cache(maxsize=2)
 def latin_encoder(path: str):
-    """A faster encoder with the same ids for Latin text.
+    """A faster encoder with the same ids for Latin text, and the names of added tokens, which it does not know.
 
     Only for a byte-level vocabulary with the usual pattern whose ids follow the order of its merges, so
     that an id is a rank; None for others."""
@@ -165,17 +196,17 @@ def latin_encoder(path: str):
         made = json.load(f)
     model, before = made["model"], made.get("pre_tokenizer") or {}
     if model["type"] != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or made.get("normalizer"):
-        return None
+        return None, ()
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     spelling = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)).difference(printable)))}
     vocabulary = {name: k for name, k in model["vocab"].items() if set(name) <= spelling.keys()}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     order = [vocabulary[a + b] for a, b in pairs]
     if order != sorted(set(order)):
-        return None
+        return None, ()
     special = {t["content"] for t in made.get("added_tokens", [])}
     ranks = {bytes(map(spelling.__getitem__, name)): k for name, k in vocabulary.items() if name not in special}
-    return tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("latin", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), tuple(special)
 
 
 #: Texts of these characters only, of which both encoders know the classes, take the faster one.
@@ -183,9 +214,9 @@ LATIN = re.compile(r"[\t\n\r -~\xa1-\xac\xae-\u024f]*")
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
-    """Ids of one whole text."""
-    fast = latin_encoder(path)
-    if fast and LATIN.fullmatch(text):
+    """Ids of one whole text, those of the tokenizer's plain call (``add_special_tokens=False``)."""
+    fast, added = latin_encoder(path)
+    if fast and LATIN.fullmatch(text) and not any(name in text for name in added):
         return fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
     return np.array(load_tokenizer(path).encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -196,7 +227,8 @@ def pack_documents(df: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id"
     Each text (null: empty) is tokenised whole and ends with ``separator``; each id lies in exactly one
     piece.  Returns one row per piece: ``id_col, start, length, ids_crc32, doc_tokens, sequence_id,
     offset, tier`` (the window's length) ``, step_group``.  Repeated ids or rows are separate documents;
-    other columns are ignored; an empty table gives no pieces.
+    ids may be null; other columns are ignored; an empty table gives no pieces.  Latin text takes a faster
+    encoder with equal ids.
     """
     made = id_and_text(df, id_col, text_col).mapInPandas(
         functools.partial(_packed, path=tokenizer_path, separator=separator, tiers=tuple(tiers)),

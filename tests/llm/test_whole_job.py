@@ -94,6 +94,6 @@ def test_a_frequent_id_brings_one_row_to_the_fits(spark, monkeypatch):
     assert sorted((int(r["id"]), r["y_quality"]) for r in sample) == [(7, 1)] + [(k, k % 2) for k in range(100, 110)]
     seen = []
     fit = pu_quality.fit_quality
-    monkeypatch.setattr(pu_quality, "fit_quality", lambda p, u: seen.append((len(p), len(u))) or fit(p, u))
-    pu_quality.pu_quality(df, labels.where("quality = 1"), F.lit(True), sample_rows=20).count()
-    assert seen == [(6, 20)]
+    monkeypatch.setattr(pu_quality, "fit_quality", lambda p, folds, web: seen.append((len(p), web.rows)) or fit(p, folds, web))
+    pu_quality.pu_quality(df, labels.where("quality = 1"), F.lit(True), sample_rows=5).count()
+    assert seen == [(5, 330)]  # trusted ids are bounded, unlabelled rows are not

@@ -32,8 +32,10 @@ from pyspark.sql import functions as F
 from skerry.llm.common import id_and_text, slices, stored, with_id
 
 MARK, LONGEST_PIECE, LONGEST_ROW = "▁", 16, 48
+#: Stands for a mark inside a word, as no text holds a lone surrogate.
+INNER = "\ud800"
 #: Words of one matrix, characters of one slice of texts, rounds of expectation-maximisation.
-ROWS, SLICE, ROUNDS = 20_000, 16_000_000, 2
+ROWS, SLICE, ROUNDS = 8_000, 16_000_000, 2
 #: Expected counts that the prior adds, in all.
 PRIOR_COUNT = 10_000.0
 BASE, LOG10 = np.uint64(0x9E3779B97F4A7C15), np.log(10.0)
@@ -143,7 +145,7 @@ def _long_arcs(text: str, b: int, pieces: Pieces, logp: np.ndarray) -> list[tupl
     found = [(a, [k], float(logp[k])) for a in range(max(0, b - LONGEST_PIECE), b) if (k := pieces.by_name.get(text[a:b])) is not None]
     c = text[b - 1]
     if c not in pieces.single:
-        spelled = pieces.byte_numbers(0x110000 if b > 1 and c == "\U0010ffff" else ord(c))
+        spelled = pieces.byte_numbers(0x110000 if c == INNER else ord(c))
         found.append((b - 1, spelled, float(logp[spelled].sum())))
     return found
 
@@ -159,12 +161,12 @@ def _long_forward(text: str, pieces: Pieces, logp: np.ndarray) -> list[float]:
 
 def _long(word: str, pieces: Pieces, logp: np.ndarray) -> float:
     """The same forward recursion for one long word, character by character."""
-    return _long_forward(MARK + word.replace(MARK, "\U0010ffff"), pieces, logp)[-1]
+    return _long_forward(MARK + word.replace(MARK, INNER), pieces, logp)[-1]
 
 
 def _long_counts(word: str, times: float, pieces: Pieces, logp: np.ndarray, total: np.ndarray) -> None:
     """Adds one long word's expected uses to ``total``; arcs are found again for the way back, not kept."""
-    text = MARK + word.replace(MARK, "\U0010ffff")
+    text = MARK + word.replace(MARK, INNER)
     fwd = _long_forward(text, pieces, logp)
     bwd = [-np.inf] * len(text) + [0.0]
     for b in range(len(text), 0, -1):
@@ -277,7 +279,8 @@ def lattice_scores(df: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     Words of a whole text (A-Z lower-cased) and one end are its tokens; rows whose crc32(id) mod 10 is not
     0 are learnt from.  A null text counts as empty and has only its end.  A null id counts as the empty
     string.  Repeated rows are separate texts with equal scores; other columns are ignored; an empty table
-    gives an empty result.
+    gives an empty result.  Words of over LONGEST_ROW characters go through the recursion one by one, with
+    equal results; a frequent word makes one row for each slice of SLICE characters.
     """
     sliced = stored(
         id_and_text(df, id_col, text_col).mapInPandas(_sliced, "kind int, part string, id string, held_out boolean, n long, word string, codes binary"), "lm-slices"

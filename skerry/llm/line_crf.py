@@ -57,7 +57,7 @@ def line_measures(text: str) -> tuple[list[list[float]], list[int]]:
         held = lambda of: (size - len(x.translate(None, of))) / size  # noqa: E731, B023
         made.append([
             held(MARKS), held(UPPER), held(DIGITS), held(LOWER),
-            len(set(words)) / n if n <= 60 else sum(len(set(words[a : a + 60])) for a in range(0, n, 60)) / n,
+            sum(len(set(words[a : a + 60])) for a in range(0, n, 60)) / n,
             sum(map(bytes.__eq__, words, words[1:])) / n, x.count(b"!") / n, n, size / n, x in seen, x.rstrip()[-1:] in b".?",
         ])
         counts.append(n)

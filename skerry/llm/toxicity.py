@@ -4,7 +4,12 @@ Each category has a linear model over the presence of words and word
 beginnings in the whole text.  Categories come in a fixed order, and a later
 model also sees the probabilities of the earlier ones; while training, these
 are predicted out of fold, so that the later models learn from probabilities
-as good as those that they will see.
+as good as those that they will see.  Folds are dealt by a hash of the text,
+so that copies of a text share one.
+
+Where labels mark only ``toxic``, the earlier categories are learnt: the texts
+marked so are split into kinds by two-means over the features that tell toxic
+texts from others.
 
 Trained on at most ``sample_rows`` labelled texts and ``features`` features,
 both parameters; scoring is a narrow pass over all texts.
@@ -28,10 +33,8 @@ SAMPLE_ROWS, FEATURES, FOLDS, LEAST_TEXTS = 12_000, 256, 3, 3
 #: Shrinkage and gradient steps of each linear model.
 L2, ROUNDS = 1e-5, 400
 BEGINNINGS, THRESHOLD = (3, 4, 5, 6), 0.5
-#: Terms that tell apart the categories among texts labelled as toxic (fixed values).
-INSULTS = ("clown", "fool", "idiot", "jerk", "loser", "moron", "stupid")
-CONTEMPT = ("disgusting", "garbage", "pathetic", "scum", "trash", "vermin", "worthless")
-CATEGORIES = ("insult", "contempt", "toxic")
+#: What the chain over labels of ``toxic`` alone predicts, in order: the kinds, the larger first, and toxic.
+CATEGORIES = ("kind_1", "kind_2", "toxic")
 #: Entries of a task's word and count tables before they are emptied.
 TABLE_LIMIT = 400_000
 EDGES = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
@@ -92,7 +95,7 @@ class Presence:
 def _presence(frames: Iterator[pd.DataFrame], features: list[str], categories: tuple[str, ...]) -> Iterator[pd.DataFrame]:
     presence = Presence(features)
     for frame in slices(frames):
-        yield pd.DataFrame({"id": frame["id"].to_numpy(), "on": [presence(t) for t in frame["text"]]} | {c: frame[f"y_{c}"].to_numpy() for c in categories})
+        yield pd.DataFrame({"id": frame["id"].to_numpy(), "fold": frame["fold"].to_numpy(), "on": [presence(t) for t in frame["text"]]} | {c: frame[f"y_{c}"].to_numpy() for c in categories})
 
 
 def matrix(on: list[list[int]], width: int) -> np.ndarray:
@@ -102,9 +105,40 @@ def matrix(on: list[list[int]], width: int) -> np.ndarray:
     return x
 
 
-def train_chain(x: np.ndarray, y: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
-    """One weight vector for each column of ``y``; model k takes ``x`` and k earlier probabilities."""
-    fold, models, earlier = np.arange(len(x)) % folds, [], np.zeros((len(x), 0), np.float32)
+def learnt_kinds(x: np.ndarray, toxic: np.ndarray, rounds: int = 20) -> np.ndarray:
+    """Two 0/1 columns that split the toxic rows by two-means, the larger kind first.
+
+    The means begin at the halves of the rows along their widest direction; rows of equal distance go to
+    the first.  Without two different rows all are of the first kind."""
+    own = np.flatnonzero(toxic)
+    z = x[own].astype(float)
+    out = np.zeros((len(x), 2), np.float32)
+    if not len(own):
+        return out
+    middle = z - z.mean(0)
+    way = middle[np.argmax((middle**2).sum(1))]
+    for _ in range(rounds):
+        way = middle.T @ (middle @ way)
+        way /= np.linalg.norm(way) or 1.0
+    second = middle @ way > 0
+    for _ in range(rounds):
+        if second.all() or not second.any():
+            break
+        a, b = z[~second].mean(0), z[second].mean(0)
+        new = ((z - b) ** 2).sum(1) < ((z - a) ** 2).sum(1)
+        if (new == second).all():
+            break
+        second = new
+    if 2 * second.sum() > len(own):
+        second = ~second
+    out[own, second.astype(int)] = 1.0
+    return out
+
+
+def train_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
+    """One weight vector for each column of ``y``; model k takes ``x`` and k earlier probabilities, those of a row
+    from a model that has not seen the row's fold."""
+    models, earlier = [], np.zeros((len(x), 0), np.float32)
     for k in range(y.shape[1]):
         seen = np.hstack([x, earlier]).astype(np.float32)
         models.append(fit_logistic(seen, y[:, k], L2, ROUNDS))
@@ -136,8 +170,9 @@ def chain_column(text: Column, names: list[str], models: list[np.ndarray], categ
     return scored(text.cast("string"))
 
 
-def fit_chain(sample: DataFrame, categories: tuple[str, ...], features: int = FEATURES) -> tuple[list[str], list[np.ndarray]]:
-    """Feature names and models from the labelled texts ``id, text, y_<category>``, a bounded sample."""
+def fit_chain(sample: DataFrame, categories: tuple[str, ...], features: int = FEATURES, kinds: bool = False) -> tuple[list[str], list[np.ndarray]]:
+    """Feature names and models from the labelled texts ``id, text, y_<category>``, a bounded sample; with ``kinds``
+    the chain begins with two learnt kinds of the first category."""
     counts = ", ".join(f"n{i} long" for i in range(len(categories) + 1))
     tally = sample.mapInPandas(functools.partial(_counted, categories=categories), f"feature string, {counts}").groupBy("feature").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(categories) + 1)])
     totals = sample.agg(F.count("*"), *[F.sum(f"y_{c}") for c in categories]).first()
@@ -153,10 +188,14 @@ def fit_chain(sample: DataFrame, categories: tuple[str, ...], features: int = FE
     if useful:
         best = tally.where(F.col("n0") >= LEAST_TEXTS).orderBy(F.greatest(*useful, F.lit(0.0)).desc(), "feature").limit(features)
         names = [r[0] for r in best.select("feature").collect()]
-    seen = sample.mapInPandas(functools.partial(_presence, features=names, categories=categories), f"id string, on array<int>, {', '.join(f'{c} int' for c in categories)}").collect()
+    held = sample.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int"))
+    schema = f"id string, fold int, on array<int>, {', '.join(f'{c} int' for c in categories)}"
+    seen = held.mapInPandas(functools.partial(_presence, features=names, categories=categories), schema).collect()
     seen.sort(key=lambda r: (r["id"], r["on"]))
-    y = np.array([[r[c] for c in categories] for r in seen], np.float32).reshape(-1, len(categories))
-    return names, train_chain(matrix([r["on"] for r in seen], len(names)), y)
+    x, y = matrix([r["on"] for r in seen], len(names)), np.array([[r[c] for c in categories] for r in seen], np.float32).reshape(-1, len(categories))
+    if kinds:
+        y = np.hstack([learnt_kinds(x, y[:, 0]), y])
+    return names, train_chain(x, y, np.array([r["fold"] for r in seen], int))
 
 
 def classifier_chain(
@@ -174,19 +213,16 @@ def classifier_chain(
 
 
 def toxicity_column(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Column:
-    """A struct of ``p_insult, p_contempt, p_toxic`` over the text column, from a chain trained on ``df``.
+    """A struct of ``p_kind_1, p_kind_2, p_toxic`` over the text column, from a chain trained on ``df``.
 
-    ``labels`` marks only ``toxic``; a training text marked so also has each category whose terms it holds.
-    """
-    holds = lambda terms: F.lower("text").rlike(rf"\b(?:{'|'.join(terms)})").cast("int")
-    sample = labelled_sample(df, labels, ["toxic"], sample_rows, id_col, text_col)
-    sample = stored(sample.withColumns({"y_insult": F.col("y_toxic") * holds(INSULTS), "y_contempt": F.col("y_toxic") * holds(CONTEMPT)}), "toxic-sample")
-    names, models = fit_chain(sample, CATEGORIES)
+    ``labels`` marks only ``toxic``; the kinds are learnt from the texts marked so."""
+    sample = stored(labelled_sample(df, labels, ["toxic"], sample_rows, id_col, text_col), "toxic-sample")
+    names, models = fit_chain(sample, ("toxic",), kinds=True)
     return chain_column(F.col(f"`{text_col}`"), names, models, CATEGORIES)
 
 
 def toxicity(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``id_col, p_insult, p_contempt, p_toxic, toxic`` for every row; toxic means p_toxic >= threshold.
+    """``id_col, p_kind_1, p_kind_2, p_toxic, toxic`` for every row; toxic means p_toxic >= threshold.
 
     Nulls, repeated rows and empty tables are treated as in ``classifier_chain``."""
     p = toxicity_column(df, labels, id_col=id_col, text_col=text_col, sample_rows=sample_rows)

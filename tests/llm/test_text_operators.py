@@ -83,7 +83,7 @@ def test_chain_uses_earlier_probabilities():
     rng = np.random.default_rng(0)
     x = (rng.random((600, 6)) < 0.3).astype(np.float32)
     y = np.stack([x[:, 0], np.maximum(x[:, 0], x[:, 1])], 1)
-    models = toxicity.train_chain(x, y)
+    models = toxicity.train_chain(x, y, np.arange(600) % 3)
     assert [len(m) for m in models] == [7, 8]
     p = toxicity.chain_probabilities(x, models)
     assert ((p >= 0.5) == y).mean() > 0.98

@@ -39,6 +39,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """Inner join of many rows with one fact for each key, where one key may hold a third of all rows.
+
+    Keys of over a thousandth of the rows, of which there are fewer than a thousand, get their facts by
+    broadcast; the others by a shuffle in which no key is large."""
+    least = rows.count() / 1000
+    hot = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key), "hot-keys")
+    rare = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key)
+    return rare.unionByName(rows.join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key))
+
+
 def crc_of_id(column: str) -> Column:
     """crc32 of the id as decimal text, which deals rows to folds."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -1,14 +1,20 @@
-"""Near-copy groups by the Jaccard similarity of word shingles.
+"""The wide range of the SimHash operator: groups of texts by the Jaccard similarity of word shingles.
 
-Candidates share one of ``BANDS`` keys of ``ROWS`` min-hashes each; every
-candidate pair is then decided by the exact similarity of its whole texts, so
-the keys cost recall only: a pair at similarity 0.8 shares none with a chance
-of (1 - 0.8 ** 5) ** 30 = 7e-6.
+Copies that differ little are found by the operator's own join, the grid of
+segment counts over fingerprints at RANGE bits.  At a similarity of 0.8,
+though, fingerprints differ in 10 of 64 bits on average, and a grid of that
+range has no selective cells; what the join leaves apart is therefore looked
+for by ``BANDS`` keys of ``ROWS`` min-hashes each.  Every candidate pair is
+decided by the exact similarity of its whole texts, so the keys cost recall
+only: a pair at similarity 0.8 shares none with a chance of
+(1 - 0.8 ** 5) ** 30 = 7e-6.
 
 A key's texts are first compared with its smallest one, which takes as many
 comparisons as texts.  Only texts of a key that no chain of links has joined
 yet are then compared with each other, so every link that could join two
 groups is looked at, and a large group of copies makes no square of pairs.
+Pairs of unfitting sizes, and pairs whose min-hashes agree in clearly fewer
+places than such similarity would have it, are left out before texts are read.
 """
 
 from __future__ import annotations
@@ -19,13 +25,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import id_and_text, slices, stored, with_id
+from skerry.llm.common import slices, spread_join, stored
 from skerry.llm.components import connected_components
+from skerry.llm.simhash import bits_of, linked_pairs
 
 WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
+#: Standard errors by which a pair's agreeing min-hashes may lie below the similarity asked for (a chance of 1e-6 each).
+ERRORS = 4.8
 _HASH = functools.partial(xxhash.xxh64_intdigest, seed=42)
 _RANDOM = np.random.default_rng(42)
 #: Odd factors permute the 64-bit numbers, one order for each min-hash.
@@ -47,23 +56,50 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_HASH, spans), np.uint64, len(words) - width + 1))
 
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """The keys of a text's min-hashes; without shingles there are none."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
+def least_hashes(hashes: np.ndarray) -> np.ndarray:
+    """The min-hashes of a text, in the orders of FACTORS."""
     least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
     for a in range(0, len(hashes), 2048):
         np.minimum(least, (hashes[None, a : a + 2048] * FACTORS[:, None]).min(1), out=least)
+    return least
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """The keys of a text's min-hashes."""
     rows = least.reshape(BANDS, ROWS)
     mixed = ((rows ^ (rows >> np.uint64(29))) * MIXERS).sum(1, dtype=np.uint64)
     return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
 
 
-def _signed(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    for frame in slices(frames):
-        found = [shingles(t, width) for t in frame["text"]]
-        nodes = np.array([_HASH(h.tobytes()) if len(h) else 0 for h in found], np.uint64).view(np.int64)
-        yield pd.DataFrame({"id": frame["id"].to_numpy(), "node": nodes, "text": frame["text"].to_numpy(), "n": [len(h) for h in found], "keys": [band_keys(h) for h in found]})
+def signs(text: Column, width: int) -> Column:
+    """A struct of the text's node (the hash of its shingles), fingerprint, shingles, keys, and a byte of each
+    min-hash; a text without shingles has node and fingerprint 0 and no keys."""
+
+    @F.pandas_udf("node long, fp long, n long, keys array<long>, sketch binary")
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            nodes, prints, counts, keys, sketches = [], [], [], [], []
+            for t in batch:
+                h = shingles(t or "", width)
+                least = least_hashes(h)
+                nodes.append(_HASH(h.tobytes()) if len(h) else 0)
+                prints.append(bits_of(h))
+                counts.append(len(h))
+                keys.append(band_keys(least) if len(h) else np.zeros(0, np.int64))
+                sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+            signed = {"node": np.array(nodes, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64)}
+            yield pd.DataFrame(signed | {"n": counts, "keys": keys, "sketch": sketches})
+
+    return made(text.cast("string"))
+
+
+def _agreeing(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
+    places = len(FACTORS)
+    share = least + (1 - least) / 256  # a byte agrees by chance, too
+    enough = places * share - ERRORS * np.sqrt(places * share * (1 - share))
+    for f in frames:
+        a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), places) for c in ("sketch_a", "sketch_b"))
+        yield f.loc[(a == b).sum(1) >= enough, ["a", "b"]]
 
 
 def _alike(frames: Iterator[pd.DataFrame], width: int, least: float) -> Iterator[pd.DataFrame]:
@@ -78,39 +114,79 @@ def _alike(frames: Iterator[pd.DataFrame], width: int, least: float) -> Iterator
             yield frame.loc[np.array(on, bool), ["a", "b"]]
 
 
-def near_copy_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per input row: ``id_col, component_id``, the smallest id that links of texts with at least
-    ``similarity`` reach, itself included.
-
-    Texts of equal shingles are one; a null text counts as empty, and texts without words are alike.  Ids
-    that are null take part but never name a group, unless all of its ids are null.  Repeated rows stay;
-    other columns are ignored.
-    """
-    signed = stored(
-        with_id(id_and_text(df, id_col, text_col).mapInPandas(functools.partial(_signed, width=width), "id string, node long, text string, n long, keys array<long>"), df, id_col), "near-signed"
-    )
-    points = stored(signed.groupBy("node").agg(F.min(id_col).alias("own"), F.min("text").alias("text"), F.first("n").alias("n"), F.first("keys").alias("keys")), "near-points")
-    texts = points.select("node", "text")
-    placed = points.select("node", "n", F.explode("keys").alias("key"))
+def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The rows as ``row, own, text, node, fp, u`` with a number ``u`` of their own, and ``node, root`` of all nodes.
+
+    Texts of equal shingles are one node; links join nodes whose shingles have ``similarity`` at least."""
+    text = F.col(f"`{text_col}`").cast("string")
+    signed = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own"), signs(text, width).alias("s"))
+    signed = stored(signed.select("row", "own", "s.*").withColumn("u", F.monotonically_increasing_id()), "near-signed")
+    signed = signed.withColumn("text", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))
+    points = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-points")
+    sketches = points.select("node", "n", "sketch")
+
+    def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+        for k in "ab":
+            pairs = pairs.join(table.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
+        return pairs
 
     def alike(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long")
+        """Those of some pairs that are similar enough."""
+        near = sides(pairs, sketches, "sketch").mapInPandas(functools.partial(_agreeing, least=similarity), "a long, b long")
+        near = stored(near, "near-pairs")
+        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
+        texts = signed.select("node", "text").join(asked, "node").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have equal shingles
+        return stored(sides(near, texts, "text").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long"), "near-links")
 
-    # texts of too different sizes cannot be that similar
     fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n")).alias("m"), F.count("*").alias("texts")).where("texts > 1").selectExpr("key", "m.node AS a", "m.n AS n_a")
-    tried = stored(placed.join(shared, "key").where((F.col("node") != F.col("a")) & fit("n", "n_a")).select("a", F.col("node").alias("b")).distinct(), "near-tried")
-    links = stored(alike(tried), "near-links")
+
+    # nodes of one fingerprint, and of linked fingerprints, each by its smallest node
+    prints = points.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
+    ends = prints.select(F.col("fp").alias("a"), F.col("head").alias("x")), prints.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    close = linked_pairs(prints.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    same = points.where("n > 0").join(prints, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    links = alike(close.unionByName(same))
+    roots = connected_components(links)
+
+    # the wider range: a key's texts against its smallest one, then those that are still apart
+    placed = points.select("node", "n", F.explode("keys").alias("key")).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
+    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    shared = shared.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"), F.col("m.root").alias("root_a"))
+    tried = placed.join(shared, "key").where((F.col("root") != F.col("root_a")) & fit("n", "n_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    tried = stored(tried.distinct(), "near-tried")
+    links = links.unionByName(alike(tried))
     roots = connected_components(links)
-    met = placed.join(shared.select("key"), "key").join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-    open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = stored(met.join(open_, "key"), "near-apart")
+    placed = points.select("node", "n", F.explode("keys").alias("key")).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
+    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    apart = stored(placed.join(open_, "key"), "near-apart")
     other = apart.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     rest = apart.join(other, "key").where((F.col("root") < F.col("root_b")) & fit("n", "n_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
     rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    roots = connected_components(links.unionByName(stored(alike(rest), "near-links")))
-    named = points.select("node", "own").join(roots, "node", "left").select("node", "own", F.coalesce("component", "node").alias("root"))
-    smallest = named.groupBy("root").agg(F.min("own").alias("component_id"))
-    groups = stored(named.join(smallest, "root").select("node", "component_id"), "near-groups")
-    return signed.select(id_col, "node").join(groups, "node").select(id_col, "component_id")
+    roots = connected_components(links.unionByName(alike(rest)))
+    named = points.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
+    return signed.select("row", "own", "text", "node", "fp", "u"), stored(named, "near-roots")
+
+
+def near_copy_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per input row: ``id_col, fingerprint`` (of ``width``-word shingles, 16 hex digits) ``,
+    component_id``, the smallest id that links of texts with at least ``similarity`` reach, itself included.
+
+    A null text counts as empty, and texts without words are alike.  Ids that are null take part but never
+    name a group, unless all of its ids are null.  Repeated rows stay; other columns are ignored; an empty
+    table gives an empty result."""
+    rows, roots = near_copies(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
+    least = rows.groupBy("node").agg(F.min("own").alias("own")).join(roots, "node")
+    names = least.groupBy("root").agg(F.min("own").alias("component_id"))
+    named = stored(roots.join(names, "root").select("node", "component_id"), "near-groups")
+    return spread_join(rows.select("own", "fp", "node"), named, "node").select(F.col("own").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of near copies, with all its columns: that of the smallest id, of several such rows
+    that of the smallest text, of equal ones any.  A row without an id stays only where no row of its group
+    has one.  Else as ``near_copy_groups``."""
+    rows, roots = near_copies(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
+    first = F.struct(F.col("own").isNull().alias("none"), "own", F.xxhash64("text").alias("h"), "u").alias("first")
+    least = rows.select("node", first).groupBy("node").agg(F.min("first").alias("first"))
+    chosen = stored(least.join(roots, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.u"), "near-kept")
+    return rows.select("row", "u").join(chosen, "u", "left_semi").select("row.*")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import id_and_text, slices, stored, with_id
+from skerry.llm.common import id_and_text, slices, spread_join, stored, with_id
 from skerry.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, RANGE = 16, 4, 2
@@ -48,7 +48,11 @@ def fingerprint(text: str, width: int = 3) -> int:
     ends = ends.cumsum() - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     spans = map(line.__getitem__, map(slice, starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist()))
-    hashes = np.fromiter(map(_HASH, spans), np.uint64, len(words) - width + 1)
+    return bits_of(np.fromiter(map(_HASH, spans), np.uint64, len(words) - width + 1))
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes; of none: 0."""
     count = np.zeros(64, np.int64)
     for a in range(0, len(hashes), 8192):
         count += np.unpackbits(hashes[a : a + 8192].view(np.uint8), bitorder="little").reshape(-1, 64).sum(0, dtype=np.int64)
@@ -101,18 +105,25 @@ def linked_pairs(points: DataFrame) -> DataFrame:
     return small.unionByName(stars).distinct()
 
 
-def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
     """One row per input row: ``id_col, fingerprint`` (16 hex digits) ``, component_id``.
 
+    With a ``similarity`` the links are those of texts whose sets of ``width``-word shingles have at least
+    that Jaccard similarity; see ``near_copies``.
+
     ``component_id`` is the smallest id that links of RANGE differing bits or fewer reach, itself
     included.  A null text counts as empty; texts without words share the fingerprint zero and are
     linked like any others.  Ids that are null take part but are never a component's name, unless all of
     its ids are null.  Repeated rows stay; other columns are ignored.
     """
+    if similarity is not None:
+        from skerry.llm.near_copies import near_copy_groups
+
+        return near_copy_groups(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
     prints = stored(fingerprints(df, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min(id_col).alias("own")), "points")
     labels = connected_components(linked_pairs(points))  # node, component: both fingerprints
     named = points.join(labels, points["fp"] == labels["node"], "left").selectExpr("fp", "own", "coalesce(component, fp) AS root")
     smallest = named.groupBy("root").agg(F.min("own").alias("component_id"))
     groups = stored(named.join(smallest, "root").select("fp", "component_id"), "groups")
-    return prints.join(groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(prints, groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

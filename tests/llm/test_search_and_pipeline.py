@@ -64,7 +64,7 @@ def test_stages_against_their_rules(spark, pipeline):
     for (_, stage), rule in zip(pipeline.STAGES[:-1], (
         lambda d: toxicity.toxicity(d, labels).where("NOT toxic").select("doc_id"),
         lambda d: pu_quality.pu_quality(d, labels.where("quality = 1"), F.lit(True)).where("predicted = 1").select("doc_id"),
-        lambda d: simhash.near_duplicate_groups(d).where("doc_id = component_id").select("doc_id"),
+        lambda d: simhash.near_duplicate_groups(d, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id"),
     )):
         made = stage(spark, kept, SF).cache()
         assert made.columns == docs.columns
@@ -75,6 +75,6 @@ def test_stages_against_their_rules(spark, pipeline):
     assert {r[0] for r in pieces.select("doc_id").distinct().collect()} == {r[0] for r in kept.select("doc_id").collect()}
     toxic = {r[0] for r in labels.where("toxic = 1").select("doc_id").collect()}
     good = {r[0] for r in labels.where("toxic = 0 AND quality = 1").select("doc_id").collect()}
-    left = {r[0] for r in simhash.near_duplicate_groups(docs).where("doc_id = component_id").select("doc_id").collect()}
+    left = {r[0] for r in simhash.near_duplicate_groups(docs, width=5, similarity=0.8).where("doc_id = component_id").select("doc_id").collect()}
     final = {r[0] for r in kept.select("doc_id").collect()}
     assert len(final & toxic) <= 0.1 * len(toxic) and len((good & left) - final) <= 0.1 * len(good)

@@ -18,27 +18,35 @@ ORACLE_SQL = None
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity chain does not hold for toxic."""
+    """Documents that the toxicity chain does not hold for toxic, with all their columns.
+
+    Every row is judged by its own text: null and empty texts like a text without known words, repeated
+    rows alike.  A probability of just 0.5 stays, so without labels all stay; an empty table stays empty."""
     p = toxicity.toxicity_column(docs, read(spark, sf_dir, "labels"))
-    return docs.where(p["p_toxic"] < toxicity.THRESHOLD)
+    return docs.where(p["p_toxic"] <= toxicity.THRESHOLD)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality is likelier good than not; the web text to learn from is all documents."""
+    """Documents whose quality is likelier good than not; the web text to learn from is all documents.
+
+    Every row is judged by its own text, a null one as empty, repeated rows alike; a score of just 0.5 stays,
+    so without trusted documents all stay; an empty table stays empty."""
     trusted = read(spark, sf_dir, "labels").where("quality = 1")
     return docs.where(pu_quality.quality_column(docs, trusted, F.lit(True)) >= 0.5)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies: texts whose five-word shingles have a
-    Jaccard similarity of 0.8 or more, and what such links join.
+    """One document of each group of near copies: texts whose five-word shingles have a Jaccard similarity of 0.8
+    or more, and what such links join.
 
-    Rows of one id are one document and stay or go together; rows without an id are not judged."""
-    others = near_copies.near_copy_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti")
+    The smallest id stays, of its rows in the group that of the smallest text; rows of one id in different
+    groups do not touch each other, and a row without an id stays where its group has no other.  Null,
+    empty and blank texts are alike; an empty table stays empty."""
+    return near_copies.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in full windows; null texts count as empty, repeated ids are separate documents."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

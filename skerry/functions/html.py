@@ -6,8 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#64;": "@", "&aring;": "å", "&oslash;": "ø", "&aelig;": "æ", "&copy;": "©", "&amp;": "&"}
-PARKED = r"(?i)domain (?:is )?for sale|buy this domain|domene(?:t)? er til salgs|parked (?:domain|free)|this domain is parked|under construction"
-CHALLENGE = r"(?i)checking your browser|verify you are human|enable javascript and cookies|attention required|captcha|access denied"
+# Fixed patterns of parked and placeholder pages and of a host's bot check; both count on pages of little text only.
+PARKED = (
+    r"(?i)(is parked|domain (name )?is for sale|this domain (is|may be) for sale|buy this domain|future home of|is registered,? but|domain has (just )?been registered|parkingcrew|sedoparking|bodis\.com|dan\.com|"
+    r"domenet er (til salgs|parkert|registrert)|kjøp (dette )?domenet|dette domenet|domene til salgs|under construction|kommer snart|coming soon|website is (currently )?under)"
+)
+CHALLENGE = r"(?i)please wait while your request is being verified"
+LITTLE_TEXT = 3000
+NO_PHONE = r"(?:\+|00)47[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}(?!\d)"
+NO_EMAIL = r"(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.no\b"
+NO_LANG = r"(?i)<html[^>]*\blang=[\"']?(?:no|nb|nn)(?:[-_][a-z]{2})?[\"'\s>]"
 
 
 def unescaped(text: Column) -> Column:
@@ -47,29 +55,41 @@ def meta(html: Column, name: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<meta[^>]*(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*content\s*=\s*[\"']([^\"']*)", 1)
 
 
+def plain_text(html: Column) -> Column:
+    """Text without scripts, styles and tags; entities stay as they are written."""
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    return collapsed(F.regexp_replace(bare, "<[^>]+>", " "))
+
+
+def said_briefly(text: Column, pattern: str) -> Column:
+    """Whether a page's plain text is short and holds the pattern."""
+    return (F.length(text) < LITTLE_TEXT) & text.rlike(pattern)
+
+
 def is_parked(html: Column) -> Column:
-    text = visible_text(html)
-    return (F.length(text) < 3000) & F.concat(title(html), F.lit(" "), text).rlike(PARKED)
+    return said_briefly(plain_text(html), PARKED)
 
 
 def is_challenge(html: Column) -> Column:
-    text = visible_text(html)
-    return (F.length(text) < 3000) & F.concat(title(html), F.lit(" "), text).rlike(CHALLENGE)
+    return said_briefly(plain_text(html), CHALLENGE)
+
+
+def drawn_by_scripts(text: Column, html: Column) -> Column:
+    """Little visible text and at least two scripts: the page is drawn by a browser."""
+    return (F.length(text) < 100) & (F.regexp_count(F.coalesce(html, F.lit("")), F.lit("(?i)<script")) >= 2)
 
 
 def needs_scripts(html: Column) -> Column:
-    """Little text and at least two scripts: the page is drawn by a browser."""
-    return (F.length(visible_text(html)) < 100) & (F.regexp_count(F.coalesce(html, F.lit("")), F.lit("(?i)<script")) >= 2)
+    return drawn_by_scripts(visible_text(html), html)
+
+
+def tied_to_norway(text: Column, html: Column) -> Column:
+    """A page that is declared Norwegian, or whose text names a +47 phone or a .no address."""
+    return F.coalesce(html, F.lit("")).rlike(NO_LANG) | text.rlike(NO_PHONE) | text.rlike(NO_EMAIL)
 
 
 def norwegian_tie(html: Column) -> Column:
-    """A page that is declared Norwegian or names a +47 phone or a .no address."""
-    page = F.coalesce(html, F.lit(""))
-    return (
-        page.rlike(r"(?i)<html[^>]*\blang=[\"']?(?:no|nb|nn)(?:[-_][a-z]{2})?[\"'\s>]")
-        | visible_text(html).rlike(r"(?:\+|00)47[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}(?!\d)")
-        | visible_text(html).rlike(r"(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.no\b")
-    )
+    return tied_to_norway(visible_text(html), html)
 
 
 def feed_date(text: Column) -> Column:

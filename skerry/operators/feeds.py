@@ -13,8 +13,9 @@ from skerry.functions import names
 
 
 def latest_state(log: DataFrame, key: str, sequence: str) -> DataFrame:
-    """The last row of each key in arrival order."""
-    return log.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(F.col(sequence).desc()))).where("_k = 1").drop("_k")
+    """The last row of each key in arrival order; of several with one number, the one of the greatest content."""
+    order = Window.partitionBy(key).orderBy(F.col(sequence).desc(), F.xxhash64(*log.columns).desc())
+    return log.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def matched_ads(ads: DataFrame, companies: DataFrame) -> DataFrame:

@@ -84,6 +84,13 @@ def filed_years(years: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(years.cast("array<string>"), lambda y: y.rlike(r"^\d+$"))))
 
 
+def history(bodies: DataFrame, key: str = "organisation_number", column: str = "years") -> DataFrame:
+    """``key, years, documents``: filed years in order, and the address of each year's document, the newest first."""
+    of = lambda y: F.concat(F.lit("https://data.brreg.no/regnskapsregisteret/regnskap/aarsregnskap/kopi/"), F.col(key), F.lit("/"), y)
+    made = bodies.select(key, filed_years(F.col(column)).alias("years"))
+    return made.withColumn("documents", F.transform(F.reverse("years"), lambda y: F.struct(y.alias("year"), of(y).alias("url"))))
+
+
 def roles(body: DataFrame, key: str = "organisation_number", column: str = "body") -> DataFrame:
     """One row per role of a register's answer; birth dates are not read."""
     shape = (

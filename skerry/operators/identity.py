@@ -79,9 +79,14 @@ def name_on_page(page: Column, name: Column) -> Column:
     return (F.size(wanted) > 0) & F.forall(wanted, lambda w: F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), w, F.lit("(?![a-z0-9])"))))
 
 
+#: How a page announces an organisation number (fixed pattern).
+ANNOUNCED = r"(?i)(?:org(?:anisasjons)?\.?\s*(?:nr|nummer|no|number)\.?|foretaksregisteret|\bNO)\s*[:.]?\s*(\d{3}[\s.]?\d{3}[\s.]?\d{3})(?!\d)"
+
+
 def foreign_numbers(page: Column, own: Column) -> Column:
-    """Nine-digit numbers that a page announces as its organisation number, without the company's own."""
-    said = F.regexp_extract_all(html.visible_text(page), F.lit(r"(?i)org(?:anisasjons)?[\s.\-]*(?:nr|nummer|no)?[\s.:\-]*((?:\d[\s.]?){8}\d)(?!\d)"), 1)
+    """Nine-digit numbers that a page announces as its operator's, without the company's own."""
+    text = html.collapsed(F.regexp_replace(F.coalesce(page, F.lit("")), "<[^>]+>", " "))
+    said = F.regexp_extract_all(text, F.lit(ANNOUNCED), 1)
     return F.array_except(F.array_distinct(F.transform(said, lambda n: F.regexp_replace(n, r"\D", ""))), own)
 
 

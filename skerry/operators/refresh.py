@@ -18,12 +18,15 @@ def long_form(profiles: DataFrame, fields: list[str], key: str = "organisation_n
 
 
 def changes(previous: DataFrame, current: DataFrame, fields: list[str], key: str = "organisation_number") -> DataFrame:
-    """``key, field, old_value, new_value`` of all tracked fields that differ; null equals null only.
+    """``key, field, old_value, new_value`` of all tracked fields that differ, by company and field; null equals null only.
 
-    Both snapshots must hold the same companies: see ``membership_drift``."""
-    old = long_form(previous, fields, key).withColumnRenamed("value", "old_value")
-    new = long_form(current, fields, key).withColumnRenamed("value", "new_value")
-    return old.join(new, [key, "field"]).where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    Both snapshots must hold the same companies: one that only one of them has raises when the result is read."""
+    old = long_form(previous, fields, key).select(key, "field", F.col("value").alias("old_value"), F.lit(True).alias("_old"))
+    new = long_form(current, fields, key).select(key, "field", F.col("value").alias("new_value"), F.lit(True).alias("_new"))
+    both = old.join(new, [key, "field"], "full_outer")
+    lone = F.col("_old").isNull() | F.col("_new").isNull()
+    drift = F.when(lone, F.raise_error(F.concat(F.lit("snapshots hold different companies: "), F.col(key).cast("string"))).cast("boolean"))
+    return both.where(F.coalesce(drift, ~F.col("old_value").eqNullSafe(F.col("new_value")))).select(key, "field", "old_value", "new_value").orderBy(key, "field")
 
 
 def site_changes(previous: DataFrame, current: DataFrame, key: str = "organisation_number") -> DataFrame:
@@ -55,3 +58,30 @@ def precision_recall(found: DataFrame, expected: DataFrame, keys: list[str]) ->
     n = a.join(b, keys, "full_outer").agg(F.count("_f").alias("detected"), F.count("_e").alias("expected"), F.count_if(F.col("_f").isNotNull() & F.col("_e").isNotNull()).alias("hits"))
     share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.col("hits") / F.nullif(F.col(of), F.lit(0)))
     return n.withColumns({"precision": share("detected"), "recall": share("expected")})
+
+
+def fingerprint(inputs: DataFrame, chunk: str, previous: DataFrame, run: dict[str, str], key: str = "organisation_number") -> DataFrame:
+    """``chunk, fingerprint``: what decides the result of each chunk: its companies in order, their previous profiles (``body``
+    texts), and the run's own settings."""
+    joined = inputs.join(previous.select(key, F.col("body").alias("_body")), key, "left")
+    each = F.struct("input_ordinal", F.col(key), F.sha2(F.coalesce("_body", F.lit("null")), 256))
+    listed = joined.groupBy(chunk).agg(F.to_json(F.array_sort(F.collect_list(each))).alias("_rows"))
+    settings = ", ".join(f"{k}={run[k]}" for k in sorted(run))
+    return listed.select(chunk, F.sha2(F.concat(F.lit(settings + "|"), "_rows"), 256).alias("fingerprint"))
+
+
+def chunk_problems(inputs: DataFrame, made: DataFrame, chunk: str, key: str = "organisation_number") -> DataFrame:
+    """``chunk, wanted, made, missing, repeated, foreign`` of chunks whose results are not one for each of their companies."""
+    n = made.groupBy(chunk, key).agg(F.count("*").alias("n"))
+    both = inputs.select(chunk, key, F.lit(1).alias("_in")).join(n, [chunk, key], "full_outer")
+    count = lambda flag: F.count_if(F.coalesce(flag, F.lit(False)))
+    summed = both.groupBy(chunk).agg(
+        count(F.col("_in").isNotNull()).alias("wanted"), F.coalesce(F.sum("n"), F.lit(0)).alias("made"), count(F.col("n").isNull()).alias("missing"), count(F.col("n") > 1).alias("repeated"), count(F.col("_in").isNull()).alias("foreign")
+    )
+    return summed.where("missing > 0 OR repeated > 0 OR foreign > 0")
+
+
+def fallback(inputs: DataFrame, made: DataFrame, modules: list[str], note: str, key: str = "organisation_number") -> DataFrame:
+    """``key, module, status, note`` for companies without a result: every module has failed, and why."""
+    left = inputs.join(made.select(key).distinct(), key, "left_anti")
+    return left.select(key, F.explode(F.array(*map(F.lit, modules))).alias("module"), F.lit("failed").alias("status"), F.lit(note).alias("note"))

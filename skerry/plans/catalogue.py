@@ -229,11 +229,12 @@ def missing_is_not_zero(spark, sf_dir):
 
 
 @query(
-    f"WITH {COMPANIES} SELECT i AS input_ordinal, CAST(900000000 + i * 3 AS VARCHAR) AS organisation_number, name, CASE WHEN name IS NULL THEN 'not_found' ELSE 'available' END AS status FROM range(1000) t(i) LEFT JOIN companies c ON c.organisation_number = CAST(900000000 + i * 3 AS VARCHAR)"
+    f"WITH {COMPANIES} SELECT CAST(k AS BIGINT) AS input_ordinal, CAST(900000000 + k * 2 AS VARCHAR) AS organisation_number, name, CASE WHEN name IS NULL THEN 'not_found' ELSE 'available' END AS status "
+    "FROM (SELECT c_custkey AS k FROM customer) LEFT JOIN companies c ON c.organisation_number = CAST(900000000 + k * 2 AS VARCHAR)"
 )
 def requested_absent(spark, sf_dir):
     """One row per requested company in input order; an absent one is not found."""
-    asked = spark.range(1000).select(F.col("id").alias("input_ordinal"), (F.lit(900000000) + F.col("id") * 3).cast("string").alias("organisation_number"))
+    asked = _read(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("input_ordinal"), (F.lit(900000000) + F.col("c_custkey") * 2).cast("string").alias("organisation_number"))
     return registry.requested(asked, companies(spark, sf_dir).select("organisation_number", "name")).select("input_ordinal", "organisation_number", "name", "status")
 
 
@@ -312,29 +313,17 @@ def page_titles(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
 
 
-@query()
-def page_checks(spark, sf_dir):
-    """Page states that decide whether a site can be published at all."""
-    page = F.col("html")
-    return _read(spark, sf_dir, "pages").select("page_id", html.is_parked(page).alias("parked"), html.is_challenge(page).alias("challenge"), html.needs_scripts(page).alias("needs_scripts"), html.norwegian_tie(page).alias("norwegian"), F.length(html.visible_text(page)).alias("visible_chars"))
-
-
-@query()
-def anchor_ranking(spark, sf_dir):
-    """Links of each page by their depth and address, the first ten."""
-    links = _read(spark, sf_dir, "pages").select("page_id", F.explode(html.anchors(F.col("html"))).alias("a")).select("page_id", "a.*").distinct()
-    depth = F.size(F.filter(F.split(urls.path(F.col("href")), "/"), lambda x: x != ""))
-    return signals.top_n(links.withColumn("depth", depth), ["page_id"], ["depth", "href", "text"], 10)
-
-
 @query(
-    f"WITH c AS (SELECT host, 0 AS priority, page_id FROM (SELECT {_HOST} AS host, page_id FROM pages WHERE page_id % 2 = 0) UNION ALL SELECT host, 1, page_id FROM (SELECT {_HOST} AS host, page_id FROM pages WHERE page_id % 3 = 0)) "
+    f"WITH c AS (SELECT {_HOST} AS host, CASE WHEN contains(url, '?') THEN 1 ELSE 0 END AS priority, page_id FROM pages) "
     "SELECT host, priority, page_id FROM c QUALIFY row_number() OVER (PARTITION BY host ORDER BY priority, page_id) = 1"
 )
 def candidate_union_first_wins(spark, sf_dir):
-    pages = _read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "page_id")
-    both = pages.where("page_id % 2 = 0").withColumn("priority", F.lit(0)).unionByName(pages.where("page_id % 3 = 0").withColumn("priority", F.lit(1)))
-    return both.withColumn("_k", F.row_number().over(Window.partitionBy("host").orderBy("priority", "page_id"))).where("_k = 1").select("host", "priority", "page_id")
+    """Hosts by two sources, addresses without and with a query, the first source winning."""
+    pages = _read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), "url", "page_id")
+    asked = F.col("url").contains("?")
+    both = pages.where(~asked).withColumn("priority", F.lit(0)).unionByName(pages.where(asked).withColumn("priority", F.lit(1)))
+    first = identity.first_per(both.withColumn("_order", F.struct("priority", "page_id")), ["host"], "_order")
+    return first.select("host", "priority", "page_id")
 
 
 @query(
@@ -360,11 +349,18 @@ def active_after_latest(spark, sf_dir):
     return feeds.latest_state(_read(spark, sf_dir, "events"), "user_id", "event_id").where("event_type <> 'error'").select("user_id", "event_id")
 
 
-@query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_custkey % 10 = s_suppkey % 10")
+@query(
+    """SELECT CAST(o_orderkey AS BIGINT) AS uuid, CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, CASE WHEN o_orderkey % 3 = 0 THEN 'employer' ELSE 'subunit_employer' END AS relation
+    FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 3 <> 2"""
+)
 def name_block_match(spark, sf_dir):
-    """A join on a block with the exact rule behind it."""
-    block = F.col("c_nationkey") == F.col("s_nationkey")
-    return _read(spark, sf_dir, "customer").join(_read(spark, sf_dir, "supplier"), block & (F.col("c_custkey") % 10 == F.col("s_suppkey") % 10)).select("c_custkey", "s_suppkey")
+    """Ads to companies of the same name key, kept where the employer is the company or a subunit of it."""
+    own = F.lit(900000000) + F.col("o_custkey")
+    employer = F.when(F.col("o_orderkey") % 3 == 0, own).when(F.col("o_orderkey") % 3 == 1, own + 50000000).otherwise(1)
+    written = F.concat(F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit(" CUSTOMER AS"))
+    ads = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("uuid"), written.alias("business_name"), employer.cast("string").alias("employer"))
+    rows = companies(spark, sf_dir).select("organisation_number", "name", F.array((F.col("organisation_number").cast("long") + 50000000).cast("string")).alias("subunits"))
+    return feeds.matched_ads(ads, rows).select("uuid", "organisation_number", "relation")
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS INTEGER) AS rank FROM orders QUALIFY rank <= 3")
@@ -396,13 +392,17 @@ def _year(spark, sf_dir, year: int) -> DataFrame:
     "SELECT organisation_number, field, CAST(CAST(CAST(old_value AS DOUBLE) AS BIGINT) AS VARCHAR) AS old_value, CAST(CAST(CAST(new_value AS DOUBLE) AS BIGINT) AS VARCHAR) AS new_value FROM (SELECT organisation_number, 'revenue' AS field, r0 AS old_value, r1 AS new_value FROM j UNION ALL SELECT organisation_number, 'annual_result', n0, n1 FROM j) WHERE old_value IS DISTINCT FROM new_value"
 )
 def change_feed(spark, sf_dir):
-    return refresh.changes(_year(spark, sf_dir, 1995), _year(spark, sf_dir, 1996), ["revenue", "annual_result"])
+    """Changes of the companies that both snapshots hold; others would be an error, which ``membership_drift`` lists."""
+    a, b = _year(spark, sf_dir, 1995), _year(spark, sf_dir, 1996)
+    return refresh.changes(a.join(b.select("organisation_number"), "organisation_number", "left_semi"), b.join(a.select("organisation_number"), "organisation_number", "left_semi"), ["revenue", "annual_result"])
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS organisation_number, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS old_value, CAST(NULL AS VARCHAR) AS new_value WHERE false")
+@query(_YEARS + "SELECT count(*) AS companies, CAST(0 AS BIGINT) AS changes FROM b")
 def idempotent_diff(spark, sf_dir):
-    """A snapshot against itself: nothing has changed."""
-    return refresh.changes(_year(spark, sf_dir, 1996), _year(spark, sf_dir, 1996), ["revenue", "annual_result"])
+    """A snapshot against itself: all companies are compared, and nothing has changed."""
+    rows = _year(spark, sf_dir, 1996)
+    found = refresh.changes(rows, rows, ["revenue", "annual_result"]).agg(F.count("*").alias("changes"))
+    return rows.agg(F.count("*").alias("companies")).join(F.broadcast(found))  # one row each
 
 
 @query(_YEARS + "SELECT organisation_number, 'previous' AS side FROM a WHERE organisation_number NOT IN (SELECT organisation_number FROM b) UNION ALL SELECT organisation_number, 'current' FROM b WHERE organisation_number NOT IN (SELECT organisation_number FROM a)")
@@ -576,3 +576,6 @@ def content_ids(spark, sf_dir):
     """Content addresses from canonical JSON."""
     made = F.concat(F.lit("ev-"), F.substring(F.sha2(canonical.canonical_json({"doc_id": F.col("doc_id"), "lang": F.col("lang")}), 256), 1, 16))
     return _read(spark, sf_dir, "documents").select("doc_id", made.alias("id"))
+
+
+from skerry.plans import claim_catalogue, report_catalogue, web_catalogue  # noqa: E402, F401  their queries register here, too

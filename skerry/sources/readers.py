@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Names under which a document wraps its list of rows, and names of the key column (fixed values).
 WRAPPERS = ("_embedded", "enheter", "companies", "organisations", "organizations", "items", "data")
-KEYS = ("organisation_number", "organisationnumber", "organisasjonsnummer", "orgnr", "org_number", "org")
+KEYS = ("organisation_number", "organisationnumber", "organisasjonsnummer", "organization_number", "orgnr", "org_nr", "org_number", "orgnumber", "org", "id", "number")
 
 
 def underscored(df: DataFrame) -> DataFrame:
@@ -56,15 +56,60 @@ def registry_json(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Companies of a batch in file order: ``input_ordinal, organisation_number, valid, repeated``.
-
-    One number per line, or CSV or JSON lines with a number in a column of a known name."""
-    ordinal = F.monotonically_increasing_id().alias("input_ordinal")
-    number = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in KEYS], F.substring_index("value", ",", 1))
-    rows = spark.read.text(path).where("trim(value) <> ''").select(ordinal, F.regexp_replace(number, r"\D", "").alias("organisation_number"))
-    rows = rows.where("organisation_number <> ''")
-    first = F.min("input_ordinal").over(Window.partitionBy("organisation_number"))
-    return rows.withColumns({"valid": F.length("organisation_number") == 9, "repeated": F.col("input_ordinal") != first})
+    """Companies of a batch in file order: ``input_ordinal`` (from 0 without gaps) ``, organisation_number, evaluation_split, sample_slice,
+    valid, repeated``.
+
+    One number per line, CSV, JSON lines, or a JSON array or wrapped list of numbers or objects, with the
+    number under a known name.  A manifest is the list of one batch, so it is numbered in one task."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("text"))
+    wrapped = F.coalesce(*[F.get_json_object("text", f"$.{w}") for w in WRAPPERS], F.col("text"))
+    listed = F.from_json(F.when(F.trim(wrapped).startswith("["), wrapped), "array<string>")
+    lines = F.split("text", r"\r?\n")
+    header = F.transform(F.split(F.lower(F.element_at(lines, 1)), "[,;\t]"), lambda h: F.trim(F.replace(h, F.lit('"'), F.lit(""))))
+    each = text.select(F.posexplode(F.coalesce(listed, lines)).alias("_at", "value"), header.alias("_head")).where("trim(value) <> ''")
+    cells = F.split("value", "[,;\t]")
+
+    def named(*options: str) -> Column:
+        from_json = F.coalesce(*[F.get_json_object("value", f"$.{k}") for k in options])
+        place = F.array_max(F.array(*[F.array_position("_head", k) for k in options]))
+        return F.coalesce(from_json, F.when((place > 0) & ~F.ltrim("value").startswith("{"), F.get(cells, F.when(place > 0, place.cast("int") - 1).otherwise(0))))
+
+    number = F.regexp_replace(F.coalesce(named(*KEYS), F.when(~F.ltrim("value").startswith("{"), F.get(cells, 0))), r"\D", "")
+    more = [F.nullif(F.trim(named(k)), F.lit("")).alias(k) for k in ("evaluation_split", "sample_slice")]
+    rows = each.select("_at", number.alias("organisation_number"), *more).where("organisation_number <> ''")
+    first = F.min("_at").over(Window.partitionBy("organisation_number"))
+    ordinal = (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")
+    made = rows.withColumns({"input_ordinal": ordinal, "valid": F.length("organisation_number") == 9, "repeated": F.col("_at") != first})
+    return made.select("input_ordinal", "organisation_number", "evaluation_split", "sample_slice", "valid", "repeated")
+
+
+def separator(spark: SparkSession, path: str) -> str:
+    """The likeliest separator of a CSV file: of semicolon, comma and tab the one that its first line holds most often."""
+    line = (spark.read.text(path).limit(1).first() or [""])[0]
+    return max(";,\t", key=line.count)
+
+
+def is_gzip(spark: SparkSession, path: str) -> bool:
+    """Whether a file is compressed, by its first two bytes and not by its name, which is what Spark goes by."""
+    head = spark.read.format("binaryFile").load(path).select(F.hex(F.substring("content", 1, 2))).first()
+    return bool(head) and head[0] == "1F8B"
+
+
+def registry(spark: SparkSession, path: str) -> DataFrame:
+    """A registry snapshot of any of the known forms: JSON (array, wrapped, lines) or CSV of any separator, whatever the
+    name; rows whose number is not of nine characters are left out.
+
+    A compressed file must be named so, as Spark decompresses by name; one that is not raises."""
+    first = (spark.read.text(path).where("trim(value) <> ''").limit(1).first() or [""])[0].lstrip("\ufeff \t")
+    if first.startswith("\x1f") or (not path.endswith(".gz") and "\ufffd" in first[:4] and is_gzip(spark, path)):
+        raise ValueError(f"{path} is compressed but not named .gz")
+    if first[:1] in "[{" and first:
+        lines = first.startswith("{") and first.rstrip().endswith("}")
+        rows = registry_json(spark, path, lines=lines)
+    else:
+        rows = registry_csv(spark, path, separator(spark, path))
+    number = [c for c in rows.columns if c.lower() in KEYS]
+    return rows.where(F.length(F.coalesce(*[F.col(f"`{c}`").cast("string") for c in number], F.lit(""))) == 9) if number else rows.limit(0)
 
 
 def responses(requests: DataFrame, saved: DataFrame) -> DataFrame:

@@ -16,9 +16,10 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 
 def upserted(stored: DataFrame, fresh: DataFrame, keys: list[str], sequence: str) -> DataFrame:
-    """The newest row of each key of both tables."""
+    """The newest row of each key of both tables; of several with one number, the one of the greatest content."""
     both = stored.unionByName(fresh)
-    return both.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(sequence).desc()))).where("_k = 1").drop("_k")
+    order = Window.partitionBy(*keys).orderBy(F.col(sequence).desc(), F.xxhash64(*both.columns).desc())
+    return both.withColumn("_k", F.row_number().over(order)).where("_k = 1").drop("_k")
 
 
 def shared_only(counts: DataFrame, key: str) -> DataFrame:

@@ -46,7 +46,7 @@ def test_upsert_stream_equals_batch(spark, tmp_path):
     feeds.upsert_stream(stream, ["k"], "seq", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     rows.write.parquet(str(tmp_path / "in/2"))
     feeds.upsert_stream(stream, ["k"], "seq", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out/version=1")).collect()) == [(1, 3, "b"), (2, 2, "c")]
+    assert sorted(tuple(r) for r in feeds.upserted_rows(spark, str(tmp_path / "out")).collect()) == [(1, 3, "b"), (2, 2, "c")]
 
 
 def test_latest_states_of_a_stream(spark, tmp_path):

@@ -36,7 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skerry/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._stored_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files behind stored tables that nothing reads any more, as what was made of them is stored itself."""
+    for path in {t._stored_at for t in tables if hasattr(t, "_stored_at")}:
+        spark = tables[0].sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import stored
+from skerry.llm.common import discard, stored
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -32,11 +32,15 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         for large in (True, False):
             made = _stars(links, large).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            links = stored(made, "links")
+            old, links = links, stored(made, "links")
+            discard(old)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break
         before = state
-    return links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(
+    named = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component")).unionByName(
         links.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )
+    made = stored(named, "components")
+    discard(links)
+    return made

@@ -4,10 +4,11 @@ Copies that differ little are found by the operator's own join, the grid of
 segment counts over fingerprints at RANGE bits.  At a similarity of 0.8,
 though, fingerprints differ in 10 of 64 bits on average, and a grid of that
 range has no selective cells; what the join leaves apart is therefore looked
-for by ``BANDS`` keys of ``ROWS`` min-hashes each.  Every candidate pair is
-decided by the exact similarity of its whole texts, so the keys cost recall
-only: a pair at similarity 0.8 shares none with a chance of
-(1 - 0.8 ** 5) ** 30 = 7e-6.
+for by prefixes: with all shingles in one order, two texts of that similarity
+share one of the first fifth of each.  The order is from rare to frequent, by
+a table of counts over all texts, so that a passage that many documents share
+makes no candidates.  The prefixes lose no pair, and every candidate pair is
+decided by the exact similarity of its whole texts.
 
 A key's texts are first compared with its smallest one, which takes as many
 comparisons as texts.  Only texts of a key that no chain of links has joined
@@ -20,26 +21,28 @@ places than such similarity would have it, are left out before texts are read.
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import slices, spread_join, stored
+from skerry.llm.common import discard, slices, spread_join, stored
 from skerry.llm.components import connected_components
 from skerry.llm.simhash import bits_of, linked_pairs
 
-WIDTH, SIMILARITY, BANDS, ROWS = 5, 0.8, 30, 5
+WIDTH, SIMILARITY = 5, 0.8
+#: Counters of the shingles' table, and of one part of it; min-hashes of a text's sketch.
+TABLE_BITS, PART_BITS, HASHES = 21, 16, 400
 #: Standard errors by which a pair's agreeing min-hashes may lie below the similarity asked for (a chance of 1e-6 each).
 ERRORS = 4.8
 _HASH = functools.partial(xxhash.xxh64_intdigest, seed=42)
-_RANDOM = np.random.default_rng(42)
 #: Odd factors permute the 64-bit numbers, one order for each min-hash.
-FACTORS = _RANDOM.integers(0, 2**64, BANDS * ROWS, np.uint64, endpoint=False) | np.uint64(1)
-MIXERS = _RANDOM.integers(0, 2**64, (BANDS, ROWS), np.uint64, endpoint=False) | np.uint64(1)
+FACTORS = np.random.default_rng(42).integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -64,16 +67,51 @@ def least_hashes(hashes: np.ndarray) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
-    """The keys of a text's min-hashes."""
-    rows = least.reshape(BANDS, ROWS)
-    mixed = ((rows ^ (rows >> np.uint64(29))) * MIXERS).sum(1, dtype=np.uint64)
-    return (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+def _tallied(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    """How often shingles fall on each counter, in parts of the table."""
+    table = np.zeros(1 << TABLE_BITS, np.uint32)
+    for frame in slices(frames):
+        found = np.concatenate([shingles(t, width) for t in frame["text"]])
+        table += np.bincount((found >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32)
+    parts = table.reshape(-1, 1 << PART_BITS)
+    number = TaskContext.get().partitionId() if TaskContext.get() else 0
+    yield pd.DataFrame({"part": np.arange(len(parts)), "of": number, "counts": [x.tobytes() for x in parts]})
 
 
-def signs(text: Column, width: int) -> Column:
-    """A struct of the text's node (the hash of its shingles), fingerprint, shingles, keys, and a byte of each
-    min-hash; a text without shingles has node and fingerprint 0 and no keys."""
+def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(1 << PART_BITS, np.uint64)
+    for x in rows["counts"]:
+        total += np.frombuffer(x, np.uint32)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "of": 0, "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+
+
+def shingle_table(texts: DataFrame, width: int) -> np.ndarray:
+    """Counts over all texts of the shingles that fall on each of 2 ** TABLE_BITS counters, whatever the input's size.
+
+    Summed in two steps, so that no task sees more parts than the root of the number of partitions."""
+    kind = "part int, of int, counts binary"
+    parts = texts.select("text").mapInPandas(functools.partial(_tallied, width=width), kind)
+    step = math.isqrt(texts.rdd.getNumPartitions()) + 1
+    first = parts.groupBy("part", F.pmod("of", F.lit(step))).applyInPandas(_added, kind)
+    rows = first.groupBy("part").applyInPandas(_added, kind).collect()
+    table = np.zeros((1 << (TABLE_BITS - PART_BITS), 1 << PART_BITS), np.uint32)
+    for r in rows:
+        table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    return table.ravel()
+
+
+def prefix(hashes: np.ndarray, table: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles, of which two texts of that similarity share one; ties by the hash, so that all texts have one order."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.int64)
+    order = np.lexsort((hashes, table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))
+    return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64)
+
+
+def signs(text: Column, width: int, similarity: float, table) -> Column:
+    """A struct of the text's node (the hash of its shingles), fingerprint, shingles, prefix, and a byte of each
+    min-hash; a text without shingles has node and fingerprint 0 and no prefix.  ``table`` is a broadcast one."""
 
     @F.pandas_udf("node long, fp long, n long, keys array<long>, sketch binary")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -81,12 +119,11 @@ def signs(text: Column, width: int) -> Column:
             nodes, prints, counts, keys, sketches = [], [], [], [], []
             for t in batch:
                 h = shingles(t or "", width)
-                least = least_hashes(h)
                 nodes.append(_HASH(h.tobytes()) if len(h) else 0)
                 prints.append(bits_of(h))
                 counts.append(len(h))
-                keys.append(band_keys(least) if len(h) else np.zeros(0, np.int64))
-                sketches.append((least >> np.uint64(40)).astype(np.uint8).tobytes())
+                keys.append(prefix(h, table.value, similarity))
+                sketches.append((least_hashes(h) >> np.uint64(40)).astype(np.uint8).tobytes())
             signed = {"node": np.array(nodes, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64)}
             yield pd.DataFrame(signed | {"n": counts, "keys": keys, "sketch": sketches})
 
@@ -119,11 +156,16 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
 
     Texts of equal shingles are one node; links join nodes whose shingles have ``similarity`` at least."""
     text = F.col(f"`{text_col}`").cast("string")
-    signed = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own"), signs(text, width).alias("s"))
+    table = df.sparkSession.sparkContext.broadcast(shingle_table(df.select(F.coalesce(text, F.lit("")).alias("text")), width))  # 8 MB
+    signed = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own"), signs(text, width, similarity, table).alias("s"))
     signed = stored(signed.select("row", "own", "s.*").withColumn("u", F.monotonically_increasing_id()), "near-signed")
-    signed = signed.withColumn("text", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")))
+    rows = signed.select("row", "own", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text"), "node", "fp", "u")
     points = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-points")
-    sketches = points.select("node", "n", "sketch")
+    sketches, scratch = points.select("node", "n", "sketch"), [points]
+
+    def held(table: DataFrame, name: str) -> DataFrame:
+        scratch.append(stored(table, name))
+        return scratch[-1]
 
     def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
         for k in "ab":
@@ -132,13 +174,13 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Those of some pairs that are similar enough."""
-        near = sides(pairs, sketches, "sketch").mapInPandas(functools.partial(_agreeing, least=similarity), "a long, b long")
-        near = stored(near, "near-pairs")
+        near = held(sides(pairs, sketches, "sketch").mapInPandas(functools.partial(_agreeing, least=similarity), "a long, b long"), "near-pairs")
         asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = signed.select("node", "text").join(asked, "node").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have equal shingles
-        return stored(sides(near, texts, "text").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long"), "near-links")
+        texts = rows.select("node", "text").join(asked, "node").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have equal shingles
+        return held(sides(near, texts, "text").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long"), "near-links")
 
     fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
+    rooted = lambda keyed, roots: keyed.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
 
     # nodes of one fingerprint, and of linked fingerprints, each by its smallest node
     prints = points.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
@@ -146,25 +188,28 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
     close = linked_pairs(prints.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     same = points.where("n > 0").join(prints, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     links = alike(close.unionByName(same))
-    roots = connected_components(links)
 
     # the wider range: a key's texts against its smallest one, then those that are still apart
-    placed = points.select("node", "n", F.explode("keys").alias("key")).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-    shared = placed.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    shared = shared.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"), F.col("m.root").alias("root_a"))
-    tried = placed.join(shared, "key").where((F.col("root") != F.col("root_a")) & fit("n", "n_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    tried = stored(tried.distinct(), "near-tried")
+    placed = points.select("node", "n", F.explode("keys").alias("key"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    placed = held(placed.join(shared, "key"), "near-placed")
+    met = rooted(placed, connected_components(links))
+    least = met.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    least = least.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"), F.col("m.root").alias("root_a"))
+    tried = met.join(least, "key").where((F.col("root") != F.col("root_a")) & fit("n", "n_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    tried = held(tried.distinct(), "near-tried")
     links = links.unionByName(alike(tried))
-    roots = connected_components(links)
-    placed = points.select("node", "n", F.explode("keys").alias("key")).join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
-    open_ = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    apart = stored(placed.join(open_, "key"), "near-apart")
+    met = rooted(placed, connected_components(links))
+    open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    apart = held(met.join(open_, "key"), "near-apart")
     other = apart.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
     rest = apart.join(other, "key").where((F.col("root") < F.col("root_b")) & fit("n", "n_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    rest = stored(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")
-    roots = connected_components(links.unionByName(alike(rest)))
+    links = links.unionByName(alike(held(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")))
+    roots = connected_components(links)
     named = points.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
-    return signed.select("row", "own", "text", "node", "fp", "u"), stored(named, "near-roots")
+    named = stored(named, "near-roots")
+    discard(*scratch, roots)
+    return rows, named
 
 
 def near_copy_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:

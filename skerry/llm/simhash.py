@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import id_and_text, slices, spread_join, stored, with_id
+from skerry.llm.common import discard, id_and_text, slices, spread_join, stored, with_id
 from skerry.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, RANGE = 16, 4, 2
@@ -102,7 +102,9 @@ def linked_pairs(points: DataFrame) -> DataFrame:
     keyed = crowded.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS key")
     hubs = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
     stars = keyed.join(hubs, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
-    return small.unionByName(stars).distinct()
+    pairs = stored(small.unionByName(stars).distinct(), "pairs")
+    discard(met)
+    return pairs
 
 
 def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
@@ -122,8 +124,10 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: st
         return near_copy_groups(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
     prints = stored(fingerprints(df, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min(id_col).alias("own")), "points")
-    labels = connected_components(linked_pairs(points))  # node, component: both fingerprints
+    pairs = linked_pairs(points)
+    labels = connected_components(pairs)  # node, component: both fingerprints
     named = points.join(labels, points["fp"] == labels["node"], "left").selectExpr("fp", "own", "coalesce(component, fp) AS root")
     smallest = named.groupBy("root").agg(F.min("own").alias("component_id"))
     groups = stored(named.join(smallest, "root").select("fp", "component_id"), "groups")
+    discard(pairs, labels, points)
     return spread_join(prints, groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

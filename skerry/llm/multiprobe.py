@@ -12,6 +12,10 @@ vectors is dealt to blocks; its queries go to all of them, and each block
 answers with its nearest only, so neither a pair of rows nor a whole bucket
 is ever in one place.  Every vector is indexed; the sample that sets the
 cells' size is bounded by ``sample_rows``.
+
+Few tables with many probes: the index holds each vector once a table, while
+a query's probes are only numbers.  A query sends its vector once to each
+slot that its probes fall on.
 """
 
 from __future__ import annotations
@@ -27,11 +31,12 @@ from pyspark.sql import functions as F
 
 from skerry.llm.common import stored
 
-TABLES, HASHES, PROBES, NEAREST = 16, 12, 260, 10
+TABLES, HASHES, PROBES, NEAREST = 4, 12, 1200, 10
 #: Cell size in units of the sample's distance to its tenth neighbour.
-CELL, SAMPLE_ROWS, SALTS, BLOCK_ROWS, SEED = 2.1, 2_000, 64, 1_024, 7
+CELL, SAMPLE_ROWS, SALTS, BLOCK_ROWS, SEED = 2.2, 2_000, 64, 1_024, 7
 
 
+@functools.lru_cache(maxsize=8)
 def perturbation_sets(hashes: int, count: int) -> np.ndarray:
     """The ``count`` likeliest sets of steps, as 0/1 rows over the ``2 * hashes`` steps sorted by distance.
 

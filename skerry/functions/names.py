@@ -63,9 +63,14 @@ def slug(name: Column) -> Column:
 
 def domain_labels(name: Column) -> Column:
     """Labels that a company of this name may use: ``full`` (all words) and ``partial`` (some), in order."""
+    return labels_of(words(name, 0), words(name, 1))
+
+
+def labels_of(*spelled: Column) -> Column:
+    """``domain_labels`` from the words in each spelling; give columns, as the rule reads them often."""
     lists = []
-    for spelling in (0, 1):
-        bare = F.filter(words(name, spelling), lambda w: ~w.isin(*LEGAL_FORMS))
+    for found in spelled:
+        bare = F.filter(found, lambda w: ~w.isin(*LEGAL_FORMS))
         lists += [F.filter(bare, lambda w: ~w.isin(*FILLERS)), bare]
 
     def written(parts: list[Column]) -> Column:

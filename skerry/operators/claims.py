@@ -9,6 +9,7 @@ from skerry.functions import canonical
 from skerry.operators import registry
 
 CONTRACT_STATES = ("available", "not_available", "blocked", "not_applicable", "ambiguous", "failed")
+# Fixed values of the contract: its states and the measures of filings.
 FINANCIAL_FIELDS = ("revenue", "operating_result", "profit_before_tax", "annual_result", "assets", "equity", "debt")
 PREVIOUS_FIELDS = ("revenue", "operating_result", "annual_result", "equity")
 #: Shares of failed companies above which a module is warned of (fixed values).
@@ -83,14 +84,15 @@ def module_matrix(modules: DataFrame) -> DataFrame:
     return modules.groupBy("module").agg(*[F.count_if(state == s).alias(s) for s in CONTRACT_STATES])
 
 
-def failure_reasons(records: DataFrame, companies: int, top: int = 3) -> DataFrame:
-    """The most frequent reasons of each module's failures, its failure rate and whether that is too high."""
+def failure_reasons(records: DataFrame, top: int = 3, key: str = "organisation_number") -> DataFrame:
+    """The most frequent reasons of each module's failures, its failures over all companies and whether that is too high."""
+    companies = records.agg(F.count_distinct(key).alias("_companies"))
     failed = records.where(F.col("status").isin("failed", "source_error"))
     by = failed.groupBy("module", F.substring(F.coalesce(F.nullif("note", F.lit("")), F.col("status")), 1, 70).alias("reason")).agg(F.count("*").alias("n"))
-    rate = F.sum("n").over(Window.partitionBy("module")) / F.lit(max(companies, 1))
+    rate = F.sum("n").over(Window.partitionBy("module")) / F.greatest(F.col("_companies"), F.lit(1))
     limit = F.coalesce(*[F.when(F.col("module") == m, F.lit(v)) for m, v in FAIL_RATE_WARN.items()], F.lit(1.0))
-    ranked = by.withColumns({"rate": F.round(rate, 4), "rank": F.row_number().over(Window.partitionBy("module").orderBy(F.col("n").desc(), "reason"))})
-    return ranked.where(F.col("rank") <= top).withColumn("warn", F.col("rate") > limit)
+    ranked = by.crossJoin(F.broadcast(companies)).withColumns({"rate": F.round(rate, 4), "rank": F.row_number().over(Window.partitionBy("module").orderBy(F.col("n").desc(), "reason"))})
+    return ranked.where(F.col("rank") <= top).withColumn("warn", F.col("rate") > limit).drop("_companies")  # one row was crossed
 
 
 def terminal_status(status: Column, note: Column) -> Column:

@@ -22,7 +22,9 @@ def candidates(rows: DataFrame, key: str = "organisation_number", full: int = 4,
     one = lambda source, domains, relation="candidate": F.transform(domains, lambda d: F.struct(d.alias("domain"), F.lit(source).alias("source"), (relation if isinstance(relation, Column) else F.lit(relation)).alias("relation")))
     mail = urls.email_domain(F.coalesce("email", F.lit("")))
     shared = F.when(F.coalesce("email_entities", F.lit(0)) >= SHARED_FROM, "administrator_or_group").otherwise("candidate")
-    labels = names.domain_labels(F.col("name"))
+    rows = rows.withColumns({"_w0": names.words(F.col("name"), 0), "_w1": names.words(F.col("name"), 1)})  # folded once
+    rows = rows.withColumn("_labels", names.labels_of(F.col("_w0"), F.col("_w1")))
+    labels = F.col("_labels")
     own = F.slice(labels["full"], 1, full)
     ending = lambda list_, suffix: F.transform(list_, lambda x: F.concat(x, F.lit(suffix)))
     registered = lambda list_: F.transform(list_, urls.registered_domain)

@@ -21,6 +21,7 @@ COLUMNS = {
 }
 #: Contract states of evidence statuses (fixed values); anything else has failed.
 STATES = {"available": "available", "not_available": "not_available", "not_found": "not_available", "not_applicable": "not_applicable", "blocked": "blocked", "ambiguous": "ambiguous"}
+#: Legal forms that must file accounts always, or above thresholds (fixed values).
 ALWAYS_OBLIGED = ("AS", "ASA", "BRL", "BBL", "STI", "SF", "VPFO")
 THRESHOLD_FORMS = ("ENK", "ANS", "DA", "SA", "FLI", "ESEK", "NUF", "UTLA", "ORGL", "SAM", "SPA", "KS", "BO")
 

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from skerry.functions import urls
 
 # Fixed values of the observation contract.
-PLATFORMS = tuple("company_site google_places linkedin facebook instagram x youtube tiktok glassdoor indeed job_board news openstreetmap brreg apple_app_store google_play wikidata wikipedia company_directory".split())
-SIGNALS = tuple("company_profile profile_handle profile_metrics place_summary review review_summary job_posting workforce_snapshot public_post public_mention buzz_metrics".split())
+PLATFORMS = (
+    "company_site", "google_places", "linkedin", "facebook", "instagram", "x", "youtube", "tiktok", "glassdoor", "indeed", "job_board", "news", "openstreetmap", "brreg", "apple_app_store", "google_play", "wikidata", "wikipedia", "company_directory",
+)
+SIGNALS = ("company_profile", "profile_handle", "profile_metrics", "place_summary", "review", "review_summary", "job_posting", "workforce_snapshot", "public_post", "public_mention", "buzz_metrics")
 APPROVED_MODES = ("official_api", "licensed_api", "company_authorized_export", "permitted_public_page")
 EXPERIMENTAL_MODES = ("jobspy_experiment", "unofficial_api_experiment", "rights_review_experiment")
 INDEPENDENT = ("customer_review", "employee_review", "licensed_news", "public_news", "public_mention")
@@ -92,8 +94,9 @@ def company_sentiment(items: DataFrame, key: str = "organisation_number") -> Dat
 def label_scores(gold: DataFrame, predictions: DataFrame, labels: tuple[str, ...] = LABELS) -> DataFrame:
     """``label, support, precision, recall, f1`` of predictions by id; without cases a measure is 0."""
     both = gold.select("id", F.col("label").alias("actual")).join(predictions.select("id", F.col("label").alias("said")), "id", "left")
-    each = both.crossJoin(F.broadcast(gold.sparkSession.createDataFrame([(x,) for x in labels], "label string")))  # as many rows as labels
-    hit = lambda a, s: F.count_if(((F.col("actual") == F.col("label")) == F.lit(a)) & (F.col("said").eqNullSafe(F.col("label")) == F.lit(s)))
+    table = both.groupBy("actual", "said").agg(F.count("*").alias("_n"))  # as many rows as pairs of labels
+    each = table.crossJoin(F.broadcast(gold.sparkSession.createDataFrame([(x,) for x in labels], "label string")))
+    hit = lambda a, s: F.coalesce(F.sum(F.when(((F.col("actual") == F.col("label")) == F.lit(a)) & (F.col("said").eqNullSafe(F.col("label")) == F.lit(s)), F.col("_n"))), F.lit(0))
     n = each.groupBy("label").agg(hit(True, True).alias("tp"), hit(False, True).alias("fp"), hit(True, False).alias("fn"))
     p = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.lit(0.0))
     r = F.coalesce(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), F.lit(0.0))

@@ -204,8 +204,8 @@ def module_state_matrix(spark, sf_dir):
     "SELECT module, reason, n, round(sum(n) OVER (PARTITION BY module) / (SELECT count(*) FROM events), 4) AS rate, CAST(row_number() OVER (PARTITION BY module ORDER BY n DESC, reason) AS INTEGER) AS rank FROM f QUALIFY rank <= 3"
 )
 def failure_rates_top_reason(spark, sf_dir):
-    records = _module_records(spark, sf_dir)
-    return claims.failure_reasons(records, records.count()).select("module", "reason", "n", "rate", "rank")
+    """Each record stands for a company."""
+    return claims.failure_reasons(_module_records(spark, sf_dir), key="event_id").select("module", "reason", "n", "rate", "rank")
 
 
 @query(

@@ -294,7 +294,7 @@ def test_byte_bpe_is_tiktoken(spark, docs):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     rng = random.Random(6)
-    extra = [(20_000 + k, "".join(rng.choice(" \n\t  aZé9.!'日s-tl") for _ in range(rng.randint(0, 80)))) for k in range(200)] + [(30_000, "ab" * 5_000), (30_001, "  x  y ")]
+    extra = [(20_000 + k, "".join(rng.choice(" \n\t  aZé9.!'日s-tl") for _ in range(rng.randint(0, 80)))) for k in range(200)] + [(30_000, "ab" * 5_000), (30_001, "  x  y "), *[(40_000 + n, "abcé"[n % 3 :] * 400 + "x" * n) for n in range(6)], *[(50_000 + n, "q" * n) for n in (255, 256, 257, 258)]]
     both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     got = {r["doc_id"]: r for r in byte_bpe.bpe_digests(both, path, public_tokenizers.PATTERN).collect()}
     for r in both.collect():

@@ -80,7 +80,7 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     first = F.min("_at").over(Window.partitionBy("organisation_number"))
     ordinal = (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")
     made = rows.withColumns({"input_ordinal": ordinal, "valid": F.length("organisation_number") == 9, "repeated": F.col("_at") != first})
-    return made.select("input_ordinal", "organisation_number", "evaluation_split", "sample_slice", "valid", "repeated")
+    return made.select("input_ordinal", "organisation_number", "evaluation_split", "sample_slice", "valid", "repeated").orderBy("input_ordinal")
 
 
 def separator(spark: SparkSession, path: str) -> str:

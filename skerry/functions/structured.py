@@ -1,7 +1,7 @@
-"""Structured data in pages: JSON-LD nodes, and links made absolute.
+"""Structured data in pages: JSON-LD nodes, microdata items, and links made absolute.
 
-Both are small pandas UDFs, as recursion over JSON of any depth and the rules of relative links have no
-built-in form; all else works on their columns.
+These are small pandas UDFs, as recursion over JSON and tags of any depth and the rules of relative links
+have no built-in form; all else works on their columns.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
@@ -46,6 +47,62 @@ def nodes_of(html: str | None) -> list:
     return found
 
 
+#: Elements that have no end, and attributes that hold a property's value in place of its text (fixed values).
+VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
+VALUES = ("content", "datetime", "href", "src")
+
+
+class Items(HTMLParser):
+    """Microdata items of a page as dicts of each property's first value, in document order."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.found: list[dict] = []
+        self.tags: list[str] = []
+        self.items: list[tuple[int, dict]] = []  # depth and item
+        self.texts: list[tuple[int, dict, str, list[str]]] = []  # depth, item, property, pieces
+
+    def handle_starttag(self, tag, attrs):
+        given = {k: v or "" for k, v in attrs}
+        name = given.get("itemprop", "").split()
+        if name and self.items and "itemscope" not in given:
+            item, value = self.items[-1][1], next((given[v] for v in VALUES if v in given), None)
+            if value is not None:
+                item.setdefault(name[0], value)
+            elif tag not in VOID:
+                self.texts.append((len(self.tags), item, name[0], []))
+        if "itemscope" in given:
+            item = {"@type": given.get("itemtype", "").rstrip("/").rsplit("/", 1)[-1]}
+            self.found.append(item)
+            if tag not in VOID:
+                self.items.append((len(self.tags), item))
+        if tag not in VOID:
+            self.tags.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag not in self.tags:
+            return
+        while self.tags.pop() != tag:
+            pass
+        while self.texts and self.texts[-1][0] >= len(self.tags):
+            _, item, name, pieces = self.texts.pop()
+            item.setdefault(name, " ".join("".join(pieces).split()))
+        while self.items and self.items[-1][0] >= len(self.tags):
+            self.items.pop()
+
+    def handle_data(self, data):
+        for _, _, _, pieces in self.texts:
+            pieces.append(data)
+
+
+def items_of(html: str | None) -> list:
+    if "itemscope" not in (html or "").lower():
+        return []
+    parser = Items()
+    parser.feed(html)
+    return [([i["@type"]], True, json.dumps(i, ensure_ascii=False)) for i in parser.found]
+
+
 def _join(base: str | None, link: str | None) -> str | None:
     try:
         return urljoin(base or "", (link or "").strip())
@@ -64,6 +121,17 @@ def json_nodes(html: Column) -> Column:
     return nodes(html)
 
 
+def microdata_items(html: Column) -> Column:
+    """All microdata items of a page in the form of ``json_nodes``."""
+
+    @F.pandas_udf(NODE)
+    def items(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pages.map(items_of)
+
+    return items(html)
+
+
 def absolute(base: Column, link: Column) -> Column:
     """A link as seen from a page; null where it is no link at all."""
 

@@ -49,6 +49,15 @@ def test_postings_that_ran_out_and_ads_on_recruitment_hosts(spark):
     assert [(r["title"], r["extraction"]) for r in got] == [("Inne", "json_ld_jobposting"), ("Selger Oslo", "careers_page_ad_link")]
 
 
+def test_postings_in_microdata(spark):
+    html = (
+        '<div itemscope itemtype="https://schema.org/JobPosting"><h2 itemprop="title">Selger <b>ute</b></h2><meta itemprop="validThrough" content="2024-07-01"><br><a itemprop="url" href="/jobb/1">les</a>'
+        '<span itemprop="hiringOrganization" itemscope itemtype="https://schema.org/Organization"><i itemprop="name">Firma</i></span></div><p itemprop="title">utenfor</p>'
+    )
+    r = webpages.postings(pages(spark, html), ["id"], F.lit(TODAY)).collect()
+    assert [(x["title"], x["link"], str(x["expires"]), x["extraction"]) for x in r] == [("Selger ute", "https://www.firma.no/jobb/1", "2024-07-01", "microdata_jobposting")]
+
+
 def test_articles_that_are_none(spark):
     rows = [("https://a.no/", "Hei"), ("https://a.no/nyheter-2", "Liste"), ("https://a.no/b/c", "Personvern hos oss"), ("https://a.no/hei-verden", "Ny"), ("https://a.no/om", "Om Firma Norge"), ("https://a.no/b/sak", "Om å bygge et passivhus i Bergen")]
     got = spark.createDataFrame(rows, "u string, t string").select(webpages.is_article(F.col("u"), F.col("t")).alias("x")).collect()

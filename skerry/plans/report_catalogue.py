@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skerry.operators import matching, registry, reports
+from skerry.operators import external, matching, registry, reports
 from skerry.plans.catalogue import COMPANIES, _org, _read, companies, query
 
 _ORG = "CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number"
@@ -267,3 +267,83 @@ def competition_score(spark, sf_dir):
     shares = {"two_platforms": 0.5, "workforce_jobs": 1.2, "ratings_reviews": 0.1, "buzz_engagement": 0.1, "sentiment": 0.5, "fresh": 1.0, "exact_registry": 1.0, "financials": 0.5, "roles_locations": 1.0, "website_terminal": 1.0, "research": 12.0, "ux": 7.0}
     rows = companies(spark, sf_dir).select("organisation_number", *[F.lit(v).alias(n) for n, v in shares.items()], even.alias("external_qualified"), even.alias("sentiment_qualified"), F.when(even, 0).otherwise(2).alias("wrong_entity"), F.lit(0).alias("unsupported"), F.lit(9).alias("published"), *[F.lit(True).alias(n) for n in ("audit_size_gate", "connector_policy", "batch_valid", "resume_valid", "refresh_valid")], (k % 3 == 0).alias("external_qa"), F.lit(False).alias("ux_external"), F.lit(900).alias("p95_ms"))
     return reports.competition_score(rows).select("organisation_number", "external_footprint", "official_foundation", "research_agent", "raw_score", "qualified")
+
+
+# external sources
+
+
+@query(
+    """SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, CASE WHEN s_suppkey % 3 <> 2 THEN '"Nordre Maskin" 985589003' || CASE WHEN s_suppkey % 3 = 0 THEN ' Oslo' ELSE '' END END AS asked,
+    CASE s_suppkey % 3 WHEN 0 THEN 'positive' WHEN 1 THEN 'mixed' END AS label, CASE WHEN s_suppkey % 3 = 0 THEN 'https://linkedin.com/company/firma-' || s_suppkey END AS profile FROM supplier"""
+)
+def external_texts(spark, sf_dir):
+    """Search queries, generated labels and profile addresses."""
+    at, key = F.col("s_suppkey") % 3, F.col("s_suppkey")
+    asked = external.discovery_query(F.when(at != 2, " Nordre  Maskin "), F.lit("985 589 003"), F.when(at == 0, "Oslo"))
+    label = external.label_of(F.when(at == 0, ' "Positive." ').when(at == 1, "mixed").otherwise("rather good"))
+    url = F.when(at == 0, F.concat(F.lit("https://NO.linkedin.com/company/Firma-"), key, F.lit("/about?x"))).otherwise(F.concat(F.lit("https://linkedin.com/in/"), key))
+    return _read(spark, sf_dir, "supplier").select(key.cast("long").alias("s_suppkey"), asked.alias("asked"), label.alias("label"), external.company_profile_url(url).alias("profile"))
+
+
+@query("SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, s_suppkey % 5 < 2 AS named FROM supplier")
+def titles_naming_companies(spark, sf_dir):
+    """Titles that name a company in full, and not a longer name."""
+    at = F.col("s_suppkey") % 5
+    title = F.when(at == 0, "Nordre Maskin AS vokser - Avisen").when(at == 1, "Ny ordre til Nordre Maskin AS").when(at == 2, "Søndre Nordre Maskin AS vokser").when(at == 3, "Vekst - Nordre Maskin AS").otherwise("Nordre Maskin")
+    return _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), external.title_names(F.lit("Nordre Maskin AS"), title).alias("named"))
+
+
+@query(f"SELECT {_ORG}, c_custkey % 6 IN (0, 1, 2, 3) AS exact_entity FROM customer")
+def profile_identity(spark, sf_dir):
+    """Whose profile a found one is: name and domain, name and place, a job link, or an alias with place and leader."""
+    at = (F.col("organisation_number").cast("long") - 900000000) % 6
+    said = F.when(at.isin(1, 2, 5), "Nordre Maskin AS").when(at == 3, "Verkstedet").otherwise("Nordre Maskin")
+    rows = companies(spark, sf_dir).select(
+        "organisation_number", F.lit("NORDRE MASKIN AS").alias("name"), F.lit("https://www.nordremaskin.no").alias("site"), F.lit("OSLO").alias("municipality"), said.alias("profile_name"), F.when(at == 0, "nordremaskin.no").otherwise("annen.no").alias("profile_site"),
+        F.when(at.isin(1, 3, 4), "Oslo, Norge").alias("headquarters"), F.when(at == 3, "Leder: Kari Nordmann").alias("profile_text"), F.array(F.lit("Verkstedet AS")).alias("aliases"), F.array(F.lit("Kari Nordmann")).alias("leaders"), (at == 2).alias("job_link"),
+    )
+    return external.profile_identity(rows).select("organisation_number", "exact_entity")
+
+
+@query(
+    """WITH n AS (SELECT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, 'https://www.avis.no/' || o_orderkey AS url, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 3 = 0 AND CAST(o_orderdate AS DATE) BETWEEN DATE '1999-06-01' - 1095 AND DATE '1999-06-02')
+    SELECT organisation_number, url, day, 'avis.no' AS publisher, CAST(row_number() OVER (PARTITION BY organisation_number ORDER BY day DESC, url) AS INTEGER) AS place FROM n QUALIFY place <= 3"""
+)
+def verified_mentions(spark, sf_dir):
+    """News that its publisher's page dates and that names the company in its own headline."""
+    o = _read(spark, sf_dir, "orders")
+    url = F.concat(F.lit("https://www.avis.no/"), "o_orderkey")
+    title = F.when(F.col("o_orderkey") % 3 == 0, "Vekst i Nordre Maskin AS i år").otherwise("Vekst i Søndre Nordre Maskin AS")
+    page = F.concat(F.lit('<meta property="article:published_time" content="'), F.to_date("o_orderdate").cast("string"), F.lit('"><h1>'), title, F.lit("</h1>"))
+    items = o.select(_org("o_custkey"), F.lit("Nordre Maskin AS").alias("name"), url.alias("url"))
+    return external.verified_mentions(items, o.select(url.alias("url"), page.alias("html")), F.lit("1999-06-01").cast("date")).drop("title")
+
+
+@query(
+    """WITH o AS (SELECT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 2 END AS position, CASE WHEN o_orderkey % 2 = 0 THEN 10.0 ELSE 10.0 END AS points FROM orders),
+    c AS (SELECT DISTINCT organisation_number FROM o), p AS (SELECT organisation_number, max(CASE WHEN position = 1 THEN 1 ELSE 0 END) AS jobs, max(CASE WHEN position = 2 THEN 1 ELSE 0 END) AS metrics, count(*) FILTER (position = 1) AS n1, count(*) FILTER (position = 2) AS n2 FROM o GROUP BY 1),
+    s AS (SELECT organisation_number, jobs, metrics, n1, n2, CAST(jobs * 35 AS DOUBLE) AS a1, CAST(CASE WHEN jobs = 1 OR metrics = 1 THEN 25 ELSE 0 END + jobs * 10 + metrics * 10 AS DOUBLE) AS a2 FROM p)
+    SELECT organisation_number, CAST(1 AS INTEGER) AS position, n1 AS new_observations, a1 AS score_after, CASE WHEN a1 > 0 THEN 'reinforce_publishable' ELSE 'blocked_no_input' END AS result FROM s
+    UNION ALL SELECT organisation_number, 2, n2, a2, CASE WHEN a2 > a1 THEN 'reinforce_publishable' WHEN n2 > 0 THEN 'hold' ELSE 'blocked_no_input' END FROM s"""
+)
+def strategy_run(spark, sf_dir):
+    """The score of each company as two strategies are taken one after the other."""
+    o = _read(spark, sf_dir, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    fixed = {"platform": "linkedin", "source_url": "https://a.no/x", "retrieved_at": "2024-01-01T00:00:00Z", "content_sha256": "a" * 64, "acquisition_mode": "official_api", "rights_status": "approved", "source_class": "licensed", "evidence_span": "s"}
+    none = {"sentiment_label": F.lit(None).cast("string"), "sentiment_model_version": F.lit(None).cast("string"), "identity_proof": F.array(F.lit("x")), "exact_entity": F.lit(True)}
+    seen = o.select(F.col("o_orderkey").cast("string").alias("id"), _org("o_custkey"), F.when(even, "jobs").otherwise("metrics").alias("strategy"), F.when(even, "job_posting").otherwise("profile_metrics").alias("signal_type"), *[F.lit(v).alias(k) for k, v in fixed.items()], *[v.alias(k) for k, v in none.items()])
+    made = external.strategy_run(seen, spark.createDataFrame([("jobs", 1), ("metrics", 2)], "strategy string, position int"))
+    return made.select("organisation_number", "position", "new_observations", "score_after", "result")
+
+
+@query(
+    """SELECT count(*) AS unique_events, count(DISTINCT user_id) AS seeds_with_events, (SELECT count(DISTINCT c_custkey) FROM customer) AS seeds, round(count(DISTINCT user_id) / (SELECT count(*) FROM customer), 6) AS terminal_coverage
+    FROM (SELECT DISTINCT user_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer))"""
+)
+def crawl_summary(spark, sf_dir):
+    """Distinct crawl events and the share of seeds that have one."""
+    seeds = companies(spark, sf_dir)
+    e = _read(spark, sf_dir, "events").select(_org("user_id"), F.lit("https://a.no").alias("requested_url"), F.lit("https://a.no").alias("final_url"), F.lit("ab").alias("content_sha256"), F.col("event_type").alias("status"))
+    made = external.crawl_summary(e.join(seeds, "organisation_number", "left_semi"), seeds)
+    return made.select("unique_events", "seeds_with_events", "seeds", "terminal_coverage")

@@ -273,12 +273,13 @@ def sitemap_articles(spark, sf_dir):
 
 
 @query(
-    """WITH l AS (SELECT DISTINCT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, 'firma' || o_orderkey % 2000 || '.no' AS domain FROM orders)
+    """WITH l AS (SELECT DISTINCT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, CASE WHEN o_orderkey % 5 = 0 THEN 'felles.no' ELSE 'firma' || CAST(floor(o_orderkey / 2) AS BIGINT) || '.no' END AS domain FROM orders)
     SELECT organisation_number, domain FROM l WHERE domain NOT IN (SELECT domain FROM l GROUP BY domain HAVING count(*) >= 3)"""
 )
 def directory_domains(spark, sf_dir):
     """Domains that directory pages link to, without the directory's own, its furniture and what many pages link."""
-    page = _text('<a href="https://www.firma{0}.no/x?y">n</a><a href="https://katalog.no/om">k</a><a href="https://www.facebook.com/k">f</a>', F.col("o_orderkey") % 2000)
+    site = F.when(F.col("o_orderkey") % 5 == 0, "felles").otherwise(F.concat(F.lit("firma"), F.floor(F.col("o_orderkey") / 2)))
+    page = _text('<a href="https://www.{0}.no/x?y">n</a><a href="https://katalog.no/om">k</a><a href="https://www.facebook.com/k">f</a>', site)
     pages = _read(spark, sf_dir, "orders").select(_org("o_custkey"), page.alias("html"))
     return webpages.outbound_domains(pages, ["organisation_number"], "katalog")
 
@@ -298,13 +299,13 @@ def page_events(spark, sf_dir):
 
 @query(
     """SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, 'https://www.firma' || c_custkey || '.no' AS requested_url, 'source_error' AS status FROM customer
-    WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+    WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 40 = 0)"""
 )
 def missing_seeds(spark, sf_dir):
     """Companies with a website of which no crawl event tells."""
     site = F.when(F.col("c_custkey") % 2 == 0, _text("WWW.Firma{0}.no/", F.col("c_custkey"))).otherwise("")
     seeds = _read(spark, sf_dir, "customer").select(_org("c_custkey"), site.alias("website"))
-    return webpages.missing_seeds(seeds, _read(spark, sf_dir, "orders").select(_org("o_custkey"))).drop("error")
+    return webpages.missing_seeds(seeds, _read(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(_org("o_custkey"))).drop("error")
 
 
 @query(

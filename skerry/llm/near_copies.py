@@ -37,7 +37,7 @@ from skerry.llm.simhash import bits_of, linked_pairs
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Counters of the shingles' table, and of one part of it; min-hashes of a text's sketch.
-TABLE_BITS, PART_BITS, HASHES = 21, 16, 400
+TABLE_BITS, PART_BITS, HASHES = 19, 16, 200
 #: Standard errors by which a pair's agreeing min-hashes may lie below the similarity asked for (a chance of 1e-6 each).
 ERRORS = 4.8
 _HASH = functools.partial(xxhash.xxh64_intdigest, seed=42)
@@ -156,11 +156,12 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
 
     Texts of equal shingles are one node; links join nodes whose shingles have ``similarity`` at least."""
     text = F.col(f"`{text_col}`").cast("string")
-    table = df.sparkSession.sparkContext.broadcast(shingle_table(df.select(F.coalesce(text, F.lit("")).alias("text")), width))  # 8 MB
+    table = df.sparkSession.sparkContext.broadcast(shingle_table(df.select(F.coalesce(text, F.lit("")).alias("text")), width))  # 2 MB
     signed = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own"), signs(text, width, similarity, table).alias("s"))
     signed = stored(signed.select("row", "own", "s.*").withColumn("u", F.monotonically_increasing_id()), "near-signed")
     rows = signed.select("row", "own", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text"), "node", "fp", "u")
-    points = stored(signed.groupBy("node").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")), "near-points")
+    heads = signed.groupBy("node").agg(F.min("u").alias("u")).select("u")  # one row of each node, found without moving its keys
+    points = stored(signed.join(heads, "u", "left_semi").select("node", "fp", "n", "keys", "sketch"), "near-points")
     sketches, scratch = points.select("node", "n", "sketch"), [points]
 
     def held(table: DataFrame, name: str) -> DataFrame:

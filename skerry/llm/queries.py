@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pu_quality, sharding, simhash, toxicity
+from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pii, pu_quality, sharding, simhash, toxicity
 from skerry.llm.common import crc_of_id, read
 
 
@@ -55,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.bpe_digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe)
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_digest(read(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe, op11_pii)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}

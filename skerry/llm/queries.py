@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pii, pu_quality, sharding, simhash, toxicity
+from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pii, prefix_trie, pu_quality, sharding, simhash, toxicity
 from skerry.llm.common import crc_of_id, read
 
 
@@ -59,6 +59,44 @@ def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_digest(read(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe, op11_pii)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), group=5, heads=9)
+
+
+OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe, op11_pii, op12_prefix_trie)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The unsigned crc32 of the decimal id, bit by bit.
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::UBIGINT),
+    lambda crc, b: list_reduce([1, 2, 3, 4, 5, 6, 7, 8]::UBIGINT[], lambda y, z: xor(y >> 1, CASE WHEN y & 1 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END), xor(crc, b)),
+    4294967295::UBIGINT))"""
+ORACLE_SQL["op12_prefix_trie"] = f"""
+WITH turns AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text
+    FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (SELECT conv_id, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+    SELECT c.conv_id, t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id % 5 AND t.pos <= c.h
+    UNION ALL
+    SELECT c.conv_id, t.pos, t.role, t.text FROM heads c JOIN turns t ON t.conv_id = c.conv_id AND t.pos > c.h),
+placed AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth, sha256(strlen(role)::VARCHAR || ':' || role || text) AS code, strlen(text) AS size FROM rebuilt),
+paths AS (
+    SELECT conv_id, depth, size, sha256(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS node,
+        sha256(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) AS up FROM placed
+    UNION ALL SELECT conv_id, 0, 0, 'root', NULL FROM heads),
+lengths AS (SELECT conv_id, max(depth) AS depth FROM paths GROUP BY conv_id),
+nodes AS (
+    SELECT p.node, p.depth, any_value(CASE WHEN p.depth = 1 THEN 'root' ELSE p.up END) AS up, min(p.conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saved,
+        sha256(coalesce(string_agg(CASE WHEN l.depth = p.depth THEN p.conv_id::VARCHAR END, ',' ORDER BY p.conv_id), '')) AS ends_sha256
+    FROM paths p JOIN lengths l USING (conv_id) GROUP BY p.node, p.depth),
+families AS (SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+above AS (  -- each node with every node above it, itself included
+    SELECT DISTINCT a.node, a.depth, b.node AS low, b.depth AS low_depth FROM paths a JOIN paths b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+    SELECT a.node, a.depth, sum(n.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE f.up IS NULL) AS n_leaves
+    FROM above a JOIN nodes n ON n.node = a.low AND n.depth = a.low_depth LEFT JOIN families f ON f.up = n.node GROUP BY a.node, a.depth)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN families f ON f.up = n.node LEFT JOIN nodes p ON p.node = n.up AND p.depth = n.depth - 1
+"""

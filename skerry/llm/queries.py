@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skerry.llm import byte_bpe, lattice, license_scan, line_crf, multiprobe, packing, pii, prefix_trie, pu_quality, sharding, simhash, toxicity
+from skerry.llm import byte_bpe, hard_negatives, lattice, license_scan, line_crf, multiprobe, packing, pii, prefix_trie, pu_quality, sharding, simhash, toxicity
 from skerry.llm.common import crc_of_id, read
 
 
@@ -63,7 +63,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"), group=5, heads=9)
 
 
-OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe, op11_pii, op12_prefix_trie)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(read(spark, sf_dir, "embeddings"))
+
+
+OPERATORS = (op1_toxicity, op2_line_crf, op3_multiprobe, op4_packing, op5_lattice, op6_simhash, op7_sharding, op8_license_scan, op9_pu_quality, op10_byte_bpe, op11_pii, op12_prefix_trie, op13_hard_negatives)
 QUERIES = {f.__name__: f for f in OPERATORS}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -100,3 +104,18 @@ sums AS (
 SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(f.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
 FROM nodes n JOIN sums s ON s.node = n.node AND s.depth = n.depth LEFT JOIN families f ON f.up = n.node LEFT JOIN nodes p ON p.node = n.up AND p.depth = n.depth - 1
 """
+ORACLE_SQL["op13_hard_negatives"] = """
+WITH v AS (
+    SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+pairs AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.vec, b.vec)::BIGINT AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.vec) = len(b.vec) WHERE a.vec_id % 100 = 0),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pairs WHERE same
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5
+"""

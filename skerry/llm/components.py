@@ -2,7 +2,8 @@
 
 The method is that of Kiveris et al., "Connected Components in MapReduce and
 Beyond" (2014).  All state is a table of links in the shared folder; every
-step is an aggregate and a join, so no component meets in one task.
+step is an aggregate and a join.  What a centre of many links knows reaches
+them by broadcast, so no component meets in one task.
 """
 
 from __future__ import annotations
@@ -12,14 +13,18 @@ from pyspark.sql import functions as F
 
 from skerry.llm.common import discard, stored
 
+#: Links of a centre that is told to them by broadcast; there are fewer such centres than links by this factor.
+MANY = 20_000
+
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
     """Every node sends its larger (or smaller) neighbours to the smallest node it knows."""
     both = links.select("a", "b") if not large else links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # here a is the centre; small stars look only at smaller neighbours, so links point from the larger end
     both = both if large else both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    sent = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    large_ones = F.broadcast(least.where(F.col("n") >= MANY).select("a", "m"))
+    sent = both.join(large_ones, "a").unionByName(both.join(large_ones.select("a"), "a", "left_anti").join(least.where(F.col("n") < MANY).select("a", "m"), "a"))
     if large:
         return sent.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
     return sent.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))

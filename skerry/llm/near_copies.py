@@ -4,18 +4,21 @@ Copies that differ little are found by the operator's own join, the grid of
 segment counts over fingerprints at RANGE bits.  At a similarity of 0.8,
 though, fingerprints differ in 10 of 64 bits on average, and a grid of that
 range has no selective cells; what the join leaves apart is therefore looked
-for by prefixes: with all shingles in one order, two texts of that similarity
-share one of the first fifth of each.  The order is from rare to frequent, by
-a table of counts over all texts, so that a passage that many documents share
-makes no candidates.  The prefixes lose no pair, and every candidate pair is
-decided by the exact similarity of its whole texts.
+for by prefixes.  All shingles have one order, from rare to frequent by a
+table of counts that grows with the input, so that a passage that many
+documents share comes last.  If the first shingle that two texts share has
+r shingles behind it in each, itself included, they share at most the smaller
+r; so texts of n and m shingles can have similarity s only if
+``s (n + m) <= (1 + s) min(r)``.  That bound decides which shingles a text is
+looked for by, which shorter or equal texts it meets there, and loses no pair.
+The order only decides how many candidates there are.
 
 A key's texts are first compared with its smallest one, which takes as many
 comparisons as texts.  Only texts of a key that no chain of links has joined
-yet are then compared with each other, so every link that could join two
-groups is looked at, and a large group of copies makes no square of pairs.
-Pairs of unfitting sizes, and pairs whose min-hashes agree in clearly fewer
-places than such similarity would have it, are left out before texts are read.
+yet then meet each other, under the bound and by bins of size, so every link
+that could join two groups is looked at and a group of copies makes no square
+of pairs.  Every candidate is decided by the exact intersection of both sets
+of shingles; a set is made once and texts are never moved to pairs.
 """
 
 from __future__ import annotations
@@ -36,13 +39,11 @@ from skerry.llm.components import connected_components
 from skerry.llm.simhash import bits_of, linked_pairs
 
 WIDTH, SIMILARITY = 5, 0.8
-#: Counters of the shingles' table, and of one part of it; min-hashes of a text's sketch.
-TABLE_BITS, PART_BITS, HASHES = 19, 16, 200
-#: Standard errors by which a pair's agreeing min-hashes may lie below the similarity asked for (a chance of 1e-6 each).
-ERRORS = 4.8
+#: Counters of one part of the shingles' table; the table's least and most (16 MB) parts' doublings; bytes of text for a counter.
+PART_BITS, MORE_BITS, COUNTER_BYTES = 16, (0, 6), 400
+#: Ratio of the sizes of a bin in which texts that are still apart meet.
+BIN = 1.1
 _HASH = functools.partial(xxhash.xxh64_intdigest, seed=42)
-#: Odd factors permute the 64-bit numbers, one order for each min-hash.
-FACTORS = np.random.default_rng(42).integers(0, 2**64, HASHES, np.uint64, endpoint=False) | np.uint64(1)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -59,44 +60,42 @@ def shingles(text: str, width: int) -> np.ndarray:
     return np.unique(np.fromiter(map(_HASH, spans), np.uint64, len(words) - width + 1))
 
 
-def least_hashes(hashes: np.ndarray) -> np.ndarray:
-    """The min-hashes of a text, in the orders of FACTORS."""
-    least = np.full(len(FACTORS), 2**64 - 1, np.uint64)
-    for a in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[None, a : a + 2048] * FACTORS[:, None]).min(1), out=least)
-    return least
-
-
-def _tallied(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+def _tallied(frames: Iterator[pd.DataFrame], width: int, bits: int) -> Iterator[pd.DataFrame]:
     """How often shingles fall on each counter, in parts of the table."""
-    table = np.zeros(1 << TABLE_BITS, np.uint32)
+    table = np.zeros(1 << bits, np.uint32)
     for frame in slices(frames):
-        found = np.concatenate([shingles(t, width) for t in frame["text"]])
-        table += np.bincount((found >> np.uint64(64 - TABLE_BITS)).astype(np.int64), minlength=len(table)).astype(np.uint32)
-    parts = table.reshape(-1, 1 << PART_BITS)
+        for t in frame["text"]:
+            np.add.at(table, _counter(shingles(t, width), bits), np.uint32(1))
+    parts = np.minimum(table, 65_535).astype(np.uint16).reshape(-1, 1 << PART_BITS)
     number = TaskContext.get().partitionId() if TaskContext.get() else 0
     yield pd.DataFrame({"part": np.arange(len(parts)), "of": number, "counts": [x.tobytes() for x in parts]})
 
 
+def _counter(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _added(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sum of some partitions' parts; counts beyond 16 bits are all frequent."""
     total = np.zeros(1 << PART_BITS, np.uint64)
     for x in rows["counts"]:
-        total += np.frombuffer(x, np.uint32)
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "of": 0, "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+        total += np.frombuffer(x, np.uint16)
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "of": 0, "counts": [np.minimum(total, 65_535).astype(np.uint16).tobytes()]})
 
 
 def shingle_table(texts: DataFrame, width: int) -> np.ndarray:
-    """Counts over all texts of the shingles that fall on each of 2 ** TABLE_BITS counters, whatever the input's size.
+    """Counts over all texts of the shingles that fall on each counter; the number of counters follows the bytes of text.
 
     Summed in two steps, so that no task sees more parts than the root of the number of partitions."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = PART_BITS + min(MORE_BITS[1], max(MORE_BITS[0], (size // COUNTER_BYTES).bit_length() - PART_BITS))
     kind = "part int, of int, counts binary"
-    parts = texts.select("text").mapInPandas(functools.partial(_tallied, width=width), kind)
+    parts = texts.select("text").mapInPandas(functools.partial(_tallied, width=width, bits=bits), kind)
     step = math.isqrt(texts.rdd.getNumPartitions()) + 1
     first = parts.groupBy("part", F.pmod("of", F.lit(step))).applyInPandas(_added, kind)
-    rows = first.groupBy("part").applyInPandas(_added, kind).collect()
-    table = np.zeros((1 << (TABLE_BITS - PART_BITS), 1 << PART_BITS), np.uint32)
-    for r in rows:
-        table[r["part"]] = np.frombuffer(r["counts"], np.uint32)
+    table = np.zeros((1 << (bits - PART_BITS), 1 << PART_BITS), np.uint16)
+    for r in first.groupBy("part").applyInPandas(_added, kind).collect():
+        table[r["part"]] = np.frombuffer(r["counts"], np.uint16)
     return table.ravel()
 
 
@@ -105,50 +104,33 @@ def prefix(hashes: np.ndarray, table: np.ndarray, similarity: float) -> np.ndarr
     n = len(hashes)
     if not n:
         return np.zeros(0, np.int64)
-    order = np.lexsort((hashes, table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]))
+    order = np.lexsort((hashes, table[_counter(hashes, len(table).bit_length() - 1)]))
     return hashes[order[: n - math.ceil(similarity * n - 1e-9) + 1]].view(np.int64)
 
 
 def signs(text: Column, width: int, similarity: float, table) -> Column:
-    """A struct of the text's node (the hash of its shingles), fingerprint, shingles, prefix, and a byte of each
-    min-hash; a text without shingles has node and fingerprint 0 and no prefix.  ``table`` is a broadcast one."""
+    """A struct of the text's node (the hash of its shingles), fingerprint, number of shingles and prefix; a text without
+    shingles has node and fingerprint 0 and no prefix.  ``table`` is a broadcast one."""
 
-    @F.pandas_udf("node long, fp long, n long, keys array<long>, sketch binary")
+    @F.pandas_udf("node long, fp long, n long, keys array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            nodes, prints, counts, keys, sketches = [], [], [], [], []
+            nodes, prints, counts, keys = [], [], [], []
             for t in batch:
                 h = shingles(t or "", width)
                 nodes.append(_HASH(h.tobytes()) if len(h) else 0)
                 prints.append(bits_of(h))
                 counts.append(len(h))
                 keys.append(prefix(h, table.value, similarity))
-                sketches.append((least_hashes(h) >> np.uint64(40)).astype(np.uint8).tobytes())
             signed = {"node": np.array(nodes, np.uint64).view(np.int64), "fp": np.array(prints, np.uint64).view(np.int64)}
-            yield pd.DataFrame(signed | {"n": counts, "keys": keys, "sketch": sketches})
+            yield pd.DataFrame(signed | {"n": counts, "keys": keys})
 
     return made(text.cast("string"))
 
 
-def _agreeing(frames: Iterator[pd.DataFrame], least: float) -> Iterator[pd.DataFrame]:
-    places = len(FACTORS)
-    share = least + (1 - least) / 256  # a byte agrees by chance, too
-    enough = places * share - ERRORS * np.sqrt(places * share * (1 - share))
-    for f in frames:
-        a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), places) for c in ("sketch_a", "sketch_b"))
-        yield f.loc[(a == b).sum(1) >= enough, ["a", "b"]]
-
-
-def _alike(frames: Iterator[pd.DataFrame], width: int, least: float) -> Iterator[pd.DataFrame]:
-    known = functools.lru_cache(maxsize=64)(functools.partial(shingles, width=width))
-    for whole in frames:
-        for frame in slices([whole], "text_b"):
-            on = []
-            for x, y in zip(frame["text_a"], frame["text_b"]):
-                p, q = known(x), known(y)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= least * max(len(p), len(q)) else 0
-                on.append(both >= least * (len(p) + len(q) - both) and both > 0)
-            yield frame.loc[np.array(on, bool), ["a", "b"]]
+def _sets(frames: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
+    for frame in slices(frames):
+        yield pd.DataFrame({"node": frame["node"].to_numpy(), "set": [shingles(t, width).view(np.int64) for t in frame["text"]]})
 
 
 def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -156,56 +138,64 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
 
     Texts of equal shingles are one node; links join nodes whose shingles have ``similarity`` at least."""
     text = F.col(f"`{text_col}`").cast("string")
-    table = df.sparkSession.sparkContext.broadcast(shingle_table(df.select(F.coalesce(text, F.lit("")).alias("text")), width))  # 2 MB
+    table = df.sparkSession.sparkContext.broadcast(shingle_table(df.select(F.coalesce(text, F.lit("")).alias("text")), width))  # 8 MB at most
     signed = df.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("own"), signs(text, width, similarity, table).alias("s"))
     signed = stored(signed.select("row", "own", "s.*").withColumn("u", F.monotonically_increasing_id()), "near-signed")
     rows = signed.select("row", "own", F.coalesce(F.col("row").getField(text_col).cast("string"), F.lit("")).alias("text"), "node", "fp", "u")
     heads = signed.groupBy("node").agg(F.min("u").alias("u")).select("u")  # one row of each node, found without moving its keys
-    points = stored(signed.join(heads, "u", "left_semi").select("node", "fp", "n", "keys", "sketch"), "near-points")
-    sketches, scratch = points.select("node", "n", "sketch"), [points]
+    points = stored(signed.join(heads, "u", "left_semi").select("node", "fp", "n", "keys", "u"), "near-points")
+    scratch = [points]
 
     def held(table: DataFrame, name: str) -> DataFrame:
         scratch.append(stored(table, name))
         return scratch[-1]
 
-    def sides(pairs: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
-        for k in "ab":
-            pairs = pairs.join(table.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in columns]), k)
-        return pairs
-
     def alike(pairs: DataFrame) -> DataFrame:
-        """Those of some pairs that are similar enough."""
-        near = held(sides(pairs, sketches, "sketch").mapInPandas(functools.partial(_agreeing, least=similarity), "a long, b long"), "near-pairs")
-        asked = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-        texts = rows.select("node", "text").join(asked, "node").groupBy("node").agg(F.min("text").alias("text"))  # texts of one node have equal shingles
-        return held(sides(near, texts, "text").mapInPandas(functools.partial(_alike, width=width, least=similarity), "a long, b long"), "near-links")
+        """Those of some pairs ``a, b`` whose sets are similar enough."""
+        pairs = held(pairs.distinct(), "near-pairs")
+        asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        texts = rows.select("u", "text").join(points.select("u", "node").join(asked, "node"), "u")
+        sets = held(texts.select("node", "text").mapInPandas(functools.partial(_sets, width=width), "node long, set array<long>"), "near-sets")
+        for k in "ab":
+            pairs = pairs.join(sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")), k)
+        sized = pairs.select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("both"), (F.size("set_a") + F.size("set_b")).alias("all"))
+        return held(sized.where((F.col("both") > 0) & (F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both")))).select("a", "b"), "near-links")
 
+    # each by an index: no text is larger than its partner's share allows, and the bound on what both can share holds
+    bound = lambda n, m, r, q: F.lit(similarity) * (n + m) <= F.lit(1 + similarity) * F.least(r, q) + F.lit(1e-9)
     fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
-    rooted = lambda keyed, roots: keyed.join(roots, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("root"))
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    rooted = lambda keyed, roots: keyed.join(roots, "node", "left").select("key", "node", "n", "r", F.coalesce("component", "node").alias("root"))
+    near = bound(F.col("n"), F.col("n"), F.col("r"), F.col("r"))  # shingles by which a text is found by texts of its size or larger
 
     # nodes of one fingerprint, and of linked fingerprints, each by its smallest node
-    prints = points.where("n > 0").groupBy("fp").agg(F.min("node").alias("head"))
-    ends = prints.select(F.col("fp").alias("a"), F.col("head").alias("x")), prints.select(F.col("fp").alias("b"), F.col("head").alias("y"))
-    close = linked_pairs(prints.select("fp")).join(ends[0], "a").join(ends[1], "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    same = points.where("n > 0").join(prints, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    prints = points.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")).select("fp", "head.*")
+    end = lambda k: prints.select(F.col("fp").alias(k), F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"))
+    close = linked_pairs(prints.select("fp")).join(end("a"), "a").join(end("b"), "b").where(fit("n_a", "n_b")).select(*pair("node_a", "node_b"))
+    same = points.where("n > 0").join(end("fp"), "fp").where((F.col("node") != F.col("node_fp")) & fit("n", "n_fp")).select(*pair("node", "node_fp"))
     links = alike(close.unionByName(same))
 
-    # the wider range: a key's texts against its smallest one, then those that are still apart
-    placed = points.select("node", "n", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key")
+    # the wider range: a key's texts against the smallest one that is found there, then those that are still apart
+    placed = points.select("node", "n", F.posexplode("keys").alias("at", "key")).select("node", "n", "key", (F.col("n") - F.col("at")).alias("r"))
+    shared = placed.groupBy("key").agg(F.count("*").alias("held"), F.count_if(near).alias("found")).where("held > 1 AND found > 0").select("key")
     placed = held(placed.join(shared, "key"), "near-placed")
     met = rooted(placed, connected_components(links))
-    least = met.groupBy("key").agg(F.min(F.struct("node", "n", "root")).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    least = least.select("key", F.col("m.node").alias("a"), F.col("m.n").alias("n_a"), F.col("m.root").alias("root_a"))
-    tried = met.join(least, "key").where((F.col("root") != F.col("root_a")) & fit("n", "n_a")).select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    least = met.groupBy("key").agg(F.min(F.when(near, F.struct("node", "n", "r", "root"))).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+    least = least.select("key", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "n", "r", "root")])
+    tried = met.join(least, "key").where((F.col("root") != F.col("root_a")) & bound(F.col("n"), F.col("n_a"), F.col("r"), F.col("r_a"))).select(*pair("node", "node_a"))
     tried = held(tried.distinct(), "near-tried")
     links = links.unionByName(alike(tried))
     met = rooted(placed, connected_components(links))
     open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = held(met.join(open_, "key"), "near-apart")
-    other = apart.select("key", F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    rest = apart.join(other, "key").where((F.col("root") < F.col("root_b")) & fit("n", "n_b")).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b")).distinct()
-    links = links.unionByName(alike(held(rest.join(tried, ["a", "b"], "left_anti"), "near-rest")))
+    bin_of = lambda n: F.floor(F.log(n) / math.log(BIN)).cast("int")
+    most = F.least(F.col("n").cast("double"), F.col("r") * ((1 + similarity) / similarity) - F.col("n") + 1e-6)  # the largest partner that is no longer than itself
+    bins = F.sequence(bin_of(F.col("n") * similarity) - 1, bin_of(most))
+    probes = apart.where(most >= 1).select("key", "node", "n", "r", "root", F.explode(F.when(bin_of(most) >= bin_of(F.col("n") * similarity) - 1, bins)).alias("bin"))
+    index = apart.where(near).select("key", bin_of(F.col("n")).alias("bin"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "root")])
+    fits = (F.col("n_b") <= F.col("n")) & (F.col("root") != F.col("root_b")) & bound(F.col("n"), F.col("n_b"), F.col("r"), F.col("r_b"))
+    rest = probes.join(index, ["key", "bin"]).where(fits).select(*pair("node", "node_b")).distinct()
+    links = links.unionByName(alike(rest.join(tried, ["a", "b"], "left_anti")))
     roots = connected_components(links)
     named = points.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     named = stored(named, "near-roots")

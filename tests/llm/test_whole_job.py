@@ -97,3 +97,43 @@ def test_a_frequent_id_brings_one_row_to_the_fits(spark, monkeypatch):
     monkeypatch.setattr(pu_quality, "fit_quality", lambda p, folds, web: seen.append((len(p), web.rows)) or fit(p, folds, web))
     pu_quality.pu_quality(df, labels.where("quality = 1"), F.lit(True), sample_rows=5).count()
     assert seen == [(5, 330)]  # trusted ids are bounded, unlabelled rows are not
+
+
+@pytest.mark.parametrize("n", [600, 2400])
+def test_texts_that_share_a_passage_and_are_unlike_bring_few_pairs(spark, monkeypatch, n):
+    """245 words of which 200 are the same everywhere: a similarity of 0.69, so no pair is a link, and none needs a look."""
+    from skerry.llm import near_copies
+
+    rng = np.random.default_rng(0)
+    base, own = " ".join(f"p{k}" for k in range(200)), lambda k: " ".join(f"o{x}" for x in rng.integers(0, 10**7, k))
+    rows, pairs, keep = [(d, f"{own(22)} {base} {own(23)}") for d in range(n)], [], near_copies.stored
+
+    def counted(df, name):
+        made = keep(df, name)
+        if name == "near-pairs":
+            pairs.append(made.count())
+        return made
+
+    monkeypatch.setattr(near_copies, "stored", counted)
+    assert near_copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == n
+    assert sum(pairs) < n / 10
+
+
+def test_the_bound_loses_no_pair():
+    """Two sets of similarity 0.8 or more meet at their first common element of any order, within the bound."""
+    from skerry.llm import near_copies
+
+    rng = np.random.default_rng(5)
+    table, met = np.zeros(1 << near_copies.PART_BITS, np.uint16), 0
+    for _ in range(400):
+        pool = np.unique(rng.integers(0, 2**63, int(rng.integers(5, 90)), np.int64)).astype(np.uint64)
+        a, b = (np.sort(rng.permutation(pool)[: max(1, int(len(pool) * rng.uniform(0.8, 1)))]) for _ in range(2))
+        both = len(np.intersect1d(a, b))
+        if both >= 0.8 * (len(a) + len(b) - both):
+            x, y = sorted((near_copies.prefix(s, table, 0.8).tolist() for s in (a, b)), key=len)
+            first = next(k for k in x if k in y)
+            big, small = (a, b) if len(a) >= len(b) else (b, a)
+            r = [len(s) - near_copies.prefix(s, table, 0.8).tolist().index(first) for s in (big, small)]
+            assert 0.8 * (len(a) + len(b)) <= 1.8 * min(r) + 1e-9 and 1.6 * len(small) <= 1.8 * r[1] + 1e-9
+            met += 1
+    assert met > 100

@@ -1,9 +1,7 @@
-"""Sinks: canonical JSON lines, keyed snapshots, and work by chunks that can be resumed."""
+"""Sinks: canonical JSON lines and keyed snapshots."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,18 +23,3 @@ def upserted(stored: DataFrame, fresh: DataFrame, keys: list[str], sequence: str
 def shared_only(counts: DataFrame, key: str) -> DataFrame:
     """Identifiers of more than one company, in order."""
     return counts.where("entities > 1").orderBy(key)
-
-
-def run_chunks(inputs: DataFrame, size: int, work: Callable[[DataFrame], DataFrame], path: str, fingerprint: str) -> DataFrame:
-    """``work`` over chunks of ``size`` inputs by ``input_ordinal``, each written under the run's fingerprint.
-
-    A chunk that is there already is not made again, so a run that broke off goes on where it stood."""
-    spark = inputs.sparkSession
-    numbered = inputs.withColumn("chunk", F.floor(F.col("input_ordinal") / size))
-    chunks = [r[0] for r in numbered.select("chunk").distinct().orderBy("chunk").collect()]  # as many rows as chunks
-    for k in chunks:
-        to = f"{path}/{fingerprint}/chunk={k}"
-        done = spark._jvm.org.apache.hadoop.fs.Path(f"{to}/_SUCCESS")
-        if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
-            work(numbered.where(F.col("chunk") == k).drop("chunk")).write.mode("overwrite").parquet(to)
-    return spark.read.option("basePath", f"{path}/{fingerprint}").parquet(*[f"{path}/{fingerprint}/chunk={k}" for k in chunks])

@@ -25,18 +25,9 @@ def test_manifest(spark, tmp_path):
     assert got == [("993578843", True, False), ("985589003", True, False), ("993578843", True, True), ("12", False, False)]
 
 
-def test_json_lines_and_resumed_chunks(spark, tmp_path):
+def test_json_lines(spark, tmp_path):
     sinks.write_json_lines(spark.range(1).select(F.lit(None).cast("string").alias("b"), "id"), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first()[0] == '{"b": null, "id": 0}'
-    inputs, seen = spark.range(10).select(F.col("id").alias("input_ordinal")), []
-
-    def work(chunk):
-        seen.append(1)
-        return chunk.withColumn("x", F.col("input_ordinal") * 2)
-
-    for _ in range(2):
-        assert sinks.run_chunks(inputs, 4, work, str(tmp_path / "c"), "f").count() == 10
-    assert len(seen) == 3
 
 
 def test_upsert_stream_equals_batch(spark, tmp_path):

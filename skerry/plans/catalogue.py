@@ -583,4 +583,4 @@ def content_ids(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", made.alias("id"))
 
 
-from skerry.plans import basic_catalogue, claim_catalogue, report_catalogue, web_catalogue  # noqa: E402, F401  their queries register here, too
+from skerry.plans import basic_catalogue, claim_catalogue, report_catalogue, run_catalogue, web_catalogue  # noqa: E402, F401  their queries register here, too

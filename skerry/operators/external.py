@@ -97,3 +97,18 @@ def crawl_summary(events: DataFrame, seeds: DataFrame, key: str = "organisation_
     reached = seeds.select(key).distinct().join(once.select(key).distinct().withColumn("_seen", F.lit(1)), key, "left").agg(F.count("*").alias("seeds"), F.count("_seen").alias("seeds_with_events"))
     row = statuses.crossJoin(F.broadcast(reached))  # one row each
     return row.withColumn("terminal_coverage", F.round(F.try_divide(F.col("seeds_with_events"), F.col("seeds")), 6))
+
+
+def news_mentions(companies: DataFrame, items: DataFrame, pages: DataFrame, today: Column, limit: int = 3, key: str = "organisation_number") -> DataFrame:
+    """One record per company: ``key, state, items, note``, of news that names it in full on the publisher's own page.
+
+    ``companies`` are ``key, name`` with ``reason``, why the name is not told from others, or null; ``items`` are all found
+    headlines ``url, headline``; ``pages`` the saved articles ``url, html``.  A headline only points to its page."""
+    fit = companies.where("reason IS NULL")
+    found = feeds.headline_mentions(fit, items, key=key, item="url").join(fit.select(key, "name"), key)
+    told = verified_mentions(found, pages, today, limit, key)
+    each = told.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "url", "title", "day", "publisher"))), lambda x: F.struct(x["url"].alias("url"), x["title"].alias("title"), x["day"].alias("day"), x["publisher"].alias("publisher"))).alias("items"))
+    state = F.when(F.col("reason").isNotNull(), "not_applicable").when(F.col("items").isNotNull(), "available").otherwise("not_available")
+    # fixed text
+    note = F.coalesce("reason", F.when(F.col("items").isNull(), "No news article names the exact legal name on its publisher's page"))
+    return companies.join(each, key, "left").select(key, state.alias("state"), "items", note.alias("note"))

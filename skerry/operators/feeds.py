@@ -62,3 +62,41 @@ def unrepeated_titles(items: DataFrame, key: str, title: str) -> DataFrame:
 def first_by_source(items: DataFrame, key: str, url: str, priority: str) -> DataFrame:
     """One item per company and URL, of the best source."""
     return items.withColumn("_k", F.row_number().over(Window.partitionBy(key, url).orderBy(priority))).where("_k = 1").drop("_k")
+
+
+#: Headlines of one key that meet its names in one place.
+MANY = 50_000
+_BREAK = "\x1f"
+
+
+def tokens(text: Column) -> Column:
+    """Words of letters and digits, of one case; what names and headlines share in any case, they share here."""
+    return F.regexp_extract_all(F.lower(F.upper(F.coalesce(text, F.lit("")))), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def _keys(words: Column) -> Column:
+    """The words and the pairs of neighbouring words."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(_BREAK), b))
+    return F.array_distinct(F.concat(words, F.filter(pairs, lambda p: p.isNotNull())))
+
+
+def headline_mentions(companies: DataFrame, items: DataFrame, *, key: str = "organisation_number", name: str = "name", item: str = "item_id", headline: str = "headline") -> DataFrame:
+    """``key, item``: all companies that headlines name, of all names and all headlines, by ``headline_names``.
+
+    A name is looked for where the rarest of its words and word pairs stands, as counted over the headlines; one
+    that has a word which no headline has is looked for nowhere.  Keys of many headlines are dealt to parts, so
+    neither side is told to all and no key is in one place.  Repeated rows count once; rows with a null key, item,
+    name or headline and names without letters or digits take no part."""
+    said = items.where(F.col(item).isNotNull()).select(F.col(item).alias("_item"), F.col(headline).alias("_said")).withColumn("_words", tokens(F.col("_said"))).where("size(_words) > 0").distinct()
+    named = companies.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(name).alias("_name")).withColumn("_tokens", tokens(F.col("_name"))).where("size(_tokens) > 0").distinct()
+    placed = said.select("_item", "_said", "_words", F.explode(_keys(F.col("_words"))).alias("_k"))
+    counts = placed.groupBy("_k").agg(F.count("*").alias("_n"))
+    wanted = named.select("_key", "_name", "_tokens", F.explode(_keys(F.col("_tokens"))).alias("_k")).join(counts, "_k", "left")
+    rarest = wanted.groupBy("_key", "_name", "_tokens").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("r")).where("r.n > 0")
+    parts = F.ceil(F.col("r.n") / MANY).cast("int")
+    asked = rarest.select("_key", "_name", "_tokens", F.col("r._k").alias("_k"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+    crowded = rarest.where(parts > 1).select(F.col("r._k").alias("_k"), parts.alias("_parts")).distinct()  # fewer than words of headlines by MANY
+    dealt = placed.join(F.broadcast(crowded), "_k", "left").withColumn("_part", F.pmod(F.xxhash64("_item"), F.coalesce("_parts", F.lit(1))).cast("int"))
+    line = lambda words: F.concat(F.lit(_BREAK), F.array_join(words, _BREAK), F.lit(_BREAK))
+    near = dealt.join(asked, ["_k", "_part"]).where(F.contains(line(F.col("_words")), line(F.col("_tokens"))))
+    return near.where(names_company(F.col("_name"), F.col("_said"))).select(F.col("_key").alias(key), F.col("_item").alias(item)).distinct()

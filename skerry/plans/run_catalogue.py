@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from skerry.operators import refresh, site_search
+from skerry.operators import feeds, refresh, site_search
 from skerry.plans.catalogue import _org, _read, query
 from skerry.sources import chunks
 
@@ -86,3 +86,16 @@ def site_search_outcomes(spark, sf_dir):
         F.when(at % 9 == 4, F.array(F.lit("organisation_number"))).alias("proofs"), none.alias("declared"), (at % 4 == 0).alias("on_site"), none.alias("full_domain"), none.alias("unique"), (at % 6 == 5).alias("masthead"), F.when(at % 10 == 9, F.array(F.lit("1"))).alias("foreign"),
     )
     return site_search.searched_sites(rows).select("organisation_number", "state", "domain", "fetched", F.size("attempts").alias("attempts"))
+
+
+@query(
+    """SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, CAST(o_orderkey AS BIGINT) AS item_id FROM customer JOIN orders ON c_custkey = o_orderkey % 400 WHERE o_orderkey % 5 IN (0, 2)"""
+)
+def all_headline_mentions(spark, sf_dir):
+    """All companies that headlines name, of all names and all headlines; not within a longer name or word."""
+    c, o = _read(spark, sf_dir, "customer"), _read(spark, sf_dir, "orders")
+    name = F.concat(F.lit("Firma "), F.col("o_orderkey") % 400, F.lit(" Verk AS"))
+    at = F.col("o_orderkey") % 5
+    said = F.when(at == 0, F.concat(name, F.lit(": vekst"))).when(at == 1, F.concat(F.lit("Nord "), name, F.lit(" vokser"))).when(at == 2, F.concat(F.lit("Inntektene til "), F.upper(name), F.lit(" stiger"))).when(at == 3, F.concat(name, F.lit("A vokser"))).otherwise(name)
+    companies = c.select(_org("c_custkey"), F.concat(F.lit("Firma "), F.col("c_custkey"), F.lit(" Verk AS")).alias("name"))
+    return feeds.headline_mentions(companies, o.select(F.col("o_orderkey").cast("long").alias("item_id"), said.alias("headline")))

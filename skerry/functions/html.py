@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import html.entities
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&#64;": "@", "&aring;": "å", "&oslash;": "ø", "&aelig;": "æ", "&copy;": "©", "&amp;": "&"}
 # Fixed patterns of parked and placeholder pages and of a host's bot check; both count on pages of little text only.
 PARKED = (
     r"(?i)(is parked|domain (name )?is for sale|this domain (is|may be) for sale|buy this domain|future home of|is registered,? but|domain has (just )?been registered|parkingcrew|sedoparking|bodis\.com|dan\.com|"
@@ -13,24 +15,56 @@ PARKED = (
 )
 CHALLENGE = r"(?i)please wait while your request is being verified"
 LITTLE_TEXT = 3000
+# Fixed patterns of a Norwegian phone, mail address and page language, of what is no text of a page, and of tags.
 NO_PHONE = r"(?:\+|00)47[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}[\s.\-]?\d{2}(?!\d)"
 NO_EMAIL = r"(?i)[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.no\b"
+UNREAD, UNSHOWN, TAG = r"(?is)<(script|style|noscript)\b.*?</\1\s*>", r"(?is)<(script|style)\b.*?</\1\s*>", "<[^>]+>"
 NO_LANG = r"(?i)<html[^>]*\blang=[\"']?(?:no|nb|nn)(?:[-_][a-z]{2})?[\"'\s>]"
 
 
+def _numbered() -> dict[str, str]:
+    """Numeric references that do not stand for their own character: the standard reads 128 to 159 as Windows-1252,
+    knows no null, and leaves out controls and code points that are no characters."""
+    out = dict.fromkeys([*range(0x1, 0x9), 0xB, *range(0xE, 0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))], "")
+    for code in range(0x80, 0xA0):
+        out[code] = bytes([code]).decode("cp1252", "ignore") or chr(code)
+    return {str(k): v for k, v in (out | {0: "\ufffd", 0xD: "\r"}).items()}
+
+
+NUMBERED = _numbered()
+#: Names with a semicolon at their end, and the older ones that do without; the longest that fits is meant.
+REFERENCE = "(&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|" + "|".join(sorted(html.entities.html5, key=lambda n: (-len(n), n))) + "))"
+
+
+def _table(entries: dict[str, str]) -> Column:
+    """A literal map, which is made once for a query."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+
+
+def _referred(r: Column) -> Column:
+    digits = lambda pattern: F.coalesce(F.nullif(F.substring(F.regexp_extract(r, pattern, 1), 1, 10), F.lit("")), F.lit("0"))
+    number = F.when(r.rlike("^&#[xX]"), F.conv(digits("^&#[xX]0*([0-9a-fA-F]*)"), 16, 10)).otherwise(digits("^&#0*([0-9]*)"))
+    code = number.cast("bigint")
+    odd = F.element_at(_table(NUMBERED), number)
+    plain = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+    return F.when(r.startswith("&#"), F.coalesce(odd, plain)).otherwise(F.element_at(_table({f"&{k}": v for k, v in html.entities.html5.items()}), r))
+
+
 def unescaped(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Character references, named and numeric, as the characters that the standard has them stand for, in one pass."""
+    pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 1)
+    whole = F.zip_with(pieces, F.transform(found, _referred), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(whole, "")).otherwise(text)
 
 
 def collapsed(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    """One blank for each run of white space of any kind, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
 def visible_text(html: Column, limit: int = 300_000) -> Column:
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style|noscript)\b.*?</\1\s*>", " ")
-    return F.substring(collapsed(unescaped(F.regexp_replace(bare, "<[^>]+>", " "))), 1, limit)
+    bare = F.regexp_replace(F.coalesce(html, F.lit("")), UNREAD, " ")
+    return F.substring(collapsed(unescaped(F.regexp_replace(bare, TAG, " "))), 1, limit)
 
 
 def title(html: Column) -> Column:
@@ -57,8 +91,7 @@ def meta(html: Column, name: str) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text without scripts, styles and tags; entities stay as they are written."""
-    bare = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    return collapsed(F.regexp_replace(bare, "<[^>]+>", " "))
+    return collapsed(F.regexp_replace(F.coalesce(html, F.lit("")), f"{UNSHOWN}|{TAG}", " "))
 
 
 def said_briefly(text: Column, pattern: str) -> Column:

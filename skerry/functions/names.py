@@ -13,24 +13,31 @@ FILLERS = ("stiftelsen", "stiftelse", "sameiet", "borettslag", "og", "i", "the",
 SPELLINGS = ({"æ": "ae", "ø": "o", "å": "a"}, {"æ": "e", "ø": "o", "å": "aa"})
 
 
-def _accents() -> tuple[str, str]:
-    """Latin letters whose compatibility form has one ASCII letter, and these letters."""
-    pairs = []
-    for code in range(0xAA, 0x250):
+def _accents() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility form has one ASCII letter or digit, these, and the Latin ones that have several."""
+    single, several = [], {}
+    for code in range(0x80, 0x10000):
         plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
-        if len(plain) == 1 and plain.isalnum():
-            pairs.append((chr(code), plain))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+        if len(plain) == 1:
+            single.append((chr(code), plain))
+        elif plain and (code < 0x250 or 0x1E00 <= code < 0x1F00 or 0x2150 <= code < 0x2190 or 0x2C60 <= code < 0x2C80 or 0xA720 <= code < 0xA800 or 0xFB00 <= code < 0xFB07):
+            several[chr(code)] = plain
+    return "".join(a for a, _ in single), "".join(b for _, b in single), several
 
 
-ACCENTED, PLAIN = _accents()
+ACCENTED, PLAIN, SEVERAL = _accents()
 
 
 def fold(name: Column, spelling: int = 0) -> Column:
-    """Lower case in ASCII: Norwegian letters by ``spelling``, accents dropped, other letters left out."""
+    """Lower case in ASCII: Norwegian letters by ``spelling``, other letters as their compatibility form has them without
+    accents, one or several; what has none is left out."""
     out = F.lower(name)
     for letter, written in SPELLINGS[spelling].items():
         out = F.replace(out, F.lit(letter), F.lit(written))
+    spelt = out
+    for letter, written in SEVERAL.items():
+        spelt = F.replace(spelt, F.lit(letter), F.lit(written))
+    out = F.when(out.rlike("[" + "".join(SEVERAL) + "]"), spelt).otherwise(out)
     return F.regexp_replace(F.translate(out, ACCENTED, PLAIN), r"[^\x00-\x7F]", "")
 
 

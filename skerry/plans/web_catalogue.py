@@ -40,12 +40,14 @@ _STRIP = r"regexp_replace(regexp_replace({0}, '(?is)<script\b.*?</script\s*>|<st
 _COLLAPSE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
-def _unescape(sql: str) -> str:
-    from skerry.functions.html import ENTITIES
+#: References that the pages hold, apart from that of the ampersand, which goes last.
+_REFERENCES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&#64;": "@", "&aring;": "å", "&oslash;": "ø", "&aelig;": "æ", "&copy;": "©", "&middot;": "·"}
+
 
-    for entity, char in ENTITIES.items():
+def _unescape(sql: str) -> str:
+    for entity, char in _REFERENCES.items():
         sql = f"replace({sql}, '{entity}', '{char.replace(chr(39), chr(39) * 2)}')"
-    return sql
+    return f"regexp_replace({sql}, '&amp;?', '&', 'g')"
 
 
 _PLAIN = _COLLAPSE.format(_STRIP.format("html", ""))

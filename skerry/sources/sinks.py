@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.functions.canonical import canonical_json
+from skerry.functions.canonical import json_rows
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
-    """One canonical JSON object of scalars per row, keys sorted and nulls kept."""
-    df.select(canonical_json({c: F.col(f"`{c}`") for c in df.columns}).alias("value")).write.mode("overwrite").text(path)
+    """One canonical JSON object per row, nested values too, keys sorted and nulls kept."""
+    df.select(json_rows(df).alias("value")).write.mode("overwrite").text(path)
 
 
 def upserted(stored: DataFrame, fresh: DataFrame, keys: list[str], sequence: str) -> DataFrame:

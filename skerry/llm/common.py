@@ -35,7 +35,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skerry/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._stored_at = path
     return made

@@ -13,8 +13,8 @@ r; so texts of n and m shingles can have similarity s only if
 looked for by, which shorter or equal texts it meets there, and loses no pair.
 The order only decides how many candidates there are.
 
-A key's texts are first compared with its smallest one, which takes as many
-comparisons as texts.  Only texts of a key that no chain of links has joined
+A key's texts are first compared with one of them, which takes as many
+comparisons as texts, a few times over with another one.  Only texts of a key that no chain of links has joined
 yet then meet each other, under the bound and by bins of size, so every link
 that could join two groups is looked at and a group of copies makes no square
 of pairs.  Every candidate is decided by the exact intersection of both sets
@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.llm.common import discard, slices, spread_join, stored
@@ -40,7 +40,9 @@ from skerry.llm.simhash import bits_of, linked_pairs
 
 WIDTH, SIMILARITY = 5, 0.8
 #: Counters of one part of the shingles' table; the table's least and most (16 MB) parts' doublings; bytes of text for a counter.
-PART_BITS, MORE_BITS, COUNTER_BYTES = 16, (0, 6), 400
+PART_BITS, MORE_BITS, COUNTER_BYTES = 16, (0, 6), 800
+#: How often a key's texts are compared with one of them before those still apart meet each other.
+ROUNDS = 2
 #: Ratio of the sizes of a bin in which texts that are still apart meet.
 BIN = 1.1
 _HASH = functools.partial(xxhash.xxh64_intdigest, seed=42)
@@ -162,11 +164,12 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
         return held(sized.where((F.col("both") > 0) & (F.col("both") >= F.lit(similarity) * (F.col("all") - F.col("both")))).select("a", "b"), "near-links")
 
     # each by an index: no text is larger than its partner's share allows, and the bound on what both can share holds
-    bound = lambda n, m, r, q: F.lit(similarity) * (n + m) <= F.lit(1 + similarity) * F.least(r, q) + F.lit(1e-9)
+    # (sets of one size that are not the same share one shingle less than they have)
+    bound = lambda n, m, r, q: F.lit(similarity) * (n + m) <= F.lit(1 + similarity) * F.least(r, q, n - (n == m).cast("int")) + F.lit(1e-9)
     fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     rooted = lambda keyed, roots: keyed.join(roots, "node", "left").select("key", "node", "n", "r", F.coalesce("component", "node").alias("root"))
-    near = bound(F.col("n"), F.col("n"), F.col("r"), F.col("r"))  # shingles by which a text is found by texts of its size or larger
+    near = F.lit(2 * similarity) * F.col("n") <= F.lit(1 + similarity) * F.col("r") + F.lit(1e-9)  # shingles by which a text is found by texts of its size or larger
 
     # nodes of one fingerprint, and of linked fingerprints, each by its smallest node
     prints = points.where("n > 0").groupBy("fp").agg(F.min(F.struct("node", "n")).alias("head")).select("fp", "head.*")
@@ -177,14 +180,19 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
 
     # the wider range: a key's texts against the smallest one that is found there, then those that are still apart
     placed = points.select("node", "n", F.posexplode("keys").alias("at", "key")).select("node", "n", "key", (F.col("n") - F.col("at")).alias("r"))
-    shared = placed.groupBy("key").agg(F.count("*").alias("held"), F.count_if(near).alias("found")).where("held > 1 AND found > 0").select("key")
-    placed = held(placed.join(shared, "key"), "near-placed")
-    met = rooted(placed, connected_components(links))
-    least = met.groupBy("key").agg(F.min(F.when(near, F.struct("node", "n", "r", "root"))).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
-    least = least.select("key", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "n", "r", "root")])
-    tried = met.join(least, "key").where((F.col("root") != F.col("root_a")) & bound(F.col("n"), F.col("n_a"), F.col("r"), F.col("r_a"))).select(*pair("node", "node_a"))
-    tried = held(tried.distinct(), "near-tried")
-    links = links.unionByName(alike(tried))
+    of_key = Window.partitionBy("key")
+    shared = placed.select("*", F.count("*").over(of_key).alias("held"), F.count_if(near).over(of_key).alias("found")).where("held > 1 AND found > 0")
+    placed, tried = held(shared.drop("held", "found"), "near-placed"), []
+    for turn in range(ROUNDS):  # each time against another one, so that a group falls into few parts
+        met = rooted(placed, connected_components(links))
+        head = F.struct((F.col("n") - F.col("r")).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "r", "root")  # one with few rarer shingles is like most
+        least = met.groupBy("key").agg(F.min(F.when(near, head)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
+        least = least.select("key", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "n", "r", "root")])
+        found = met.join(least, "key").where((F.col("root") != F.col("root_a")) & bound(F.col("n"), F.col("n_a"), F.col("r"), F.col("r_a"))).select(*pair("node", "node_a")).distinct()
+        for before in tried:
+            found = found.join(before, ["a", "b"], "left_anti")
+        tried.append(held(found, "near-tried"))
+        links = links.unionByName(alike(tried[-1]))
     met = rooted(placed, connected_components(links))
     open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = held(met.join(open_, "key"), "near-apart")
@@ -195,7 +203,9 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
     index = apart.where(near).select("key", bin_of(F.col("n")).alias("bin"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "r", "root")])
     fits = (F.col("n_b") <= F.col("n")) & (F.col("root") != F.col("root_b")) & bound(F.col("n"), F.col("n_b"), F.col("r"), F.col("r_b"))
     rest = probes.join(index, ["key", "bin"]).where(fits).select(*pair("node", "node_b")).distinct()
-    links = links.unionByName(alike(rest.join(tried, ["a", "b"], "left_anti")))
+    for before in tried:
+        rest = rest.join(before, ["a", "b"], "left_anti")
+    links = links.unionByName(alike(rest))
     roots = connected_components(links)
     named = points.select("node").join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("root"))
     named = stored(named, "near-roots")

@@ -32,14 +32,6 @@ def registry_claims(rows: DataFrame, fields: dict[str, Column], key: str = "orga
     return cited.select(key, "field", "value", F.when(F.col("value").isNull(), "not_available").otherwise("available").alias("availability"), "evidence_id")
 
 
-def financial_claims(filings: DataFrame, key: str = "organisation_number") -> DataFrame:
-    """Claims of the structs ``latest`` and ``previous``: a missing current figure is not available, a missing
-    previous one is no claim."""
-    now = _unpivoted(filings.where("latest IS NOT NULL").withColumn("period_end", F.col("latest.period_end")), key, {f"financials.{f}": F.col(f"latest.{f}") for f in FINANCIAL_FIELDS}, "period_end")
-    before = _unpivoted(filings.where("previous IS NOT NULL").withColumn("period_end", F.col("previous.period_end")), key, {f"financials.previous.{f}": F.col(f"previous.{f}") for f in PREVIOUS_FIELDS}, "period_end")
-    return now.unionByName(before.where("value IS NOT NULL")).withColumn("availability", F.when(F.col("value").isNull(), "not_available").otherwise("available"))
-
-
 def claim_problems(claims: DataFrame, evidence: DataFrame, key: str = "organisation_number") -> DataFrame:
     """``key, problem`` of claims ``field, value, availability, evidence_id, period_end`` and their evidence
     ``evidence_id, source_url, retrieved_at``."""
@@ -61,17 +53,6 @@ def claim_problems(claims: DataFrame, evidence: DataFrame, key: str = "organisat
     return of_claims.unionByName(bare.select(key, F.concat("evidence_id", F.lit(": evidence without source_url or retrieved_at")).alias("problem")))
 
 
-def envelopes(inputs: DataFrame, claims: DataFrame, modules: DataFrame, key: str = "organisation_number") -> DataFrame:
-    """Exactly one envelope per input in input order: its claims, module states and errors."""
-    listed = claims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("field", "value", "availability", "evidence_id"))).alias("claims"))
-    state = registry.availability(F.col("status"))
-    run = modules.groupBy(key).agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("module", state.alias("state"))))).alias("modules"),
-        F.array_sort(F.collect_list(F.when(state == "failed", F.struct("module", F.coalesce("note", F.lit("source failed")).alias("message"))))).alias("errors"),
-    )
-    return inputs.join(listed, key, "left").join(run, key, "left").orderBy("input_ordinal")
-
-
 def order_problems(inputs: DataFrame, made: DataFrame, key: str = "organisation_number") -> DataFrame:
     """Inputs without exactly one envelope, and envelopes of no input."""
     count = made.groupBy(key).agg(F.count("*").alias("n"))

@@ -231,6 +231,14 @@ def facts(made: DataFrame) -> DataFrame:
         F.min(F.when(of("hiring_signal") & (F.col("signal_type") == "careers_page"), F.col("value"))).alias("careers"),
         F.array_sort(F.collect_set(F.when(of("social_profile"), F.col("platform")))).alias("platforms"),
         F.max_by(F.when(of("dated_news"), F.struct("title", "published_at", "signal_type")), F.when(of("dated_news"), F.struct(F.coalesce("published_at", F.lit("")), "value"))).alias("news"),
+        F.struct(
+            *[text(field, "evidence_id").alias(field) for field in ("legal_name", "legal_form", "industry", "business_address", "bankrupt", "under_liquidation", "registered_employees", "official_website")],
+            *[text(f"financials.{f}", "evidence_id").alias(f) for f in FINANCIAL_FIELDS], *[text(f"financials.previous.{f}", "evidence_id").alias(f"previous_{f}") for f in PREVIOUS_FIELDS],
+            listed("role", "evidence_id", 3, F.lower("title").isin(*LEADING_ROLES)).alias("leaders"), listed("registered_workplace", "evidence_id", 5).alias("workplaces"),
+            listed("hiring_signal", "evidence_id", 3, F.col("signal_type") == "job_posting").alias("jobs"), listed("social_profile", "evidence_id", 5).alias("profiles"),
+            F.min_by(*[F.when(of("hiring_signal") & (F.col("signal_type") == "careers_page"), F.col(x)) for x in ("evidence_id", "value")]).alias("careers"),
+            F.max_by(F.when(of("dated_news"), F.col("evidence_id")), F.when(of("dated_news"), F.struct(F.coalesce("published_at", F.lit("")), "value"))).alias("news"),
+        ).alias("cited"),
     )
 
 
@@ -263,11 +271,39 @@ def summary_health() -> Column:
     return F.struct((ratios != "").alias("known"), h["operating_margin"].isNotNull().alias("margin"), h["flags"].alias("flags"), ratios.alias("ratios"))
 
 
-def summary(made: DataFrame) -> DataFrame:
-    """``organisation_number, topic, text``: the points of each company's summary, and what is not known.
+def _citations(c, phrases: dict[str, Column], trend: Column, signals: Column) -> dict[str, Column]:
+    """The sorted evidence ids of the claims that each topic restates; the takeaway cites what the points behind it do."""
+    ids = lambda *given: F.array_sort(F.array_distinct(F.array_compact(F.array(*given))))
+    all_of = lambda *lists: F.array_sort(F.array_distinct(F.flatten(F.array(*[F.coalesce(F.array_compact(x), F.array().cast("array<string>")) for x in lists]))))
+    of = lambda field: c(f"cited.{field}")
+    when = lambda told, *fields: F.when(told, F.array(*map(of, fields)))
+    margin, ratio = c("health.margin"), c("health.ratios").contains("equity ratio")
+    made = {
+        "identity": ids(*map(of, ("legal_name", "legal_form", "industry", "business_address"))), "risk": ids(F.when(c("bankrupt"), of("bankrupt")), F.when(c("liquidating"), of("under_liquidation"))),
+        "leadership": all_of(of("leaders")), "financials": ids(*[F.when(c(f).isNotNull(), of(f)) for f in ("revenue", "annual_result", "equity")]),
+        "comparison": all_of(*[when(told.isNotNull(), f"previous_{f}", f) for f, told in phrases.items()]),
+        "financial_health": all_of(when(margin, "revenue", "operating_result"), when(ratio, "equity", "assets")),
+        "size": ids(of("registered_employees")), "locations": all_of(of("workplaces")), "web": ids(of("official_website")), "hiring": F.when(c("jobs") > 0, all_of(of("jobs"))).otherwise(ids(of("careers"))),
+        "profiles": all_of(of("profiles")), "activity": ids(of("news")),
+    }
+    last_risk = F.array(F.when(c("liquidating"), of("under_liquidation")).when(c("bankrupt"), of("bankrupt")))
+    net_loss = F.array(F.when(margin & (F.size("health.flags") == 0) & (c("annual_result") < 0), of("annual_result")))
+    shown = F.when(F.size(signals) > 0, F.flatten(F.array(*[made[t] for t in ("hiring", "activity", "web", "profiles")])))
+    made["takeaway"] = all_of(last_risk, net_loss, F.when(c("health.known"), made["financial_health"]), F.when(trend.isNotNull(), made["comparison"]), shown)
+    return made
+
+
+def summary(made: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """``organisation_number, place, topic, text, evidence_ids``: the points of each company's summary, and what is not known.
 
-    Topics come in the order of ``place``, the takeaway first; a topic without claims has no row."""
+    Topics come in the order of ``place``, the takeaway first; a topic without claims has no row.  Every point cites
+    the evidence of the claims that it restates; ``changes``, one row for each material change since the previous
+    run, make a point that cites none.  The sentences are fixed texts."""
     f = facts(made).withColumn("health", summary_health())
+    if changes is not None:
+        f = f.join(changes.groupBy(KEY).agg(F.count("*").alias("changed")), KEY, "left")
+    else:
+        f = f.withColumn("changed", F.lit(None).cast("long"))
     c, join = F.col, F.concat
     some = lambda x: x.isNotNull() & (F.size(x) > 0)
     identity = join(c("name"), F.coalesce(join(F.lit(" ("), c("form"), F.lit(")")), F.lit("")), F.coalesce(join(F.lit(" operates in "), F.lower("industry")), F.lit("")), F.coalesce(join(F.lit(", registered in "), F.initcap("place")), F.lit("")), F.lit("."))
@@ -279,7 +315,8 @@ def summary(made: DataFrame) -> DataFrame:
     change = F.try_divide(c("revenue") - c("previous_revenue"), c("previous_revenue"))
     moved = F.when(F.abs(change) < 0.005, "flat").otherwise(join(F.when(change > 0, "up ").otherwise("down "), _percent(F.abs(change))))
     trend = F.when((c("previous_revenue") > 0) & (c("revenue") >= 0), join(F.lit("revenue "), moved, F.lit(" on the previous year")))
-    phrases = F.concat_ws("; ", *[comparison_phrase(label, c(f"previous_{n}"), c(n), n in ("revenue", "equity")) for n, label in (("revenue", "revenue"), ("operating_result", "operating result"), ("annual_result", "annual result"), ("equity", "equity"))])
+    told = {n: comparison_phrase(label, c(f"previous_{n}"), c(n), n in ("revenue", "equity")) for n, label in (("revenue", "revenue"), ("operating_result", "operating result"), ("annual_result", "annual result"), ("equity", "equity"))}
+    phrases = F.concat_ws("; ", *told.values())
     health = join(F.lit("Financial health from the same accounts: "), c("health.ratios"), F.lit("."), F.when(F.size("health.flags") > 0, join(F.lit(" Watch: "), F.array_join("health.flags", ", "), F.lit("."))).otherwise(""))
     accounts = F.when(c("newer").isNotNull(), join(F.lit("its "), c("year"), F.lit(" accounts (a newer filing is not yet published)"))).otherwise("its latest accounts")
     standing = (
@@ -307,10 +344,12 @@ def summary(made: DataFrame) -> DataFrame:
         .when(c("careers").isNotNull(), join(F.lit("Recruits through a careers page linked from its website: "), c("careers"), F.lit("."))),
         "profiles": F.when(some(c("platforms")), join(F.lit("Social profiles linked from its website: "), F.array_join("platforms", ", "), F.lit("."))),
         "activity": F.when(c("news").isNotNull(), join(F.lit("Most recent dated item "), where, F.lit(': "'), c("news.title"), F.lit('" ('), c("news.published_at"), F.lit(")."))),
+        "changes": F.when(c("changed") > 0, join(c("changed"), F.lit(" material change(s) since the previous run."))),
         "unknowns": F.nullif(F.array_join(unknown, "; "), F.lit("")),
     }
-    each = f.select(KEY, F.posexplode(F.array(*[F.struct(F.lit(t).alias("topic"), x.alias("text")) for t, x in points.items()])).alias("place", "p"))
-    return each.select(KEY, "place", "p.topic", "p.text").where("text IS NOT NULL")
+    cited, none = _citations(c, told, trend, signals), F.array().cast("array<string>")
+    each = f.select(KEY, F.posexplode(F.array(*[F.struct(F.lit(t).alias("topic"), x.alias("text"), cited.get(t, none).alias("evidence_ids")) for t, x in points.items()])).alias("place", "p"))
+    return each.select(KEY, "place", "p.topic", "p.text", "p.evidence_ids").where("text IS NOT NULL")
 
 
 def viewer_facts(made: DataFrame) -> DataFrame:

@@ -59,11 +59,6 @@ def unrepeated_titles(items: DataFrame, key: str, title: str) -> DataFrame:
     return items.withColumn("_n", F.count("*").over(Window.partitionBy(key, F.lower(title)))).where("_n = 1").drop("_n")
 
 
-def first_by_source(items: DataFrame, key: str, url: str, priority: str) -> DataFrame:
-    """One item per company and URL, of the best source."""
-    return items.withColumn("_k", F.row_number().over(Window.partitionBy(key, url).orderBy(priority))).where("_k = 1").drop("_k")
-
-
 #: Headlines of one key that meet its names in one place.
 MANY = 50_000
 _BREAK = "\x1f"

@@ -75,12 +75,6 @@ def proof_spans(page: Column, organisation: Column, subunits: Column, email: Col
     return F.map_filter(F.create_map(*[x for k, v in proofs.items() for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())
 
 
-def name_on_page(page: Column, name: Column) -> Column:
-    """Every distinctive word of the name stands on the page."""
-    text, wanted = names.fold(html.visible_text(page)), names.distinctive_words(name)
-    return (F.size(wanted) > 0) & F.forall(wanted, lambda w: F.regexp_like(text, F.concat(F.lit("(?<![a-z0-9])"), w, F.lit("(?![a-z0-9])"))))
-
-
 #: How a page announces an organisation number (fixed pattern).
 ANNOUNCED = r"(?i)(?:org(?:anisasjons)?\.?\s*(?:nr|nummer|no|number)\.?|foretaksregisteret|\bNO)\s*[:.]?\s*(\d{3}[\s.]?\d{3}[\s.]?\d{3})(?!\d)"
 

@@ -109,9 +109,11 @@ def with_shares(rows: DataFrame, counts: DataFrame, key: str, absent: int) -> Da
     return rows.join(counts, key, "left").fillna({"entities": absent})
 
 
-def filled(live: DataFrame, snapshot: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Snapshot columns that are absent (null) filled from live rows, and which were."""
-    from_live = live.select(key, *[F.col(c).alias(f"_{c}") for c in columns])
-    took = F.array_compact(F.array(*[F.when(F.col(c).isNull() & F.col(f"_{c}").isNotNull(), c) for c in columns]))
-    joined = snapshot.join(from_live, key, "left").withColumn("filled_fields", took)
-    return joined.withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*[f"_{c}" for c in columns])
+def having(rows: DataFrame, records: DataFrame, key: str, record_key: str | None = None) -> DataFrame:
+    """Rows whose key has a record, each once however many it has; a null key has none."""
+    return rows.join(records.select(F.col(record_key or key).alias(key)), key, "left_semi")
+
+
+def lacking(rows: DataFrame, records: DataFrame, key: str, record_key: str | None = None) -> DataFrame:
+    """Rows whose key has no record; a null key has none."""
+    return rows.join(records.select(F.col(record_key or key).alias(key)), key, "left_anti")

@@ -11,22 +11,23 @@ from pyspark.sql import functions as F
 from skerry.operators import signals
 
 
-#: Parts that a key's range of values is cut into when a rank is looked for.
-PARTS = 4096
+#: Parts that a key's values are cut into when a rank is looked for, at approximate quantiles.
+PARTS = 256
 
 
 def at_ranks(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]) -> DataFrame:
     """``keys, n, max`` and for each name the value at an index from 0, a column over ``n``, of each key's sorted values.
 
-    Exact, and no key's values meet in one task: counts by part of the key's range tell the part that holds a
-    rank, and only the counted values of these parts are put in order."""
+    Exact, and no key's values meet in one task: counts by part tell the part that holds a rank, and only the
+    counted values of these parts are put in order.  Parts are cut at approximate quantiles, so that outliers
+    leave them as even as they are."""
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("_v").alias("_low"), F.max("_v").alias("max"))
+    whole = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.max("_v").alias("max"), F.percentile_approx("_v", [k / PARTS for k in range(1, PARTS)], 4 * PARTS).alias("_cuts"))
     join = lambda a, b: a.alias("r").join(b.alias("o"), reduce(and_, same, F.lit(True)))
     counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    share = (F.col("_v").cast("double") - F.col("_low").cast("double")) / F.nullif(F.col("max").cast("double") - F.col("_low").cast("double"), F.lit(0.0))
-    placed = join(counted, whole).select(*[f"r.{k}" for k in keys], "_v", "_c", F.floor(F.coalesce(share, F.lit(0.0)) * (PARTS - 1)).alias("_part"))
+    part = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    placed = join(counted, whole).select(*[f"r.{k}" for k in keys], "_v", "_c", part.alias("_part"))
     parts = placed.groupBy(*keys, "_part").agg(F.sum("_c").alias("_held"))
     parts = parts.withColumn("_before", F.sum("_held").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_held"))
     asked = whole.select(*keys, F.explode(F.array(*[F.struct(F.lit(name).alias("_name"), rank.cast("long").alias("_at")) for name, rank in ranks.items()])).alias("_q")).select(*keys, "_q.*")

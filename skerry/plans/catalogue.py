@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions import canonical, html, names, urls
 from skerry.operators import claims, feeds, filings, identity, refresh, registry, reports, sampling, screens, signals
+from skerry.streaming import feeds as streams
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -209,13 +210,20 @@ def failure_rates_top_reason(spark, sf_dir):
 
 
 @query(
-    f"WITH {FILINGS}, c AS (SELECT organisation_number, 'financials.revenue' AS field, CASE WHEN revenue > 100000 THEN revenue END AS value, CASE WHEN revenue > 60000 THEN 'available' ELSE 'not_available' END AS availability FROM filings) "
-    "SELECT organisation_number, field || ': available claim without a value' AS problem FROM c WHERE availability = 'available' AND value IS NULL"
+    """SELECT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, CASE o_orderkey % 9 WHEN 0 THEN 'f: invalid state' WHEN 1 THEN 'f: dangling evidence id' WHEN 2 THEN 'f: available claim without a value' WHEN 3 THEN 'f: available claim without evidence'
+        WHEN 4 THEN 'financials.revenue: financial claim without reporting period' WHEN 5 THEN 'f: unavailable claim carries a value' ELSE 'ev-' || o_orderkey || ': evidence without source_url or retrieved_at' END AS problem FROM orders WHERE o_orderkey % 9 < 7"""
 )
 def envelope_validation(spark, sf_dir):
-    revenue = F.when(F.col("revenue") > 100000, F.col("revenue").cast("string"))
-    made = annual_filings(spark, sf_dir).select("organisation_number", F.lit("financials.revenue").alias("field"), revenue.alias("value"), F.when(F.col("revenue") > 60000, "available").otherwise("not_available").alias("availability"), F.col("record_id").alias("evidence_id"), "period_end")
-    cited = annual_filings(spark, sf_dir).select("organisation_number", F.col("record_id").alias("evidence_id"), F.lit("https://example.com").alias("source_url"), F.lit("2026-01-01").alias("retrieved_at"))
+    """Claims and evidence that break a rule of the contract, one rule for each kind of order; two kinds break none."""
+    at, some = F.col("o_orderkey") % 9, F.lit("1")
+    o = _read(spark, sf_dir, "orders").select(_org("o_custkey"), at.alias("at"), F.concat(F.lit("ev-"), "o_orderkey").alias("evidence_id"))
+    kind = F.col("at")
+    made = o.select(
+        "organisation_number", F.when(kind.isin(4, 7), "financials.revenue").when(kind == 8, "financials.filed_years").otherwise("f").alias("field"), F.when(kind != 2, some).alias("value"),
+        F.when(kind == 0, "published").when(kind == 5, "ambiguous").otherwise("available").alias("availability"), F.when(kind != 3, F.col("evidence_id")).alias("evidence_id"), F.when(kind == 7, "2023-12-31").alias("period_end"),
+    )
+    made = made.withColumn("value", F.when(F.col("availability") == "published", None).otherwise(F.col("value")))
+    cited = o.where("at <> 1").select("organisation_number", "evidence_id", F.when(kind != 6, "https://example.com").alias("source_url"), F.lit("2026-01-01").alias("retrieved_at"))
     return claims.claim_problems(made, cited)
 
 
@@ -240,14 +248,14 @@ def requested_absent(spark, sf_dir):
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O')")
 def semi_join_universe(spark, sf_dir):
-    opened = _read(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
-    return _read(spark, sf_dir, "customer").join(opened, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    """Companies with an open record."""
+    return registry.having(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), _read(spark, sf_dir, "orders").where("o_orderstatus = 'O'"), "c_custkey", "o_custkey")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def anti_join_excluded(spark, sf_dir):
-    grouped = _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
-    return _read(spark, sf_dir, "customer").join(grouped, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Companies without a record of the excluded kind."""
+    return registry.lacking(_read(spark, sf_dir, "customer").select("c_custkey", "c_name"), _read(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), "c_custkey", "o_custkey")
 
 
 _HOST = "regexp_replace(regexp_extract(lower(url), '^[a-z]+://([^/?#:]*)', 1), '^www\\.', '')"
@@ -549,7 +557,7 @@ def phone_normalise(spark, sf_dir):
 @query("SELECT event_type, date_trunc('day', ts) AS window_start, count(*) AS n FROM events GROUP BY ALL")
 def activity_windows(spark, sf_dir):
     """An extension beside the reference: events by day."""
-    made = _read(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 day")["start"].alias("window_start")).agg(F.count("*").alias("n"))
+    made = streams.activity(_read(spark, sf_dir, "events"), "ts", "event_type", "1 day", "1 hour")
     return made.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 

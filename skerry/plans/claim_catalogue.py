@@ -226,9 +226,33 @@ def envelope_assembly(spark, sf_dir):
 )
 def summary_points(spark, sf_dir):
     """What each company's summary says of its identity, risk, size, site and footprint, and what is not known."""
+    return envelope.summary(_summary_claims(spark, sf_dir)).where("topic <> 'activity'").select("organisation_number", "topic", "text")
+
+
+def _summary_claims(spark, sf_dir):
     o = _read(spark, sf_dir, "orders").withColumns(_at()).withColumns({"organisation_number": (F.lit(900000000) + F.col("o_custkey")).cast("string"), "url": F.concat(F.lit("https://avis.no/"), "o_orderkey"), "title": F.lit("Sak"), "claim_span": F.lit("s"), "date": F.to_date("o_orderdate").cast("string")})
-    made = envelope.registry_claims(_registry_rows(spark, sf_dir)).unionByName(envelope.website_claims(_sites(spark, sf_dir))).unionByName(envelope.activity_claims(o, o.limit(0)))
-    return envelope.summary(made).where("topic <> 'activity'").select("organisation_number", "topic", "text")
+    return envelope.registry_claims(_registry_rows(spark, sf_dir)).unionByName(envelope.website_claims(_sites(spark, sf_dir))).unionByName(envelope.activity_claims(o, o.limit(0)))
+
+
+@query(
+    f"""WITH {_RAW}, j AS (SELECT CAST(900000000 + o_custkey AS VARCHAR) AS organisation_number, count(*) AS n FROM orders GROUP BY 1),
+    s AS (SELECT r.*, coalesce(j.n, 0) AS n, coalesce(j.n, 0) > 0 AS news, c_custkey % 5 < 3 AS web FROM r LEFT JOIN j USING (organisation_number))
+    SELECT organisation_number, 'takeaway' AS topic, array_to_string(list_filter([CASE WHEN bankrupt = 'true' THEN 'bankrupt' END, CASE WHEN news THEN 'dated_news' END, CASE WHEN web THEN 'official_website' END], lambda q: q IS NOT NULL), ',') AS cited FROM s
+    UNION ALL SELECT organisation_number, 'identity', array_to_string(list_filter([CASE WHEN city IS NOT NULL OR street IS NOT NULL THEN 'business_address' END, 'industry', 'legal_form', 'legal_name'], lambda q: q IS NOT NULL), ',') FROM s
+    UNION ALL SELECT organisation_number, 'risk', 'bankrupt' FROM s WHERE bankrupt = 'true'
+    UNION ALL SELECT organisation_number, 'size', 'registered_employees' FROM s WHERE employees IS NOT NULL
+    UNION ALL SELECT organisation_number, 'web', 'official_website' FROM s WHERE web
+    UNION ALL SELECT organisation_number, 'activity', 'dated_news' FROM s WHERE news
+    UNION ALL SELECT organisation_number, 'changes', '' FROM s WHERE n > 0
+    UNION ALL SELECT organisation_number, 'unknowns', '' FROM s"""
+)
+def summary_citations(spark, sf_dir):
+    """The fields of the claims whose evidence each point of the summary cites; orders stand for changes, too."""
+    made = _summary_claims(spark, sf_dir)
+    points = envelope.summary(made, _read(spark, sf_dir, "orders").select(_org("o_custkey")))
+    known = made.where("availability = 'available'").select("organisation_number", F.col("evidence_id").alias("id"), "field").distinct()
+    each = points.select("organisation_number", "topic", F.explode_outer("evidence_ids").alias("id")).join(known, ["organisation_number", "id"], "left")
+    return each.groupBy("organisation_number", "topic").agg(F.array_join(F.array_sort(F.collect_set("field")), ",").alias("cited"))
 
 
 @query(

@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from skerry.functions import canonical, html, names, urls
 from skerry.operators import feeds, refresh, site_search
 from skerry.plans.catalogue import _org, _read, query
-from skerry.sources import chunks
-
-
-def _folder(spark) -> str:
-    """A new folder that driver and executors share; only local sessions may go without a named one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(shared or tempfile.mkdtemp(prefix='spark-runs-')).rstrip('/')}/runs/{uuid.uuid4().hex}"
+from skerry.sources import chunks, scratch
+from skerry.streaming import job_feed
 
 
 @query(
@@ -35,7 +26,7 @@ def chunk_run(spark, sf_dir):
         lost = (F.col("chunk") % 5).isin(*([2, 4] if len(calls) == 1 else [4])) & (F.col("input_ordinal") % 40 == 0)
         return rows.where(~lost).withColumn("value", F.col("input_ordinal") * 2)
 
-    run = chunks.run_chunks(inputs, work, _folder(spark), run_id="r", size=40, prints=prints, fallback=lambda rows, why: rows.withColumn("value", F.lit(0).cast("long")))
+    run = chunks.run_chunks(inputs, work, scratch.new_folder(spark, "runs"), run_id="r", size=40, prints=prints, fallback=lambda rows, why: rows.withColumn("value", F.lit(0).cast("long")))
     sums = run.rows.groupBy("chunk").agg(F.count("*").alias("rows"), F.sum("value").alias("total"))
     return run.manifest.select("chunk", "outcome", "attempts").join(sums, "chunk")
 
@@ -99,3 +90,62 @@ def all_headline_mentions(spark, sf_dir):
     said = F.when(at == 0, F.concat(name, F.lit(": vekst"))).when(at == 1, F.concat(F.lit("Nord "), name, F.lit(" vokser"))).when(at == 2, F.concat(F.lit("Inntektene til "), F.upper(name), F.lit(" stiger"))).when(at == 3, F.concat(name, F.lit("A vokser"))).otherwise(name)
     companies = c.select(_org("c_custkey"), F.concat(F.lit("Firma "), F.col("c_custkey"), F.lit(" Verk AS")).alias("name"))
     return feeds.headline_mentions(companies, o.select(F.col("o_orderkey").cast("long").alias("item_id"), said.alias("headline")))
+
+
+_NEXT = "page_id + 1 + page_id % 3"
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT page_id, {_NEXT} AS after, CASE WHEN page_id % 31 = 30 THEN 500 ELSE 200 END AS status, page_id % 3 AS n FROM pages),
+    read AS (
+        SELECT page_id, 0 AS place FROM p WHERE page_id = 1
+        UNION ALL SELECT b.page_id, place + 1 FROM read r JOIN p a ON a.page_id = r.page_id JOIN p b ON b.page_id = a.after WHERE a.status = 200 AND a.n > 0 AND place + 1 < 450)
+    SELECT '/' || page_id AS url, place FROM read"""
+)
+def feed_pages(spark, sf_dir):
+    """The pages of a paged feed's read: each names the next, and one without items or an error ends it."""
+    k = F.col("page_id")
+    item = F.struct(F.concat(F.lit("u"), k).alias("uuid"), F.lit("ACTIVE").alias("status"), F.lit("Firma").alias("business_name"), F.lit("2024-01-01").cast("timestamp").alias("modified"))
+    at = lambda n: F.concat(F.lit("/"), n.cast("string"))
+    pages = _read(spark, sf_dir, "pages").select(at(k).alias("url"), F.when(k % 31 == 30, 500).otherwise(200).alias("status"), at(F.expr(_NEXT)).alias("next_url"), F.slice(F.array(item, item), F.lit(1), (k % 3).cast("int")).alias("items"))
+    return job_feed.read_pages(pages, "/1").select("url", "place")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS BIGINT) AS k, '{"a": [' || o_custkey || ', null, {"x y": ' || CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'false' END || '}], "m": {"b": "' || o_orderstatus || '", "é": "\\u0001\\\""}, "none": null}' AS body FROM orders"""
+)
+def nested_json(spark, sf_dir):
+    """Nested values as canonical JSON: keys sorted at every depth, nulls and control characters written."""
+    o = _read(spark, sf_dir, "orders")
+    flag = F.col("o_orderkey") % 2 == 0
+    value = F.struct(
+        F.lit(None).cast("string").alias("none"), F.create_map(F.lit("é"), F.lit("\x01\""), F.lit("b"), F.col("o_orderstatus")).alias("m"),
+        F.array(F.struct(flag.alias("x y")), F.lit(None)).alias("a"),
+    )
+    made = o.select(F.col("o_orderkey").cast("long").alias("k"), value.alias("v"), F.col("o_custkey").cast("long").alias("c"))
+    body = canonical.json_of(F.col("v"), made.schema["v"].dataType)
+    return made.select("k", F.replace(F.replace(body, F.lit('"a": [{'), F.concat(F.lit('"a": ['), F.col("c").cast("string"), F.lit(", null, {"))), F.lit("}, null]"), F.lit("}]")).alias("body"))
+
+
+@query(
+    """SELECT CAST(c_custkey AS BIGINT) AS k, CASE c_custkey % 6 WHEN 0 THEN 'f' || c_custkey || '.no' WHEN 1 THEN 'f' || c_custkey || '.co.uk' WHEN 2 THEN '' WHEN 3 THEN 'b' || c_custkey || '.c.ck' WHEN 4 THEN 'www.ck' ELSE 'f' || c_custkey || '.unknown' END AS domain FROM customer"""
+)
+def suffix_domains(spark, sf_dir):
+    """Registered domains by a table of suffix rules with a wildcard, an exception and the default."""
+    k = F.col("c_custkey")
+    kind, at = k % 6, k.cast("string")
+    host = (
+        F.when(kind == 0, F.concat(F.lit("https://a.b.f"), at, F.lit(".NO/x"))).when(kind == 1, F.concat(F.lit("post@mail.f"), at, F.lit(".co.uk"))).when(kind == 2, "co.uk")
+        .when(kind == 3, F.concat(F.lit("a.b"), at, F.lit(".c.ck"))).when(kind == 4, "x.www.ck").otherwise(F.concat(F.lit("f"), at, F.lit(".unknown")))
+    )
+    rules = spark.createDataFrame([(r,) for r in ("no", "uk", "co.uk", "*.ck", "!www.ck")], "rule string")
+    rows = _read(spark, sf_dir, "customer").select(k.cast("long").alias("k"), host.alias("host"))
+    return urls.registered_domains(rows, "host", rules, "domain").select("k", "domain")
+
+
+@query("""SELECT CAST(o_orderkey AS BIGINT) AS k, 'Øl & ' || chr(CAST(65 + o_orderkey % 26 AS INTEGER)) || '€ ' || chr(CAST(945 + o_orderkey % 20 AS INTEGER)) || ' ∉ &unknown; <' AS text, 'viet nam 13 ' || o_orderkey AS folded FROM orders""")
+def references_and_folding(spark, sf_dir):
+    """Named, decimal and hexadecimal references, also without their end, and letters of several forms."""
+    k = F.col("o_orderkey")
+    said = F.concat(F.lit("&Oslash;l &amp; &#"), (65 + k % 26).cast("string"), F.lit("&#128; &#x"), F.lower(F.hex(945 + k % 20)), F.lit("; &notin; &unknown; &lt"))
+    return _read(spark, sf_dir, "orders").select(k.cast("long").alias("k"), html.unescaped(said).alias("text"), names.fold(F.concat(F.lit("Việt Nam ⅓ "), k.cast("string"))).alias("folded"))

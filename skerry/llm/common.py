@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Text handled at once inside a task, in characters.
 SLICE_CHARS = 4_000_000
+#: Stored tables that are still there, in the order in which they were made.
+_STORED: list[str] = []
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,11 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder(spark.sparkContext.applicationId)
     return folder.rstrip("/")
 
 
+@functools.lru_cache(maxsize=None)
+def _local_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: the lineage ends there, and a lost
     executor costs no recomputation."""
@@ -38,17 +45,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     made = spark.read.schema(df.schema).parquet(path)
     made._stored_at = path
+    _STORED.append(path)
     return made
 
 
-def discard(*tables: DataFrame) -> None:
-    """Deletes the files behind stored tables that nothing reads any more, as what was made of them is stored itself."""
-    for path in {t._stored_at for t in tables if hasattr(t, "_stored_at")}:
-        spark = tables[0].sparkSession
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, stored; the tables that were stored on the way go, as nothing reads them any more."""
+    before = len(_STORED)
+    made = stored(make(), name)
+    _delete(made.sparkSession, _STORED[before:-1])
+    del _STORED[before:]
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files behind stored tables that nothing reads any more, as what was made of them is stored itself."""
+    gone = {t._stored_at for t in tables if hasattr(t, "_stored_at")}
+    if gone:
+        _delete(tables[0].sparkSession, sorted(gone))
+    _STORED[:] = [path for path in _STORED if path not in gone]
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows with one fact for each key, where one key may hold a third of all rows.
 

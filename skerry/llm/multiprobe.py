@@ -215,13 +215,13 @@ def nearest_neighbours(
     crowded = stored(crowded, "ann-crowded")
     slot = F.pmod(F.xxhash64("key", "block"), F.lit(slots)).cast("int").alias("slot")
     entries = (
-        index.join(crowded, "key", "left")
+        index.join(F.broadcast(crowded), "key", "left")  # fewer rows than entries by BLOCK_ROWS
         .withColumn("block", F.pmod(F.xxhash64("gid"), F.coalesce("blocks", F.lit(1))).cast("int"))
         .select(slot, "key", "gid", "vec")
     )
     visits = (
         queries.mapInPandas(functools.partial(_probes, cell=scale, setup=setup), "query long, key long")
-        .join(crowded, "key", "left")
+        .join(F.broadcast(crowded), "key", "left")
         .withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
         .select(slot, "query", "key")
         .groupBy("slot", "query")

@@ -168,7 +168,11 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
     bound = lambda n, m, r, q: F.lit(similarity) * (n + m) <= F.lit(1 + similarity) * F.least(r, q, n - (n == m).cast("int")) + F.lit(1e-9)
     fit = lambda x, y: F.least(x, y) >= F.lit(similarity) * F.greatest(x, y)
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    rooted = lambda keyed, roots: keyed.join(roots, "node", "left").select("key", "node", "n", "r", F.coalesce("component", "node").alias("root"))
+
+    def rooted(keyed: DataFrame) -> DataFrame:
+        scratch.append(connected_components(links))
+        return keyed.join(scratch[-1], "node", "left").select("key", "node", "n", "r", F.coalesce("component", "node").alias("root"))
+
     near = F.lit(2 * similarity) * F.col("n") <= F.lit(1 + similarity) * F.col("r") + F.lit(1e-9)  # shingles by which a text is found by texts of its size or larger
 
     # nodes of one fingerprint, and of linked fingerprints, each by its smallest node
@@ -184,7 +188,7 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
     shared = placed.select("*", F.count("*").over(of_key).alias("held"), F.count_if(near).over(of_key).alias("found")).where("held > 1 AND found > 0")
     placed, tried = held(shared.drop("held", "found"), "near-placed"), []
     for turn in range(ROUNDS):  # each time against another one, so that a group falls into few parts
-        met = rooted(placed, connected_components(links))
+        met = rooted(placed)
         head = F.struct((F.col("n") - F.col("r")).alias("d"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "r", "root")  # one with few rarer shingles is like most
         least = met.groupBy("key").agg(F.min(F.when(near, head)).alias("m"), F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y")
         least = least.select("key", *[F.col(f"m.{c}").alias(f"{c}_a") for c in ("node", "n", "r", "root")])
@@ -193,7 +197,7 @@ def near_copies(df: DataFrame, *, id_col: str, text_col: str, width: int, simila
             found = found.join(before, ["a", "b"], "left_anti")
         tried.append(held(found, "near-tried"))
         links = links.unionByName(alike(tried[-1]))
-    met = rooted(placed, connected_components(links))
+    met = rooted(placed)
     open_ = met.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
     apart = held(met.join(open_, "key"), "near-apart")
     bin_of = lambda n: F.floor(F.log(n) / math.log(BIN)).cast("int")
@@ -223,7 +227,7 @@ def near_copy_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     rows, roots = near_copies(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
     least = rows.groupBy("node").agg(F.min("own").alias("own")).join(roots, "node")
     names = least.groupBy("root").agg(F.min("own").alias("component_id"))
-    named = stored(roots.join(names, "root").select("node", "component_id"), "near-groups")
+    named = stored(spread_join(roots, names, "root").select("node", "component_id"), "near-groups")
     return spread_join(rows.select("own", "fp", "node"), named, "node").select(F.col("own").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import slices, stored
+from skerry.llm.common import discard, slices, stored
 from skerry.llm.linear import labelled_sample, sigmoid
 
 SAMPLE_ROWS = 12_000
@@ -332,8 +332,10 @@ def quality_column(
     measured = stored(df.where(unlabelled).select(text.alias("text")).select("text", fold).mapInPandas(work, kind), "pu-measures")
     cuts = measured.agg(*[F.percentile_approx(F.col("x")[k], list(CUTS), 2000) for k in range(len(NAMES))]).first()
     bins = Binned([c or [] for c in cuts])
-    web = Unlabelled(stored(measured.mapInPandas(functools.partial(_coded, bins=bins), "fold int, codes binary"), "pu-codes"), bins)
-    weights, _ = fit_quality(np.array([r["x"] for r in seen], float).reshape(-1, len(NAMES)), np.array([r["fold"] for r in seen], int), web)
+    coded = stored(measured.mapInPandas(functools.partial(_coded, bins=bins), "fold int, codes binary"), "pu-codes")
+    discard(measured)
+    weights, _ = fit_quality(np.array([r["x"] for r in seen], float).reshape(-1, len(NAMES)), np.array([r["fold"] for r in seen], int), Unlabelled(coded, bins))
+    discard(coded)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -128,6 +128,6 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     labels = connected_components(pairs)  # node, component: both fingerprints
     named = points.join(labels, points["fp"] == labels["node"], "left").selectExpr("fp", "own", "coalesce(component, fp) AS root")
     smallest = named.groupBy("root").agg(F.min("own").alias("component_id"))
-    groups = stored(named.join(smallest, "root").select("fp", "component_id"), "groups")
+    groups = stored(spread_join(named.select("fp", "root"), smallest, "root").select("fp", "component_id"), "groups")
     discard(pairs, labels, points)
     return spread_join(prints, groups, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import slices, stored
+from skerry.llm.common import discard, slices, stored
 from skerry.llm.linear import fit_logistic, labelled_sample, sigmoid
 
 SAMPLE_ROWS, FEATURES, FOLDS, LEAST_TEXTS = 12_000, 256, 3, 3
@@ -209,6 +209,7 @@ def classifier_chain(
     """
     sample = stored(labelled_sample(df, labels, list(categories), sample_rows, id_col, text_col), "chain-sample")
     names, models = fit_chain(sample, categories, features)
+    discard(sample)
     return df.select(F.col(f"`{id_col}`"), chain_column(F.col(f"`{text_col}`"), names, models, categories).alias("p")).select(id_col, "p.*")
 
 
@@ -218,6 +219,7 @@ def toxicity_column(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
     ``labels`` marks only ``toxic``; the kinds are learnt from the texts marked so."""
     sample = stored(labelled_sample(df, labels, ["toxic"], sample_rows, id_col, text_col), "toxic-sample")
     names, models = fit_chain(sample, ("toxic",), kinds=True)
+    discard(sample)
     return chain_column(F.col(f"`{text_col}`"), names, models, CATEGORIES)
 
 

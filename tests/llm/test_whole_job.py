@@ -137,3 +137,28 @@ def test_the_bound_loses_no_pair():
             assert 0.8 * (len(a) + len(b)) <= 1.8 * min(r) + 1e-9 and 1.6 * len(small) <= 1.8 * r[1] + 1e-9
             met += 1
     assert met > 100
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    """What stays in the shared folder after a query is what its result still reads."""
+    import os
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from skerry.llm import common, queries
+
+    stay = {"op1_toxicity": set(), "op9_pu_quality": set(), "op6_simhash": {"fingerprints", "groups", "hot-keys"}, "op12_prefix_trie": {"trie-points", "trie-ends", "hot-keys"}, "op13_hard_negatives": {"hard-anchors", "hard-facts", "hot-keys"}, "pipeline": {"stage-near-copies"}}
+    for name, wanted in stay.items():
+        monkeypatch.setattr(common, "shared_folder", lambda spark, name=name: str(tmp_path / name))
+        (queries.QUERIES | {"pipeline": pipeline.run})[name](spark, "/root/testdata/sf0.001").count()
+        root = tmp_path / name / "skerry"
+        assert {x.rsplit("-", 1)[0] for x in os.listdir(root)} == wanted, name
+
+
+def test_a_large_star_is_one_component(spark, monkeypatch):
+    """Centres of many links are told by broadcast; the result is the same."""
+    from skerry.llm import components
+
+    monkeypatch.setattr(components, "MANY", 50)
+    links = spark.range(1, 3000).selectExpr("0L AS a", "id AS b").unionByName(spark.range(3000, 3300).selectExpr("id AS a", "id + 1 AS b")).unionByName(spark.range(5000, 5200).selectExpr("5300L AS a", "id AS b"))
+    got = {r["node"]: r["component"] for r in components.connected_components(links).collect()}
+    assert got == {k: 0 for k in range(3000)} | {k: 3000 for k in range(3000, 3301)} | {k: 5000 for k in (*range(5000, 5200), 5300)}

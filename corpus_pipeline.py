@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.llm import near_copies, packing, pu_quality, toxicity
-from skerry.llm.common import read, stored
+from skerry.llm.common import discard, finished, read
 
 #: No SQL states a trained classifier; the stages are tested against brute force instead.
 ORACLE_SQL = None
@@ -54,8 +54,10 @@ STAGES = [("toxicity", drop_toxic), ("quality", drop_poor), ("near copies", drop
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written and read again."""
+    """All stages over documents, each written and read again; what a stage wrote on its way goes with it, only the last
+    one's input stays."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        before, docs = docs, finished(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

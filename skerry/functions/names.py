@@ -119,5 +119,10 @@ def norwegian_number(value: Column) -> Column:
     return F.when(n & number.between(0, 100000), number)
 
 
+def clean_number(value: Column) -> Column:
+    """All digits of a text as one number; null without digits."""
+    return F.regexp_replace(value, r"\D", "").try_cast("bigint")
+
+
 def review_label(stars: Column) -> Column:
     return F.when(stars <= 2, "negative").when(stars >= 4, "positive").when(stars.isNotNull(), "neutral")

@@ -10,8 +10,6 @@ from skerry.operators import registry
 
 CONTRACT_STATES = ("available", "not_available", "blocked", "not_applicable", "ambiguous", "failed")
 # Fixed values of the contract: its states and the measures of filings.
-FINANCIAL_FIELDS = ("revenue", "operating_result", "profit_before_tax", "annual_result", "assets", "equity", "debt")
-PREVIOUS_FIELDS = ("revenue", "operating_result", "annual_result", "equity")
 #: Shares of failed companies above which a module is warned of (fixed values).
 FAIL_RATE_WARN = {"registry": 0.01, "financials": 0.02, "roles": 0.02, "locations": 0.02, "financial_history": 0.05, "website": 0.05, "jobs": 0.10, "news_mentions": 0.05}
 
@@ -77,9 +75,8 @@ def failure_reasons(records: DataFrame, top: int = 3, key: str = "organisation_n
 
 
 def terminal_status(status: Column, note: Column) -> Column:
-    """Status of the older batch contract."""
+    """State of a module in the older batch contract; without a record, or for a status that it does not know, the submission is at fault."""
     return (
-        F.when(status == "available", "complete").when(status.isin("not_applicable"), "not_applicable").when(status.isin("not_found", "not_available"), "not_found")
-        .when(status == "blocked", F.when(F.lower(note).contains("robot"), "blocked_robots").otherwise("blocked_policy"))
-        .when(F.lower(note).contains("budget"), "budget_exhausted").otherwise("source_error")
+        F.when(status == "available", "complete").when(status.isin("not_applicable", "not_found", "source_error"), status)
+        .when(status == "blocked", F.when(F.lower(note).contains("robot"), "blocked_robots").otherwise("blocked_policy")).otherwise("submission_error")
     )

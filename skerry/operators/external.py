@@ -41,6 +41,31 @@ def title_names(name: Column, title: Column) -> Column:
     return (F.size(wanted) > 0) & F.exists(places, here)
 
 
+# Titles that name no company, and roles that lead one.
+TITLES_OF_NONE = ("home", "homepage", "forside", "welcome", "velkommen", "official site")
+LEADING = ("DAGL", "LEDE", "INNH")
+_PROFILE = (
+    "name string, evidence struct<website: struct<status: string, value: struct<title: string, registered_domain: string, structured_organisations: array<struct<name: string>>>>, "
+    "roles: struct<value: struct<roles: array<struct<name: string, role_code: string>>>>, locations: struct<value: struct<municipality: string>>>"
+)
+
+
+def profile_names(profiles: DataFrame, body: str = "body") -> DataFrame:
+    """``profiles`` with ``aliases`` and ``leaders`` out of their JSON ``body``, as ``profile_identity`` takes them.
+
+    Aliases are what the company's verified site calls itself, its title before a dash or bar and its marked-up organisations, without
+    general words and the legal name, three at most; leaders are five holders of a leading role at most."""
+    read = profiles.withColumn("_p", F.from_json(body, _PROFILE))
+    full = lambda c: F.array_join(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9æøå]+)"), 1), " ")
+    site = F.col("_p.evidence.website")
+    said = F.concat(F.array(site["value"]["title"]), F.coalesce(site["value"]["structured_organisations"]["name"], F.array().cast("array<string>")))
+    short = F.transform(said, lambda x: F.trim(F.get(F.split(F.coalesce(x, F.lit("")), r"\s+[|\u2013\u2014]\s+", 2), 0)))
+    fit = F.filter(short, lambda x: F.length(full(x)).between(3, 80) & ~full(x).isin(*TITLES_OF_NONE) & (full(x) != full(F.col("_p.name"))))
+    aliases = F.when(F.coalesce(site["status"] == "available", F.lit(False)), F.slice(F.array_distinct(fit), 1, 3)).otherwise(F.array().cast("array<string>"))
+    held = F.filter(F.coalesce(F.col("_p.evidence.roles.value.roles"), F.from_json(F.lit("[]"), "array<struct<name: string, role_code: string>>")), lambda r: r["role_code"].isin(*LEADING) & (F.coalesce(r["name"], F.lit("")) != ""))
+    return read.withColumns({"aliases": aliases, "leaders": F.slice(F.transform(held, lambda r: r["name"]), 1, 5)}).drop("_p")
+
+
 def profile_identity(pairs: DataFrame) -> DataFrame:
     """``pairs`` of a company and a found profile with ``exact_entity`` and what agrees.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skerry.functions import canonical, html, names, urls
-from skerry.operators import feeds, refresh, site_search
+from skerry.operators import external, feeds, refresh, run_checks, site_search, webpages
 from skerry.plans.catalogue import _org, _read, query
 from skerry.sources import chunks, scratch
 from skerry.streaming import job_feed
@@ -149,3 +149,68 @@ def references_and_folding(spark, sf_dir):
     k = F.col("o_orderkey")
     said = F.concat(F.lit("&Oslash;l &amp; &#"), (65 + k % 26).cast("string"), F.lit("&#128; &#x"), F.lower(F.hex(945 + k % 20)), F.lit("; &notin; &unknown; &lt"))
     return _read(spark, sf_dir, "orders").select(k.cast("long").alias("k"), html.unescaped(said).alias("text"), names.fold(F.concat(F.lit("Việt Nam ⅓ "), k.cast("string"))).alias("folded"))
+
+
+@query(
+    """WITH f AS (SELECT 'module_' || (user_id % 5) AS module, 'reason ' || (event_id % 7) AS reason, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY ALL),
+    r AS (SELECT *, round(sum(n) OVER (PARTITION BY module) / (SELECT count(*) FROM events), 4) AS rate FROM f QUALIFY row_number() OVER (PARTITION BY module ORDER BY n DESC, reason) = 1)
+    SELECT module, rate, module || ': ' || printf('%.1f', rate * 100) || '% failed (top reason: ' || reason || ')' AS warning FROM r WHERE rate > CASE WHEN module = 'module_1' THEN 0.9 ELSE 0.001 END"""
+)
+def module_warnings(spark, sf_dir):
+    """Modules that failed too often, by a table of limits; each record stands for a company."""
+    records = _read(spark, sf_dir, "events").select(
+        "event_id", F.concat(F.lit("module_"), F.col("user_id") % 5).alias("module"), F.when(F.col("event_type") == "error", "failed").otherwise("available").alias("status"), F.concat(F.lit("reason "), F.col("event_id") % 7).alias("note")
+    )
+    limits = records.select("module").distinct().withColumn("most", F.when(F.col("module") == "module_1", 0.9).otherwise(0.001))
+    return run_checks.module_warnings(records, limits, "event_id")
+
+
+@query("SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS place FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 20)")
+def run_history(spark, sf_dir):
+    """The last twenty runs of each user; events stand for runs."""
+    return run_checks.kept_history(_read(spark, sf_dir, "events").select("user_id", "event_id"), "user_id", "event_id", 20)
+
+
+@query(
+    """WITH m AS (SELECT o_custkey, CASE o_orderkey % 5 WHEN 0 THEN 'complete' WHEN 1 THEN 'not_found' WHEN 2 THEN 'blocked_robots' WHEN 3 THEN 'blocked_policy' ELSE 'submission_error' END AS state FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) = 1)
+    SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, coalesce(m.state, 'submission_error') AS registry, CASE WHEN coalesce(m.state, 'submission_error') = 'submission_error' THEN 'submission_error' ELSE 'complete' END AS state
+    FROM customer LEFT JOIN m ON o_custkey = c_custkey"""
+)
+def terminal_envelopes(spark, sf_dir):
+    """Envelopes of the older contract; a company's first order is its registry record."""
+    at = F.col("o_orderkey") % 5
+    first = _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderkey").alias("o_orderkey"))
+    status = F.when(at == 0, "available").when(at == 1, "not_found").when(at.isin(2, 3), "blocked").otherwise("odd")
+    none = F.lit(None).cast("string")
+    records = first.select(_org("o_custkey"), F.lit("registry").alias("module"), status.alias("status"), F.when(at == 2, "ROBOTS.txt").alias("note"), F.lit(0).alias("retry_count"), none.alias("retrieved_at"))
+    made = run_checks.terminal_envelopes(_read(spark, sf_dir, "customer").select(_org("c_custkey")), records, ["registry"], "r", F.lit("a"), F.lit("z"))
+    return made.select("organisation_number", F.col("modules")["registry"]["state"].alias("registry"), "state")
+
+
+@query(
+    """SELECT CAST(o_orderkey AS BIGINT) AS k, CASE WHEN o_orderkey % 3 <> 2 THEN CAST(1000 + o_orderkey % 9000 AS BIGINT) END AS followers, CASE WHEN o_orderkey % 2 = 0 THEN CAST(900000000 + o_custkey AS VARCHAR) END AS employer,
+    CASE WHEN o_orderkey % 4 = 1 THEN 'https://facebook.com/f' || o_orderkey ELSE '"//www.facebook.com/F' || o_orderkey || '/"' END AS span, o_orderkey % 5 <> 0 AS listing FROM orders"""
+)
+def page_facts(spark, sf_dir):
+    """Followers, employers, links as they are written, and links to lists of ads, out of pages."""
+    o, k = _read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    number = (1000 + k % 9000).cast("string")
+    told = F.concat(F.lit('<meta property="og:description" content="'), F.substring(number, 1, 1), F.lit("&nbsp;"), F.substring(number, 2, 3), F.when(k % 3 == 0, " følgere").when(k % 3 == 1, " Followers").otherwise(" likes"), F.lit(', 9 innlegg">'))
+    employer = F.when(k % 2 == 0, F.concat(F.lit('{\\"employer\\":{\\"orgnr\\":\\"'), (F.lit(900000000) + F.col("o_custkey")).cast("string"), F.lit('\\",\\"name\\":\\"F\\"'))).otherwise("")
+    link = F.when(k % 4 == 1, "").otherwise(F.concat(F.lit('<a href="//www.facebook.com/F'), k.cast("string"), F.lit('/">x</a>')))
+    page, base = F.concat(told, employer, link), "https://a.no/karriere"
+    ad = F.when(k % 5 == 0, F.concat(F.lit(base + "/"), k.cast("string"))).when(k % 5 == 1, F.lit(base + "/ledige_stillinger")).otherwise("https://a.no/jobb")
+    return o.select(k.cast("long").alias("k"), webpages.followers(page).alias("followers"), webpages.employer_on_page(page)["organisation_number"].alias("employer"), webpages.link_span(page, F.concat(F.lit("https://facebook.com/f"), k.cast("string"))).alias("span"), webpages.listing_not_ad(ad, F.lit(base)).alias("listing"))
+
+
+@query(
+    """SELECT CAST(900000000 + c_custkey AS VARCHAR) AS organisation_number, CASE c_custkey % 3 WHEN 0 THEN 'Verk ' || c_custkey || ',Nordre' WHEN 1 THEN 'Nordre' ELSE '' END AS aliases, CASE WHEN c_custkey % 2 = 0 THEN 'Kari' ELSE '' END AS leaders FROM customer"""
+)
+def profile_names(spark, sf_dir):
+    """What companies call themselves on their sites, and who leads them, out of nested profiles."""
+    k = F.col("c_custkey")
+    site = F.concat(F.lit('{"status": "'), F.when(k % 3 == 2, "ambiguous").otherwise("available"), F.lit('", "value": {"title": "'), F.when(k % 3 == 0, F.concat(F.lit("Verk "), k, F.lit(" | Forside"))).otherwise("Velkommen"), F.lit('", "structured_organisations": [{"name": "Nordre"}, {"name": "AS"}]}}'))
+    roles = F.concat(F.lit('[{"name": "Per", "role_code": "MEDL"}'), F.when(k % 2 == 0, ', {"name": "Kari", "role_code": "DAGL"}').otherwise(""), F.lit("]"))
+    body = F.concat(F.lit('{"name": "Søndre AS", "evidence": {"website": '), site, F.lit(', "roles": {"value": {"roles": '), roles, F.lit("}}}}"))
+    made = external.profile_names(_read(spark, sf_dir, "customer").select(_org("c_custkey"), body.alias("body")))
+    return made.select("organisation_number", F.array_join("aliases", ",").alias("aliases"), F.array_join("leaders", ",").alias("leaders"))

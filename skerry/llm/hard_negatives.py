@@ -28,7 +28,7 @@ from skerry.llm.common import discard, spread_join, stored
 
 EVERY, POSITIVES, NEGATIVES, LEAST = 100, 5, 5, (4, 5)
 #: Candidates and anchors of a block, anchors handled at once, pairs verified at once, rows that lend the rotation.
-BLOCK_ROWS, BLOCK_ANCHORS, CHUNK, PAIRS, SAMPLE_ROWS = 4_096, 4_096, 128, 50_000, 5_000
+BLOCK_ROWS, BLOCK_ANCHORS, CHUNK, PAIRS, SAMPLE_ROWS = 4_096, 4_096, 64, 50_000, 5_000
 STEPS = 4
 #: A row whose integer vector has a larger squared length could have scores beyond 64 bits.
 LONGEST_SQUARE = 9.0e18
@@ -100,19 +100,26 @@ def within(low: np.ndarray, high: np.ndarray, may: np.ndarray, tops: np.ndarray,
 
 
 def _blocks(others: pd.DataFrame, anchors: pd.DataFrame, basis) -> Iterator[tuple[Rotated, pd.DataFrame, Rotated, pd.DataFrame]]:
-    """Anchors and candidates of one dimension, rotated."""
+    """Anchors and candidates of one dimension, rotated; anchors in the order of their labels."""
+    anchors = anchors.sort_values("label", kind="stable")
     for d in sorted(set(anchors["vec"].str.len()) & set(others["vec"].str.len())):
         own, met = anchors[anchors["vec"].str.len() == d], others[others["vec"].str.len() == d]
         turn = basis.value.get(d, (np.eye(d), 0.0))
         yield *(x for f in (own, met) for x in (Rotated(np.stack([np.asarray(v, np.int64) for v in f["vec"]]), *turn), f)),
 
 
+def _runs(labels: np.ndarray) -> Iterator[slice]:
+    """Slices of at most CHUNK anchors of one label each, which ask for the same candidates."""
+    cuts = [0, *(np.flatnonzero(labels[1:] != labels[:-1]) + 1).tolist(), len(labels)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield from (slice(s, min(b, s + CHUNK)) for s in range(a, b, CHUNK))
+
+
 def _positives(others: pd.DataFrame, anchors: pd.DataFrame, basis, count: int) -> pd.DataFrame:
     out = []
     for a, own, b, met in _blocks(others, anchors, basis):
         label, first, ids = met["label"].to_numpy(), met["ids"].str[0].to_numpy(), met["ids"].to_numpy()
-        for s in range(0, len(a), CHUNK):
-            part = slice(s, min(len(a), s + CHUNK))
+        for part in _runs(own["label"].to_numpy()):
             may = own["label"].to_numpy()[part, None] == label[None, :]
             x, y, score, _ = survivors(a, part, b, may, functools.partial(best, count=count))
             order = np.lexsort((first[y], -score, x))

@@ -218,3 +218,22 @@ def merged_events(events: DataFrame, site: str) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("social")))).alias("social"),
         F.array_sort(F.collect_set("error")).alias("errors"),
     )
+
+
+def batch_report(envelopes: DataFrame, modules: DataFrame, claims: DataFrame, problems: DataFrame, most: int = 20, key: str = "organisation_number") -> DataFrame:
+    """One row about a batch: ``envelopes, unique_organisations, module_states`` (module to state to companies) ``, available_claims`` (field to
+    claims) ``, runtime_ms_p50, runtime_ms_p95, passed, envelopes_with_problems, problems`` (of the first ``most`` envelopes that have any, in input order).
+
+    ``envelopes`` have ``input_ordinal, key, runtime_ms``, ``modules`` ``module, state``, ``claims`` ``field, availability`` and ``problems`` ``key, problem``."""
+    as_map = lambda a, b: F.map_from_entries(F.array_sort(F.collect_list(F.struct(a, b))))
+    whole = envelopes.agg(F.count("*").alias("envelopes"), (F.count("*") == F.count_distinct(key)).alias("unique_organisations"))
+    states = modules.groupBy("module", "state").agg(F.count("*").alias("n")).groupBy("module").agg(as_map("state", "n").alias("states")).agg(F.map_from_entries(F.collect_list(F.struct("module", "states"))).alias("module_states"))
+    told = claims.where("availability = 'available'").groupBy("field").agg(F.count("*").alias("n")).agg(as_map("field", "n").alias("available_claims"))
+    times = indexed_percentiles(envelopes.withColumn("_all", F.lit(1)), ["_all"], "runtime_ms").select(F.col("p50").alias("runtime_ms_p50"), F.col("p95").alias("runtime_ms_p95"))
+    bad = problems.groupBy(key).agg(F.array_sort(F.collect_list("problem")).alias("p")).join(envelopes.select(key, "input_ordinal"), key)
+    held = bad.agg(F.count("*").alias("envelopes_with_problems"))
+    first = bad.orderBy("input_ordinal", key).limit(most).agg(F.transform(F.array_sort(F.collect_list(F.struct("input_ordinal", key, "p"))), lambda x: F.struct(x[key].alias(key), x["p"].alias("problems"))).alias("problems"))
+    row = whole
+    for part in (states, told, times, held, first):  # one row each
+        row = row.join(F.broadcast(part), how="left")
+    return row.withColumn("passed", F.col("envelopes_with_problems") == 0)

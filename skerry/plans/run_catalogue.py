@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skerry.functions import canonical, html, names, urls
-from skerry.operators import external, feeds, refresh, run_checks, site_search, webpages
+from skerry.operators import external, feeds, matching, refresh, reports, run_checks, site_search, webpages
 from skerry.plans.catalogue import _org, _read, query
 from skerry.sources import chunks, scratch
 from skerry.streaming import job_feed
@@ -214,3 +214,34 @@ def profile_names(spark, sf_dir):
     body = F.concat(F.lit('{"name": "Søndre AS", "evidence": {"website": '), site, F.lit(', "roles": {"value": {"roles": '), roles, F.lit("}}}}"))
     made = external.profile_names(_read(spark, sf_dir, "customer").select(_org("c_custkey"), body.alias("body")))
     return made.select("organisation_number", F.array_join("aliases", ",").alias("aliases"), F.array_join("leaders", ",").alias("leaders"))
+
+
+@query(
+    """SELECT CAST(o_orderkey AS BIGINT) AS k, CAST(i AS INTEGER) AS rank, 'https://f' || o_orderkey || '.no/' || i AS url, CASE WHEN i = 1 THEN 'Firma' ELSE '' END AS title
+    FROM orders, LATERAL (VALUES (1), (3)) AS t(i) WHERE o_orderkey % 4 <> 3 AND (i = 1 OR o_orderkey % 2 = 0)"""
+)
+def saved_search_results(spark, sf_dir):
+    """Results of saved searches with their ranks; what is no result keeps its place."""
+    k = F.col("o_orderkey").cast("string")
+    first, third = F.concat(F.lit('{"url": "https://f'), k, F.lit('.no/1", "title": "Firma"}')), F.concat(F.lit(', {"url": "https://f'), k, F.lit('.no/3"}'))
+    body = F.when(F.col("o_orderkey") % 4 == 3, "{}").otherwise(F.concat(F.lit('{"web": {"results": ['), first, F.lit(', {"title": "none"}'), F.when(F.col("o_orderkey") % 2 == 0, third).otherwise(""), F.lit("]}}")))
+    rows = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("k"), body.alias("body"))
+    return matching.search_results(rows).select("k", "rank", "url", "title")
+
+
+@query(
+    """WITH c AS (SELECT * FROM customer), m AS (SELECT CASE WHEN c_acctbal < 0 THEN 'failed' ELSE 'available' END AS state, count(*) AS n FROM c GROUP BY 1)
+    SELECT (SELECT count(*) FROM c) AS envelopes, true AS unique_organisations, (SELECT string_agg(state || '=' || n, ',' ORDER BY state) FROM m) AS website, (SELECT count(*) FROM c WHERE c_custkey % 3 = 0) AS names,
+    (SELECT list_sort(list(c_custkey))[1 + count(*) // 2]::BIGINT FROM c) AS runtime_ms_p50, (SELECT list_sort(list(c_custkey))[1 + least(count(*) - 1, count(*) * 95 // 100)]::BIGINT FROM c) AS runtime_ms_p95,
+    (SELECT count(*) FROM c WHERE c_custkey % 7 = 0) AS envelopes_with_problems, (SELECT count(*) FROM c WHERE c_custkey % 7 = 0) = 0 AS passed, least(20, (SELECT count(*) FROM c WHERE c_custkey % 7 = 0))::INTEGER AS shown"""
+)
+def batch_report(spark, sf_dir):
+    """A whole batch in one row: states by module, claims by field, runtimes, problems of the first envelopes that have any."""
+    c = _read(spark, sf_dir, "customer").withColumn("organisation_number", (F.lit(900000000) + F.col("c_custkey")).cast("string"))
+    key = F.col("c_custkey").cast("long")
+    envelopes = c.select(key.alias("input_ordinal"), "organisation_number", key.alias("runtime_ms"))
+    modules = c.select(F.lit("website").alias("module"), F.when(F.col("c_acctbal") < 0, "failed").otherwise("available").alias("state"))
+    made = c.select(F.lit("legal_name").alias("field"), F.when(key % 3 == 0, "available").otherwise("not_available").alias("availability"))
+    r = reports.batch_report(envelopes, modules, made, c.where(key % 7 == 0).select("organisation_number", F.lit("p").alias("problem")))
+    listed = F.array_join(F.transform(F.map_entries(F.col("module_states")["website"]), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return r.select("envelopes", "unique_organisations", listed.alias("website"), F.col("available_claims")["legal_name"].alias("names"), "runtime_ms_p50", "runtime_ms_p95", "envelopes_with_problems", "passed", F.size("problems").alias("shown"))

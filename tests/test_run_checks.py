@@ -87,3 +87,36 @@ def test_transfer_and_ranks_with_an_outlier(spark):
     values = [float(k) for k in range(999)] + [1e12]
     got = reports.nearest_rank(spark.createDataFrame([("a", v) for v in values], "k string, v double"), ["k"], "v", {"p50": 0.5, "p99": 0.99}).first()
     assert (got["n"], got["p50"], got["p99"], got["max"]) == (1000, 499.0, 989.0, 1e12)
+
+
+def test_results_of_saved_searches(spark):
+    bodies = ['{"web": {"results": [{"url": "https://a.no", "title": "A", "description": "d"}, "x", {"title": "no address"}, {"url": "https://b.no"}]}}', '{"web": {}}', "{}", "no json", None]
+    df = spark.createDataFrame(list(enumerate(bodies)), "k int, body string")
+    got = sorted(tuple(r) for r in matching.search_results(df).collect())
+    assert got == [(0, "https://a.no", "A", "d", 1), (0, "https://b.no", "", "", 4)]
+
+
+def test_batch_report(spark):
+    envelopes = spark.createDataFrame([(k, f"c{k}", 10 * k) for k in range(40)], "input_ordinal long, organisation_number string, runtime_ms long")
+    modules = spark.createDataFrame([("registry", "available")] * 40 + [("website", "failed")] * 3 + [("website", "available")] * 37, "module string, state string")
+    made = spark.createDataFrame([("name", "available")] * 40 + [("revenue", "available"), ("revenue", "not_available")], "field string, availability string")
+    problems = spark.createDataFrame([(f"c{k}", p) for k in range(30, 5, -1) for p in ("b", "a")], "organisation_number string, problem string")
+    got = reports.batch_report(envelopes, modules, made, problems).first()
+    assert (got["envelopes"], got["unique_organisations"], got["runtime_ms_p50"], got["runtime_ms_p95"], got["passed"], got["envelopes_with_problems"]) == (40, True, 200, 380, False, 25)
+    assert got["module_states"] == {"registry": {"available": 40}, "website": {"available": 37, "failed": 3}} and got["available_claims"] == {"name": 40, "revenue": 1}
+    assert [(p["organisation_number"], p["problems"]) for p in got["problems"]] == [(f"c{k}", ["a", "b"]) for k in range(6, 26)]
+    clean = reports.batch_report(envelopes.limit(0), modules.limit(0), made.limit(0), problems.limit(0)).first()
+    assert (clean["envelopes"], clean["passed"], clean["problems"], clean["module_states"], clean["runtime_ms_p50"]) == (0, True, [], {}, None)
+
+
+def test_the_best_hit_of_each_company(spark):
+    rows = [("1", "Nordre Maskin AS", "987654321", "Oslo", u, t, s, r) for u, t, s, r in (("https://proff.no/nordre", "Nordre Maskin AS", "987654321", 1), ("https://nordremaskin.no/om", "Nordre Maskin", "org 987654321 Oslo", 2), ("https://x.no", "Annet", "", 3))]
+    hits = spark.createDataFrame(rows, "organisation_number string, name string, number string, municipality string, url string, title string, snippet string, rank int").drop("number").withColumn("organisation_number", F.lit("987654321"))
+    best = matching.chosen_hit(hits).collect()
+    assert [(r["url"].rstrip("/"), r["score"]) for r in best] == [("https://nordremaskin.no/om", 1.0)]
+
+
+def test_search_domains(spark):
+    rows = [("1", u, r) for r, u in enumerate(["https://www.proff.no/x", "https://a.no/1", "https://m.facebook.com/a", "https://a.no/2", "https://b.no", "https://c.no", "https://d.no", ""], 1)] + [("2", "https://finn.no", 1)]
+    got = {r["organisation_number"]: r["search_domains"] for r in matching.search_domains(spark.createDataFrame(rows, "organisation_number string, url string, rank int")).collect()}
+    assert got == {"1": ["a.no", "b.no", "c.no"], "2": []}

@@ -32,27 +32,42 @@ def _numbered() -> dict[str, str]:
 
 
 NUMBERED = _numbered()
+def _named() -> dict[str, dict[str, str]]:
+    """Named references by their first letter, as maps are looked through one entry after the other."""
+    out: dict[str, dict[str, str]] = {}
+    for name, char in sorted(html.entities.html5.items(), key=lambda e: (-len(e[0]), e[0])):
+        out.setdefault(name[0], {})[name] = char
+    return out
+
+
+NAMED = _named()
 #: Names with a semicolon at their end, and the older ones that do without; the longest that fits is meant.
-REFERENCE = "(&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|" + "|".join(sorted(html.entities.html5, key=lambda n: (-len(n), n))) + "))"
+REFERENCE = "(&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|" + "|".join(f"{k}(?:{'|'.join(n[1:] for n in names)})" for k, names in sorted(NAMED.items())) + "))"
+
+
+#: Stands for a reference while a text is cut; it is no character of any text.
+MARK = "\ufdd1"
 
 
-def _table(entries: dict[str, str]) -> Column:
+def _table(entries: dict, kind: str = "map<string,string>") -> Column:
     """A literal map, which is made once for a query."""
-    return F.from_json(F.lit(json.dumps(entries)), "map<string,string>")
+    return F.from_json(F.lit(json.dumps(entries)), kind)
 
 
 def _referred(r: Column) -> Column:
     digits = lambda pattern: F.coalesce(F.nullif(F.substring(F.regexp_extract(r, pattern, 1), 1, 10), F.lit("")), F.lit("0"))
     number = F.when(r.rlike("^&#[xX]"), F.conv(digits("^&#[xX]0*([0-9a-fA-F]*)"), 16, 10)).otherwise(digits("^&#0*([0-9]*)"))
     code = number.cast("bigint")
-    odd = F.element_at(_table(NUMBERED), number)
+    odd = F.try_element_at(_table(NUMBERED), number)
+    named = F.try_element_at(F.try_element_at(_table(NAMED, "map<string,map<string,string>>"), F.substring(r, 2, 1)), F.substring(r, F.lit(2), F.length(r)))
     plain = F.when((code > 0x10FFFF) | code.between(0xD800, 0xDFFF), "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
-    return F.when(r.startswith("&#"), F.coalesce(odd, plain)).otherwise(F.element_at(_table({f"&{k}": v for k, v in html.entities.html5.items()}), r))
+    return F.when(r.startswith("&#"), F.coalesce(odd, plain)).otherwise(named)
 
 
 def unescaped(text: Column) -> Column:
     """Character references, named and numeric, as the characters that the standard has them stand for, in one pass."""
-    pieces, found = F.split(text, REFERENCE, -1), F.regexp_extract_all(text, F.lit(REFERENCE), 1)
+    plain = F.translate(text, MARK, "\ufffd")  # a split by a pattern would compile it for each row, one by a character does not
+    pieces, found = F.split(F.regexp_replace(plain, REFERENCE, MARK), MARK, -1), F.regexp_extract_all(plain, F.lit(REFERENCE), 1)
     whole = F.zip_with(pieces, F.transform(found, _referred), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.when(text.contains("&"), F.array_join(whole, "")).otherwise(text)
 

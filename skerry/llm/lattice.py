@@ -9,7 +9,8 @@ space, times the probability of its end.
 Pieces hold the word mark only in front, so a text's lattice falls apart at
 its words and its log probability is the sum over its words.  The recursion
 therefore runs once for each distinct word of the corpus, in matrices of words
-of equal length, and texts are joined to their words' results: each slice of
+of equal length, on probabilities, and on their logarithms for words too
+improbable for that; texts are joined to their words' results: each slice of
 an input partition sends its distinct words with counts, not its tokens, and
 gets their results back beside its texts, as numbers.
 """
@@ -34,8 +35,10 @@ from skerry.llm.common import id_and_text, slices, stored, with_id
 MARK, LONGEST_PIECE, LONGEST_ROW = "▁", 16, 48
 #: Stands for a mark inside a word, as no text holds a lone surrogate.
 INNER = "\ud800"
-#: Words of one matrix, characters of one slice of texts, rounds of expectation-maximisation.
-ROWS, SLICE, ROUNDS = 8_000, 16_000_000, 2
+#: Words of one matrix, words sorted into matrices at once, characters of one slice of texts, rounds of expectation-maximisation.
+ROWS, GATHERED, SLICE, ROUNDS = 8_000, 100_000, 16_000_000, 2
+#: Words under this probability are summed in log space, as their terms could vanish.
+FAINT = 1e-200
 #: Expected counts that the prior adds, in all.
 PRIOR_COUNT = 10_000.0
 BASE, LOG10 = np.uint64(0x9E3779B97F4A7C15), np.log(10.0)
@@ -54,7 +57,10 @@ class Pieces:
         self.first_byte, self.end = len(self.names), len(self.names) + 256
         self.single = {n: k for k, n in enumerate(self.names) if len(n) == 1}
         self.by_name = {n: k for k, n in enumerate(self.names)}
-        keys = np.array([self._hash(n) for n in self.names], np.uint64)
+        # beginnings that are no piece themselves have numbers from ``open`` on, so that a search knows where to stop
+        self.open = len(self.names)
+        begun = sorted({n[:j] for n in self.names for j in range(1, len(n))} - self.by_name.keys())
+        keys = np.array([self._hash(n) for n in self.names + begun], np.uint64)
         self.bits = 18
         slots = np.full(1 << self.bits, -1, np.int32)
         self.steps = 1
@@ -74,7 +80,7 @@ class Pieces:
         return h
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece numbers of hashes, -1 where there is none."""
+        """Piece numbers of hashes, from ``open`` on where pieces only begin so, -1 where none does."""
         at = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.full(len(h), -1, np.int32)
         open_ = np.arange(len(h))
@@ -97,15 +103,18 @@ class Pieces:
         codes[:, 1:][inner] = 0x110000  # a mark inside a word is not the word mark
         with np.errstate(over="ignore"):
             for a in range(n):
-                h = np.zeros(len(words), np.uint64)
+                h, rows = np.zeros(len(words), np.uint64), np.arange(len(words))
                 for b in range(a, min(n, a + LONGEST_PIECE)):
-                    h = (h + codes[:, b] + np.uint64(1)) * BASE
+                    h = (h + codes[rows, b] + np.uint64(1)) * BASE
                     k = self.find(h)
-                    rows = np.flatnonzero(k >= 0)
-                    if len(rows):
-                        yield a, b + 1, rows, k[rows], None
-                    if b == a and len(rows) < len(words):
-                        yield a, b + 1, np.flatnonzero(k < 0), None, codes[k < 0, a]
+                    whole = (k >= 0) & (k < self.open)
+                    if whole.any():
+                        yield a, b + 1, rows[whole], k[whole], None
+                    if b == a and not whole.all():
+                        yield a, b + 1, rows[~whole], None, codes[~whole, a]
+                    h, rows = h[k >= 0], rows[k >= 0]
+                    if not len(rows):
+                        break
 
     def byte_numbers(self, code: int) -> list[int]:
         return [self.first_byte + b for b in (MARK if code == 0x110000 else chr(code)).encode("utf-8", "replace")]
@@ -124,22 +133,40 @@ def _spelled(pieces: Pieces, logp: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.array([logp[pieces.byte_numbers(int(c))].sum() for c in distinct])[at]
 
 
+def _weighted(batch: list[str], pieces: Pieces, logp: np.ndarray) -> Iterator[tuple]:
+    """Arcs with their log probabilities."""
+    for a, b, r, k, codes in pieces.arcs(batch):
+        yield a, b, r, k, codes, logp[k] if k is not None else _spelled(pieces, logp, codes)
+
+
 def marginals(words: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
     """Log probability of each word, over all its segmentations."""
-    out = np.zeros(len(words))
+    out, p = np.zeros(len(words)), np.exp(logp)
     for rows in _by_length(words) if words else ():
         batch = [words[k] for k in rows]
         if len(batch[0]) > LONGEST_ROW:
             out[rows] = [_long(w, pieces, logp) for w in batch]
             continue
-        fwd = np.full((len(batch), len(batch[0]) + 2), -np.inf)
-        fwd[:, 0] = 0.0
+        fwd = np.zeros((len(batch[0]) + 2, len(batch)))
+        fwd[0] = 1.0
         for a, b, r, k, codes in pieces.arcs(batch):
-            fwd[r, b] = np.logaddexp(fwd[r, b], fwd[r, a] + (logp[k] if k is not None else _spelled(pieces, logp, codes)))
-        out[rows] = fwd[:, -1]
+            fwd[b, r] += fwd[a, r] * (p[k] if k is not None else np.exp(_spelled(pieces, logp, codes)))
+        faint = fwd[-1] < FAINT
+        out[rows[~faint]] = np.log(fwd[-1, ~faint])
+        if faint.any():
+            out[rows[faint]] = _faint_marginals([words[k] for k in rows[faint]], pieces, logp)
     return out
 
 
+def _faint_marginals(batch: list[str], pieces: Pieces, logp: np.ndarray) -> np.ndarray:
+    """The same for words of one length, in log space."""
+    fwd = np.full((len(batch), len(batch[0]) + 2), -np.inf)
+    fwd[:, 0] = 0.0
+    for a, b, r, _, _, lp in _weighted(batch, pieces, logp):
+        fwd[r, b] = np.logaddexp(fwd[r, b], fwd[r, a] + lp)
+    return fwd[:, -1]
+
+
 def _long_arcs(text: str, b: int, pieces: Pieces, logp: np.ndarray) -> list[tuple[int, list[int], float]]:
     """Of one long word with its mark: start, pieces and log probability of each arc that ends at ``b``."""
     found = [(a, [k], float(logp[k])) for a in range(max(0, b - LONGEST_PIECE), b) if (k := pieces.by_name.get(text[a:b])) is not None]
@@ -188,24 +215,51 @@ def expected_counts(words: list[str], times: np.ndarray, pieces: Pieces, logp: n
             for k in rows:
                 _long_counts(words[k], float(times[k]), pieces, logp, total)
             continue
-        arcs = [(a, b, r, k, logp[k] if k is not None else _spelled(pieces, logp, codes), codes) for a, b, r, k, codes in pieces.arcs(batch)]
-        fwd, bwd = np.full((len(batch), n + 1), -np.inf), np.full((len(batch), n + 1), -np.inf)
-        fwd[:, 0] = bwd[:, n] = 0.0
-        for a, b, r, _, lp, _ in arcs:
-            fwd[r, b] = np.logaddexp(fwd[r, b], fwd[r, a] + lp)
-        for a, b, r, _, lp, _ in reversed(arcs):
-            bwd[r, a] = np.logaddexp(bwd[r, a], bwd[r, b] + lp)
-        weight = times[rows]
-        for a, b, r, k, lp, codes in arcs:
-            share = weight[r] * np.exp(fwd[r, a] + lp + bwd[r, b] - fwd[r, n])
+        arcs = [(a, b, r, k, codes, np.exp(lp)) for a, b, r, k, codes, lp in _weighted(batch, pieces, logp)]
+        fwd, bwd = np.zeros((n + 1, len(batch))), np.zeros((n + 1, len(batch)))
+        fwd[0] = 1.0
+        for a, b, r, _, _, p in arcs:
+            fwd[b, r] += fwd[a, r] * p
+        faint = fwd[n] < FAINT
+        bwd[n, ~faint] = times[rows[~faint]] / fwd[n, ~faint]  # each way's share of its word, times the word's count
+        used, shares = [], []
+        for a, b, r, k, codes, p in reversed(arcs):
+            after = p * bwd[b, r]
+            bwd[a, r] += after
             if k is not None:
-                total += np.bincount(k, share, len(total))
+                used.append(k)
+                shares.append(fwd[a, r] * after)
             else:
-                for c in np.unique(codes):
-                    np.add.at(total, pieces.byte_numbers(int(c)), share[codes == c].sum())
+                _add_spelled(total, pieces, codes, fwd[a, r] * after)
+        if used:
+            total += np.bincount(np.concatenate(used), np.concatenate(shares), len(total))
+        if faint.any():
+            _faint_counts([words[k] for k in rows[faint]], times[rows[faint]], pieces, logp, total)
     return total
 
 
+def _add_spelled(total: np.ndarray, pieces: Pieces, codes: np.ndarray, share: np.ndarray) -> None:
+    distinct, at = np.unique(codes, return_inverse=True)
+    for c, s in zip(distinct, np.bincount(at, share)):
+        np.add.at(total, pieces.byte_numbers(int(c)), s)
+
+
+def _faint_counts(batch: list[str], times: np.ndarray, pieces: Pieces, logp: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses over words of one length to ``total``, in log space."""
+    n, arcs = len(batch[0]) + 1, list(_weighted(batch, pieces, logp))
+    fwd, bwd = np.full((len(batch), n + 1), -np.inf), np.full((len(batch), n + 1), -np.inf)
+    fwd[:, 0] = bwd[:, n] = 0.0
+    for a, b, r, _, _, lp in arcs:
+        fwd[r, b] = np.logaddexp(fwd[r, b], fwd[r, a] + lp)
+    for a, b, r, k, codes, lp in reversed(arcs):
+        share = times[r] * np.exp(fwd[r, a] + lp + bwd[r, b] - fwd[r, n])
+        bwd[r, a] = np.logaddexp(bwd[r, a], bwd[r, b] + lp)
+        if k is not None:
+            total += np.bincount(k, share, len(total))
+        else:
+            _add_spelled(total, pieces, codes, share)
+
+
 @functools.lru_cache(maxsize=2)
 def load_pieces(path: str) -> Pieces:
     import sentencepiece
@@ -234,18 +288,28 @@ def _sliced(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held.append(not learn)
             train.append(learn)
         n = len(number)
-        learnt = np.zeros(n, np.int64)
-        for found, on in zip(raw, train):
-            if on:
-                learnt += np.bincount(found, minlength=n)
+        learnt = np.bincount(np.concatenate([np.zeros(0, np.int32), *itertools.compress(raw, train)]), minlength=n)
         yield pd.DataFrame({"kind": 0, "part": part, "id": ids, "held_out": held, "n": counts, "word": None, "codes": [zlib.compress(x.tobytes(), 1) for x in raw]})
         if n:
             yield pd.DataFrame({"kind": 1, "part": part, "id": None, "held_out": False, "n": learnt, "word": [w.decode("utf-8") for w in number], "codes": [k.to_bytes(4, "little") for k in range(n)]})
 
 
+def _gathered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Joins Spark's batches up to GATHERED words or SLICE characters, as words of one length are few in each."""
+    held, rows, size = [], 0, 0
+    for f in frames:
+        held.append(f)
+        rows, size = rows + len(f), size + int(f["word"].str.len().sum())
+        if rows >= GATHERED or size >= SLICE:
+            yield pd.concat(held, ignore_index=True)
+            held, rows, size = [], 0, 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def _expected(frames: Iterator[pd.DataFrame], path: str, logp: np.ndarray) -> Iterator[pd.DataFrame]:
     pieces, total = load_pieces(path), np.zeros(len(logp))
-    for f in frames:
+    for f in _gathered(frames):
         total += expected_counts(f["word"].tolist(), f["c"].to_numpy(float), pieces, logp)
     used = np.flatnonzero(total)
     yield pd.DataFrame({"piece": used, "expected": total[used]})
@@ -253,7 +317,7 @@ def _expected(frames: Iterator[pd.DataFrame], path: str, logp: np.ndarray) -> It
 
 def _word_scores(frames: Iterator[pd.DataFrame], path: str, logp: np.ndarray) -> Iterator[pd.DataFrame]:
     pieces = load_pieces(path)
-    for f in frames:
+    for f in _gathered(frames):
         f["log10p"] = marginals(f["word"].tolist(), pieces, logp) / LOG10
         yield f
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import tempfile
 import uuid
@@ -49,6 +50,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return made
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside reads and sends texts to Python ``rows`` at a time, or fewer if the session says so, as
+    all tasks of a small heap hold such batches at once; the session's settings hold again afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name in names:
+            if not 0 < int(spark.conf.get(name)) <= rows:
+                spark.conf.set(name, str(rows))
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

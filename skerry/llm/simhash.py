@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import discard, id_and_text, slices, spread_join, stored, with_id
+from skerry.llm.common import discard, id_and_text, slices, small_batches, spread_join, stored, with_id
 from skerry.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, RANGE = 16, 4, 2
@@ -122,7 +122,8 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: st
         from skerry.llm.near_copies import near_copy_groups
 
         return near_copy_groups(df, id_col=id_col, text_col=text_col, width=width, similarity=similarity)
-    prints = stored(fingerprints(df, id_col=id_col, text_col=text_col, width=width), "fingerprints")
+    with small_batches(df.sparkSession):
+        prints = stored(fingerprints(df, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     points = stored(prints.groupBy("fp").agg(F.min(id_col).alias("own")), "points")
     pairs = linked_pairs(points)
     labels = connected_components(pairs)  # node, component: both fingerprints

@@ -89,6 +89,12 @@ def discard(*tables: DataFrame) -> None:
     _STORED[:] = [path for path in _STORED if path not in gone]
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """``df``, never broadcast in a join, nor what it is joined with: Spark sizes both by the files that they come
+    from, far too low after an explode or for well compressed columns, and would build such a table in the driver."""
+    return df.hint("merge")
+
+
 def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     """Inner join of many rows with one fact for each key, where one key may hold a third of all rows.
 
@@ -96,7 +102,7 @@ def spread_join(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
     broadcast; the others by a shuffle in which no key is large."""
     least = rows.count() / 1000
     hot = stored(rows.groupBy(key).count().where(F.col("count") > least).select(key), "hot-keys")
-    rare = rows.join(F.broadcast(hot), key, "left_anti").join(facts, key)
+    rare = rows.join(F.broadcast(hot), key, "left_anti").join(by_shuffle(facts), key)
     return rare.unionByName(rows.join(F.broadcast(facts.join(F.broadcast(hot), key, "left_semi")), key))
 
 

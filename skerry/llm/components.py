@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import discard, stored
+from skerry.llm.common import by_shuffle, discard, stored
 
 #: Links of a centre that is told to them by broadcast; there are fewer such centres than links by this factor.
 MANY = 20_000
@@ -24,7 +24,7 @@ def _stars(links: DataFrame, large: bool) -> DataFrame:
     both = both if large else both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
     large_ones = F.broadcast(least.where(F.col("n") >= MANY).select("a", "m"))
-    sent = both.join(large_ones, "a").unionByName(both.join(large_ones.select("a"), "a", "left_anti").join(least.where(F.col("n") < MANY).select("a", "m"), "a"))
+    sent = both.join(large_ones, "a").unionByName(both.join(large_ones.select("a"), "a", "left_anti").join(by_shuffle(least.where(F.col("n") < MANY).select("a", "m")), "a"))
     if large:
         return sent.where("b > a").select(F.col("b").alias("x"), F.col("m").alias("y"))
     return sent.select(F.col("b").alias("x"), F.col("m").alias("y")).unionByName(least.select(F.col("a").alias("x"), F.col("m").alias("y")))

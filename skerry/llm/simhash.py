@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.llm.common import discard, id_and_text, slices, small_batches, spread_join, stored, with_id
+from skerry.llm.common import by_shuffle, discard, id_and_text, slices, small_batches, spread_join, stored, with_id
 from skerry.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS, RANGE = 16, 4, 2
@@ -87,7 +87,7 @@ def linked_pairs(points: DataFrame) -> DataFrame:
         transform(filter(sequence(0, {SEGMENTS - 1}), i -> {at} < {SEGMENT_BITS}), i -> c + shiftleft(1L, {shift})))"""
     placed = points.selectExpr("fp", f"{segment_counts('fp')} AS c").selectExpr("fp", f"explode({cells}) AS cell")
     shared = placed.groupBy("cell").count().where("count > 1")
-    met = stored(placed.join(shared, "cell"), "cells")
+    met = stored(placed.join(by_shuffle(shared), "cell"), "cells")
     small = (
         met.where(F.col("count") <= CELL_PAIRS)
         .groupBy("cell")
@@ -101,7 +101,7 @@ def linked_pairs(points: DataFrame) -> DataFrame:
     crowded = met.where(F.col("count") > CELL_PAIRS).select("fp").distinct()
     keyed = crowded.selectExpr("fp", "explode(concat(array(fp), transform(sequence(0, 63), i -> fp ^ shiftleft(1L, i)))) AS key")
     hubs = keyed.groupBy("key").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
-    stars = keyed.join(hubs, "key").where("fp <> a").select("a", F.col("fp").alias("b"))
+    stars = keyed.join(by_shuffle(hubs), "key").where("fp <> a").select("a", F.col("fp").alias("b"))
     pairs = stored(small.unionByName(stars).distinct(), "pairs")
     discard(met)
     return pairs
@@ -127,7 +127,7 @@ def near_duplicate_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: st
     points = stored(prints.groupBy("fp").agg(F.min(id_col).alias("own")), "points")
     pairs = linked_pairs(points)
     labels = connected_components(pairs)  # node, component: both fingerprints
-    named = points.join(labels, points["fp"] == labels["node"], "left").selectExpr("fp", "own", "coalesce(component, fp) AS root")
+    named = points.join(by_shuffle(labels), points["fp"] == labels["node"], "left").selectExpr("fp", "own", "coalesce(component, fp) AS root")
     smallest = named.groupBy("root").agg(F.min("own").alias("component_id"))
     groups = stored(spread_join(named.select("fp", "root"), smallest, "root").select("fp", "component_id"), "groups")
     discard(pairs, labels, points)

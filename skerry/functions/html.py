@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html.entities
 import json
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -77,13 +78,29 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " "))
 
 
-def visible_text(html: Column, limit: int = 300_000) -> Column:
+def listed(text: Column, references: Mapping[str, str]) -> Column:
+    """The listed references as their characters, one reference after the other; all others stay as they are written."""
+    for reference, char in references.items():
+        text = F.replace(text, F.lit(reference), F.lit(char))
+    return text
+
+
+def ascii_collapsed(text: Column) -> Column:
+    """One blank for each run of ASCII white space, no blank of any kind at the ends; other blanks stay."""
+    return F.btrim(F.regexp_replace(text, r"[\t\n\f\r ]+", " "), F.lit(" \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"))
+
+
+#: How a page's references and its white space are read.
+Reading = Callable[[Column], Column]
+
+
+def visible_text(html: Column, limit: int = 300_000, unescape: Reading = unescaped, collapse: Reading = collapsed) -> Column:
     bare = F.regexp_replace(F.coalesce(html, F.lit("")), UNREAD, " ")
-    return F.substring(collapsed(unescaped(F.regexp_replace(bare, TAG, " "))), 1, limit)
+    return F.substring(collapse(unescape(F.regexp_replace(bare, TAG, " "))), 1, limit)
 
 
-def title(html: Column) -> Column:
-    return collapsed(unescaped(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
+def title(html: Column, unescape: Reading = unescaped, collapse: Reading = collapsed) -> Column:
+    return collapse(unescape(F.regexp_extract(F.coalesce(html, F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def anchors(html: Column) -> Column:
@@ -104,9 +121,9 @@ def meta(html: Column, name: str) -> Column:
     return F.regexp_extract(html, rf"(?is)<meta[^>]*(?:name|property)\s*=\s*[\"']{name}[\"'][^>]*content\s*=\s*[\"']([^\"']*)", 1)
 
 
-def plain_text(html: Column) -> Column:
-    """Text without scripts, styles and tags; entities stay as they are written."""
-    return collapsed(F.regexp_replace(F.coalesce(html, F.lit("")), f"{UNSHOWN}|{TAG}", " "))
+def plain_text(html: Column, collapse: Reading = collapsed) -> Column:
+    """Text without scripts and styles, then without tags; entities stay as they are written."""
+    return collapse(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), UNSHOWN, " "), TAG, " "))
 
 
 def said_briefly(text: Column, pattern: str) -> Column:
